@@ -58,23 +58,22 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _kind(x: str) -> str:
-    """SQL: the JSON type of a variant. Numbers written with a fraction or an exponent aren't integers; digits beyond 64 bits are."""
-    s = f"schema_of_variant({x})"
+def _kind(s: str) -> str:
+    """SQL: the JSON type for the result of ``schema_of_variant``. Numbers written with a fraction or an exponent aren't integers; digits beyond 64 bits are."""
     return (
         f"CASE WHEN {s} = 'BIGINT' THEN 'integer' WHEN {s} = 'STRING' THEN 'string' WHEN {s} = 'BOOLEAN' THEN 'boolean' WHEN {s} = 'VOID' THEN 'null' "
-        f"WHEN {s} LIKE 'OBJECT<%' THEN 'object' WHEN {s} LIKE 'ARRAY<%' THEN 'array' "
+        f"WHEN startswith({s}, 'OBJECT<') THEN 'object' WHEN startswith({s}, 'ARRAY<') THEN 'array' "
         f"WHEN {s} RLIKE '^DECIMAL[(](19|[23][0-9]),0[)]$' THEN 'integer' ELSE 'number' END"
     )
 
 
-def _sketch_class(x: str) -> str:
-    """SQL: the class of a value in the sketch of its column."""
+def _sketch_class(x: str, kind: str) -> str:
+    """SQL: the class of a value in the sketch of its column: magnitude, or length and first characters, or keys."""
     s = f"CAST({x} AS string)"
-    shape = f"substr(regexp_replace(regexp_replace({s}, '[0-9]+', '9'), '[A-Za-z]+', 'a'), 1, 24)"
+    head = f"translate(lower(substr({s}, 1, 3)), '0123456789abcdefghijklmnopqrstuvwxyz', '9999999999aaaaaaaaaaaaaaaaaaaaaaaaaa')"
     return (
-        f"CASE {_kind(x)} WHEN 'integer' THEN concat('i', CAST(floor(log2(abs(CAST({x} AS double)) + 1)) AS string)) "
-        f"WHEN 'string' THEN concat('s', CAST(floor(log2(length({s}) + 1)) AS string), {shape}) WHEN 'boolean' THEN concat('b', {s}) "
+        f"CASE {kind} WHEN 'integer' THEN concat('i', CAST(floor(log2(abs(CAST({x} AS double)) + 1)) AS string)) "
+        f"WHEN 'string' THEN concat('s', CAST(floor(log2(length({s}) + 1)) AS string), {head}) WHEN 'boolean' THEN concat('b', {s}) "
         f"WHEN 'object' THEN concat('o', array_join(array_sort(map_keys(try_cast({x} AS {_OBJECT}))), ',')) ELSE 'x' END"
     )
 
@@ -143,42 +142,57 @@ class Drift:
         ship(spark)
         self.spark, self.objects = spark, schema_objects(log_schema)
         self.scratch = Scratch(spark, "drift")
-        parsed = call_log.selectExpr("log_id", "src", "try_parse_json(json) AS v")
+        # Only a line that spells 'assistant', plainly or with escapes, can have that role; the others aren't parsed.
+        likely = call_log.where("contains(json, 'assistant') OR contains(json, '\\\\u')")
+        parsed = likely.selectExpr("log_id", "src", "try_parse_json(json) AS v")
         self.lines = parsed.where("try_variant_get(v, '$.message.role', 'string') = 'assistant'")
         self._profiled()
 
-    def _object(self, o: SchemaObject) -> tuple[str, str]:
-        """SQL: the object as a map, and a struct of what it holds: lost, gained (name, kind, class), retyped, known (name, class)."""
-        known = ", ".join(_quoted(k) for k in o.fields)
+    def _object(self, o: SchemaObject) -> str:
+        """SQL: an array of one struct (object, lost, gained, retyped, profile), or of none where the line hasn't the object.
+
+        ``gained`` has name, kind and sketch class, ``profile`` name and class of the required fields.
+        """
+        m = f"try_cast(v AS {_OBJECT})" if not o.path else f"try_variant_get(v, '{o.json_path}', '{_OBJECT}')"
         required = [k for k, (_, duty, _) in o.fields.items() if duty]
-        kinds = [(k, t) for k, (t, _, within) in o.fields.items() if within and t != "any"]
-        m = "try_cast(v AS map<string,variant>)" if not o.path else f"try_variant_get(v, '{o.json_path}', '{_OBJECT}')"
-        lost = f"filter(array({', '.join(map(_quoted, required))}), k -> NOT map_contains_key(m, k))" if required else "CAST(array() AS array<string>)"
-        gained = f"transform(map_entries(map_filter(m, (k, x) -> k NOT IN ({known}))), e -> struct(e.key AS name, {_kind('e.value')} AS kind, {_sketch_class('e.value')} AS class))"
-        wanted = f"map({', '.join(f'{_quoted(k)}, {_quoted(t)}' for k, t in kinds)})" if kinds else "CAST(map() AS map<string,string>)"
-        names = ", ".join(_quoted(k) for k, _ in kinds) or "''"
-        held = f"map_entries(map_filter(m, (k, x) -> k IN ({names})))"
-        retyped = f"transform(filter({held}, e -> {_kind('e.value')} NOT IN ('null', element_at({wanted}, e.key))), e -> e.key)"
-        columns = ", ".join(_quoted(k) for k in required) or "''"
-        profile = f"transform(map_entries(map_filter(m, (k, x) -> k IN ({columns}))), e -> struct(e.key AS name, {_sketch_class('e.value')} AS class))"
-        body = f"struct({_quoted(o.path)} AS object, sort_array({lost}) AS lost, array_sort({gained}) AS gained, sort_array({retyped}) AS retyped, {profile} AS profile)"
-        return m, body
+        kinds = {k: t for k, (t, _, within) in o.fields.items() if within and t != "any"}
+        unread = [k for k in o.fields if k not in required and k not in kinds]
+        listed = lambda names: ", ".join(map(_quoted, names)) or "''"
+        entries = f"transform(map_entries(map_filter(m, (k, x) -> k NOT IN ({listed(unread)}))), e -> struct(e.key AS name, e.value AS x, schema_of_variant(e.value) AS s))"
+        read = f"transform({entries}, e -> struct(e.name AS name, e.x AS x, {_kind('e.s')} AS kind))"
+        classed = f"transform({read}, e -> struct(e.name AS name, e.kind AS kind, {_sketch_class('e.x', 'e.kind')} AS class))"
+        wanted = f"map({', '.join(f'{_quoted(k)}, {_quoted(t)}' for k, t in kinds.items())})" if kinds else "CAST(map() AS map<string,string>)"
+        body = (
+            f"transform(transform(filter(array({m}), m -> m IS NOT NULL), m -> {classed}), c -> struct({_quoted(o.path)} AS object, "
+            f"sort_array(array_except(array({listed(required)}), transform(c, e -> e.name))) AS lost, "
+            f"array_sort(filter(c, e -> e.name NOT IN ({listed(o.fields)}))) AS gained, "
+            f"sort_array(transform(filter(c, e -> e.name IN ({listed(kinds)}) AND e.kind NOT IN ('null', element_at({wanted}, e.name))), e -> e.name)) AS retyped, "
+            f"transform(filter(c, e -> e.name IN ({listed(required)})), e -> struct(e.name AS name, e.class AS class)) AS profile))"
+        )
+        return body
+
+    def _compared(self, *keys: str) -> DataFrame:
+        """``keys`` and a row per object of each line; the line is parsed once for all of them."""
+        return self.lines.selectExpr(*keys, f"inline(concat({', '.join(self._object(o) for o in self.objects)}))")
 
     def _profiled(self) -> None:
-        compared = None
-        for o in self.objects:
-            m, body = self._object(o)
-            part = self.lines.selectExpr("src", f"{m} AS m").where("m IS NOT NULL").selectExpr("src", f"inline(array({body}))")
-            compared = part if compared is None else compared.unionByName(part)
-        layout = "transform(gained, g -> struct(g.name AS name, g.kind AS kind))"
-        keyed = compared.selectExpr("src", "object", "lost", "retyped", "gained", f"{layout} AS new", "profile")
-        # One pass writes, per file and layout, the count of lines; sketches hang on as classes counted per column.
-        cells = "concat(transform(gained, g -> struct('new' AS side, g.name AS name, g.class AS class)), CASE WHEN size(lost) = 0 THEN transform(profile, p -> struct('old' AS side, p.name AS name, p.class AS class)) ELSE CAST(array() AS array<struct<side:string,name:string,class:string>>) END)"
-        self.layouts = self.scratch.table(keyed.where("size(lost) + size(new) + size(retyped) > 0").groupBy("src", "object", "lost", "new", "retyped").agg(F.count(F.lit(1)).alias("lines")), "layouts").df
-        both = "size(lost) > 0 AND size(gained) > 0"
-        sketch = keyed.where(f"{both} OR size(lost) = 0").selectExpr("object", f"CASE WHEN {both} THEN lost END AS lost", f"CASE WHEN {both} THEN new END AS new", f"inline({cells})")
-        sketch = sketch.where("side = 'old' OR lost IS NOT NULL").groupBy("object", "lost", "new", "side", "name", "class").agg(F.count(F.lit(1)).alias("n"))
-        self.sketches = self.scratch.table(sketch, "sketches").df
+        """Layouts per file and value sketches per version, both from one pass over the lines.
+
+        A line gives a cell for its layout, which alone carries the file, and one for
+        each column to be profiled; the cells are counted within each task first.
+        """
+        rows = self._compared("src").withColumn("new", F.expr("transform(gained, g -> struct(g.name AS name, g.kind AS kind))"))
+        cell = lambda side, src, lost, new, retyped, name, cls: f"struct({side} AS side, {src} AS src, {lost} AS lost, {new} AS new, {retyped} AS retyped, {name} AS name, {cls} AS class)"
+        no_text, no_new = "CAST(NULL AS array<string>)", "CAST(NULL AS array<struct<name:string,kind:string>>)"
+        whole = f"filter(array({cell("'layout'", 'src', 'lost', 'new', 'retyped', 'CAST(NULL AS string)', 'CAST(NULL AS string)')}), x -> size(lost) + size(new) + size(retyped) > 0)"
+        fresh = f"CASE WHEN size(lost) > 0 THEN transform(gained, g -> {cell("'new'", 'CAST(NULL AS string)', 'lost', 'new', no_text, 'g.name', 'g.class')}) END"
+        known = f"CASE WHEN size(lost) = 0 THEN transform(profile, p -> {cell("'old'", 'CAST(NULL AS string)', no_text, no_new, no_text, 'p.name', 'p.class')}) END"
+        empty = "CAST(array() AS array<struct<side:string,src:string,lost:array<string>,new:array<struct<name:string,kind:string>>,retyped:array<string>,name:string,class:string>>)"
+        cells = rows.selectExpr("object", f"inline(concat({whole}, coalesce({fresh}, {empty}), coalesce({known}, {empty})))")
+        counted = cells.groupBy("object", "side", "src", "lost", "new", "retyped", "name", "class").agg(F.count(F.lit(1)).alias("n"))
+        done = self.scratch.table(counted, "profiled").df
+        self.layouts = done.where("side = 'layout'").select("src", "object", "lost", "new", "retyped", F.col("n").alias("lines"))
+        self.sketches = done.where("side <> 'layout'").select("object", "lost", "new", "side", "name", "class", "n")
 
     def renames(self) -> DataFrame:
         """``object``, ``lost``, ``new`` (a version) and ``old_name``, ``new_name``, ``score`` of each column renamed there."""
@@ -226,12 +240,7 @@ class Drift:
         """
         versions = self.renames().select("object", "lost", "new", F.struct(F.concat_ws(".", F.when(F.col("object") != "", F.col("object")), "old_name").alias("k"), F.col("new_name").alias("n")).alias("move"))
         versions = versions.groupBy("object", "lost", "new").agg(F.collect_list("move").alias("moves"))
-        drifted = None
-        for o in self.objects:
-            m, body = self._object(o)
-            part = self.lines.selectExpr("log_id", f"{m} AS m").where("m IS NOT NULL").selectExpr("log_id", f"inline(array({body}))")
-            part = part.where("size(lost) > 0 AND size(gained) > 0").selectExpr("log_id", "object", "lost", "transform(gained, g -> struct(g.name AS name, g.kind AS kind)) AS new")
-            drifted = part if drifted is None else drifted.unionByName(part)
+        drifted = self._compared("log_id").where("size(lost) > 0 AND size(gained) > 0").selectExpr("log_id", "object", "lost", "transform(gained, g -> struct(g.name AS name, g.kind AS kind)) AS new")
         moved = drifted.join(versions, ["object", "lost", "new"]).groupBy("log_id").agg(F.map_from_entries(F.flatten(F.collect_list("moves"))).alias("moved"))
         rows = self.lines.join(moved, "log_id", "left").withColumn("o", F.expr(f"try_cast(v AS {_OBJECT})"))
         columns, at = [], {"": "o"}
@@ -250,7 +259,7 @@ class Drift:
                 elif within:
                     x = value(o, name)
                     number = f"try_cast(CAST({x} AS string) AS decimal(38,9))"
-                    whole = f"CASE WHEN {_kind(x)} IN ('integer', 'number', 'string') AND {number} = floor({number}) THEN try_cast({number} AS bigint) END"
-                    text = f"CASE WHEN {_kind(x)} IN ('string', 'integer', 'number', 'boolean') THEN CAST({x} AS string) END"
+                    whole = f"CASE WHEN {_kind(f'schema_of_variant({x})')} IN ('integer', 'number', 'string') AND {number} = floor({number}) THEN try_cast({number} AS bigint) END"
+                    text = f"CASE WHEN {_kind(f'schema_of_variant({x})')} IN ('string', 'integer', 'number', 'boolean') THEN CAST({x} AS string) END"
                     columns.append(f"{whole if kind == 'integer' else text} AS {full.replace('.', '_')}")
         return rows.selectExpr("log_id", "src", *columns)

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import problems, usage
 
-FLAGSHIP = "p4_sessions"
+FLAGSHIP = "a2_weekly_by_model_effort"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return problems.QUERIES | usage.SPARK
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(usage.SQL)

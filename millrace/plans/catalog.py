@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems, usage
+from . import content, problems, scanning, usage
 
 FLAGSHIP = "a2_weekly_by_model_effort"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.QUERIES | usage.SPARK
+    return problems.QUERIES | usage.SPARK | content.SPARK | scanning.SPARK
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(usage.SQL)
+    return usage.SQL | content.SQL | scanning.SQL

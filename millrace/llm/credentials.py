@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 # Names by which secrets go, in lower case, words of a name apart.
 SECRET_WORDS = frozenset(
     "password passwd passwort passphrase pass pwd pw secret secrets token credential credentials cred creds apikey hmac bearer auth authorization authentication "
-    "unlock seed pem pat psk pin kennwort contrasena contraseña clave senha palavra wachtwoord haslo hasło parola lozinka salasana losenord lösenord sifre şifre parole heslo пароль 密码 パスワード motdepasse mdp passcode jwt".split()
+    "unlock seed pem pat psk pin kennwort contrasena contraseña clave senha palavra wachtwoord haslo hasło parola lozinka salasana losenord lösenord sifre şifre parole heslo passe пароль 密码 パスワード motdepasse mdp passcode jwt".split()
 )
 # Words after which a name that ends in 'key' is no secret.
 OPEN_KEYS = frozenset("public pub cache primary foreign sort partition group map row object dict index search lookup hot short arrow cursor unique natural parent column header i18n translation idempotency key".split())
@@ -260,6 +260,7 @@ PLACES = [
     for p in (
         r"(?i)\bidentified\s+by\s+(?:password\s+)?(?P<q>['\"])(?P<v>[^'\"]+)(?P=q)",
         r"(?i)\bpassword\s+(?P<q>['\"])(?P<v>[^'\"]+)(?P=q)",
+        r"\becho\s+(?:-n\s+)?(?P<q>['\"]?)(?P<v>[^\s'\"|]+)(?P=q)\s*\|\s*(?:sudo\s+-S|docker\s+login|passwd|chpasswd|openssl)\b",
         r"\bsshpass\s+-p\s*(?P<q>['\"]?)(?P<v>[^\s'\"]+)(?P=q)",
         r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[\s=]+(?P<q>['\"]?)[\w.@+-]+:(?P<v>[^\s'\"]+)(?P=q)",
         r"\b(?:mysql|mysqldump|mariadb)\b[^\n]*?\s-p(?P<q>['\"]?)(?P<v>[^\s'\"]+)(?P=q)",
@@ -272,6 +273,7 @@ PLACES = [
     )
 ]
 PAIR = re.compile(r"(?P<k>[^\W\d][\w.\-]*)[\"'\]]*\s*(?::=|=>|=|:)\s*(?P<v>[^\s\"'`=:][^\s\"'`]*)")
+LABEL = re.compile(r"^[\s>*#;/|-]*(?P<k>[^\W\d][\w-]*(?: [\w-]+){1,4})\s*[:=]\s*(?P<v>[^\s\"'`]+)\s*$")
 FLAG = re.compile(r"(?<![\w-])--?(?P<k>[A-Za-z][\w-]+)[ =](?P<v>[^\s\"'`-][^\s\"'`]*)")
 ELEMENT = re.compile(r"<(?P<k>[^\W\d][\w.-]*)(?:\s[^<>]*)?>\s*(?P<v>[^<>\s][^<>]*?)\s*</(?P=k)>")
 OPENED = re.compile(r"(?:[:=]\s*(?:[|>][-+]?\d?)?|\(|\\|[:=]\s*\(|\[|\+)\s*$")
@@ -353,7 +355,7 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
             v = m["v"].rstrip(",;)")
             if not is_void(v) and (is_password(v) and not is_hex_key(v) or is_random(v) or is_strong(v) or is_hex_key(v) and len(v) != 40 or hidden(v, True)):
                 add(m.start("v"), m.start("v") + len(v), "place")
-    bare = [(m["k"], m.start("v"), m["v"]) for r in (PAIR, FLAG, ELEMENT) for m in r.finditer(rest)]
+    bare = [(m["k"], m.start("v"), m["v"]) for r in (PAIR, FLAG, ELEMENT, LABEL) for m in r.finditer(rest)]
     for key, s, v in bare:
         if line[s : s + len(v)] != v:
             continue

@@ -50,8 +50,13 @@ SIGNS = "‘’‚“”„–—―…•·×÷°©®™±§«»¡¿€£→←
 # Encodings as which UTF-8 is read, and single-byte encodings taken for one another.
 READ_AS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "cp1254", "iso8859-15", "cp1253", "cp1257", "cp437", "cp850", "cp852", "mac_roman", "koi8-r", "cp866")
 SINGLE = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac_cyrillic", "mac_roman", "cp437", "cp850", "cp1254", "cp1253")
+# Encodings of Japanese, and those as which they are read.
+EAST_ASIAN = ("cp932", "euc_jp")
+READ_EAST_ASIAN = ("cp1252", "latin-1", "mac_roman")
 # What the first two bytes of kana become in East Asian encodings.
 KANA_LEADS = {"cp932": "縺繧繝", "gbk": "銇銈銉", "big5": "", "cp949": ""}
+# Marks and forms that normal writing sets beside letters: combining accents, ligatures.
+MARKS = "".join(map(chr, (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x30A, 0x30B, 0x30C, 0x327, 0x328, *range(0xFB00, 0xFB07))))
 EMOJI = "😀🙂🚀📦🔁🚦🧵🏁👩💻🎉🔥🐛🇫🇷"
 
 
@@ -97,7 +102,8 @@ _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 def _repertoire() -> str:
     lower = "".join(LETTERS.values())
     kana = "".join(map(chr, [*range(0x3041, 0x3097), *range(0x30A1, 0x30FB), *range(0x3001, 0x3003), 0x30FC]))
-    return "".join(dict.fromkeys(lower + lower.upper() + SIGNS + kana + EMOJI))
+    doubled = "".join(map(chr, [*range(0x1D538, 0x1D56C), *range(0x1F300, 0x1F650), *range(0x1F680, 0x1F6C6), *range(0x1F9D0, 0x1FA00)]))
+    return "".join(dict.fromkeys(lower + lower.upper() + SIGNS + MARKS + kana + EMOJI + doubled))
 
 
 def is_sound_word(word: str) -> bool:
@@ -149,11 +155,24 @@ def _automaton():
             once = read_wrongly(raw, d)
             if not _RUSSIAN.match(once):
                 add(once, "utf8", (d,))
+            elif not _CYRILLIC.match(c):  # could be Russian, but for the Latin letters beside it
+                for a in "abcdefghijklmnopqrstuvwxyz":
+                    add(a + once, "utf8", (d,))
+                    add(once + a, "utf8", (d,))
             if d in ("cp1252", "latin-1"):
                 for e in ("cp1252", "latin-1"):
                     twice = read_wrongly(once.encode(), e)
                     add(twice, "utf8", (e,))
                     add(read_wrongly(twice.encode(), e), "utf8", (e,))
+    for c in map(chr, [*range(0x4E00, 0xA000), *range(0xAC00, 0xD7A4)]):  # ideographs and Korean syllables, by the commonest wrong reading
+        add(read_wrongly(c.encode(), "cp1252"), "utf8", ("cp1252",))
+    for e in EAST_ASIAN:
+        for d in READ_EAST_ASIAN:
+            for first in (0x3042, 0x30A2):
+                common = [read_wrongly(chr(k).encode(e), d) for k in range(first, first + 82)]
+                for x in common:
+                    for y in common:
+                        add(x + y, "east", (e, d))
     for codec, leads in KANA_LEADS.items():
         for c in leads:
             add(c, "kana", (codec,))
@@ -201,35 +220,60 @@ def _matches(text: str) -> list[tuple[int, int, str, tuple]]:
     return out
 
 
+def _utf8_run(run: str, codec: str) -> tuple[int, str]:
+    """How many characters of a run its UTF-8 sequences take up when written back by ``codec``, and the run with these decoded."""
+    r = reverse(codec)
+    other = reverse("latin-1") if codec == "cp1252" else reverse("cp1252") if codec == "latin-1" else {}
+    raw = bytes(r[c] if c in r else other.get(c, 0) for c in run)  # what the encoding hasn't can't be part of a sequence
+    pieces, at, taken = [], 0, 0
+    for m in _UTF8.finditer(raw):
+        pieces += [run[at : m.start()], m[0].decode()]
+        at = m.end()
+        taken += len(m[0])
+    return taken, "".join([*pieces, run[at:]])
+
+
+_RUN = re.compile(r"[^\x00-\x7f]+")
+
+
 def _utf8_once(text: str, hits: list[tuple[int, int, str, tuple]]) -> str:
-    """Runs around matches of UTF-8's garbled forms, decoded once by the encoding that makes most of them whole."""
-    votes = Counter(p for _, _, k, pairs in hits if k == "utf8" for p in pairs)
-    out, done = [], 0
-    for start, end, kind, pairs in hits:
-        if kind != "utf8" or start < done:
-            continue
-        for (codec,) in sorted(pairs, key=lambda p: (-votes[p], READ_AS.index(p[0]))):
-            r = reverse(codec)
-            other = reverse("latin-1") if codec == "cp1252" else reverse("cp1252") if codec == "latin-1" else {}
-            ok = lambda c: not c.isascii() and (c in r or c in other)
-            s, e = start, end
-            while s > done and ok(text[s - 1]):
-                s -= 1
-            while e < len(text) and ok(text[e]):
-                e += 1
-            raw = write_back(text[s:e], codec)
-            if raw is None:
-                continue
-            pieces, at = [], 0
-            for m in _UTF8.finditer(raw):
-                pieces += [text[s + at : s + m.start()], m[0].decode()]
-                at = m.end()
-            if at == 0:
-                continue
-            pieces.append(text[s + at : e])
-            out += [text[done:s], "".join(pieces)]
-            done = e
-            break
+    """Runs of characters with matches of UTF-8's garbled forms, decoded once by the encoding that makes most of each whole."""
+    votes = Counter(p[0] for _, _, k, pairs in hits if k == "utf8" for p in pairs)
+    at = sorted((start + text[start].isascii(), {p[0] for p in pairs}) for start, _, k, pairs in hits if k == "utf8")
+    out, done, k = [], 0, 0
+    for m in _RUN.finditer(text):
+        codecs: set[str] = set()
+        while k < len(at) and at[k][0] < m.end():
+            if at[k][0] >= m.start():
+                codecs |= at[k][1]
+            k += 1
+        if codecs:
+            best = max(codecs, key=lambda c: (_utf8_run(m[0], c)[0], votes[c], -READ_AS.index(c)))
+            taken, new = _utf8_run(m[0], best)
+            if taken:
+                out += [text[done : m.start()], new]
+                done = m.end()
+    out.append(text[done:])
+    return "".join(out)
+
+
+def _east_once(text: str, hits: list[tuple[int, int, str, tuple]]) -> str:
+    """Words with garbled kana of an East Asian encoding, decoded by the pair that most matches speak for."""
+    votes = Counter(p for _, _, k, pairs in hits if k == "east" for p in pairs)
+    (e, d), _ = votes.most_common(1)[0]
+    starts = sorted(start for start, _, k, pairs in hits if k == "east")
+    out, done, k = [], 0, 0
+    for m in re.finditer(r"[^\s\"]+", text):
+        hit = False
+        while k < len(starts) and starts[k] < m.end():
+            hit |= starts[k] >= m.start()
+            k += 1
+        raw = write_back(m[0], d) if hit else None
+        if raw is not None:
+            new = raw.decode(e, "ignore" if e == "euc_jp" else "replace")
+            if new.count("\ufffd") * 10 <= len(new):
+                out += [text[done : m.start()], new]
+                done = m.end()
     out.append(text[done:])
     return "".join(out)
 
@@ -259,6 +303,13 @@ def _single(text: str, hits: list[tuple[int, int, str, tuple]], kinds: tuple[str
             new = _reread(word, e, d)
             if new is not None and new != word and is_sound_word(new):
                 changed.setdefault(span, {})[e, d] = new
+    for span, pairs in weak.items():
+        word = text[span[0] : span[1]]
+        if not is_sound_word(word):
+            for e, d in pairs:
+                new = _reread(word, e, d)
+                if new is not None and new != word and is_sound_word(new):
+                    changed.setdefault(span, {})[e, d] = new
     if weak:
         for line in re.finditer(r"[^\n]+", text):
             inside = [s for s in weak if line.start() <= s[0] and s[1] <= line.end()]
@@ -324,6 +375,11 @@ def restore(text: str | None) -> tuple[bool, str | None]:
             if did:
                 garbled = True
                 continue
+        if kinds["east"] >= 2:
+            garbled = True
+            now = _east_once(now, hits)
+            if now != before:
+                continue
         if kinds["utf8"]:
             now = _utf8_once(now, hits)
             if now != before:

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, problems, scanning, usage
+from . import content, problems, scanning, streams, usage
 
 FLAGSHIP = "a2_weekly_by_model_effort"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.QUERIES | usage.SPARK | content.SPARK | scanning.SPARK
+    return problems.QUERIES | usage.SPARK | content.SPARK | scanning.SPARK | streams.SPARK
 
 
 def oracle_sql() -> dict[str, str]:
-    return usage.SQL | content.SQL | scanning.SQL
+    return usage.SQL | content.SQL | scanning.SQL | streams.SQL

@@ -51,7 +51,7 @@ def agent_ends(spark, folder):
     none = lambda kind: F.lit(None).cast(kind)
     listed = F.array(F.struct("id", "type", "description", "status", "parent_id"))
     events = x.select(F.concat_ws("/", "session_id", "id").alias("session"), F.unix_millis("listed_at").alias("at_ms"), F.lit("snapshot").alias("event"), *[none("string").alias(c) for c in ("id", "type", "description", "parent_id", "status", "call", "tool")], *[none("bigint").alias(c) for c in ("input", "output", "cache_read", "cache_write")], listed.alias("listed"))
-    return drained(meters.agent_stream(events), "ends").groupBy("id").agg(F.count(F.lit(1)).alias("ends"))
+    return drained(meters.agent_stream(events, timers=False), "ends").groupBy("id").agg(F.count(F.lit(1)).alias("ends"))
 
 
 @_query("m_first_deliveries", "SELECT count(DISTINCT coalesce(nullif(trim(message.id), ''), nullif(trim(request_id), ''), src || ':' || line)) AS messages FROM calls WHERE delivered_at IS NOT NULL")

@@ -182,6 +182,7 @@ def read_working_tree(spark: SparkSession, root: str, paths: list[str] | None =
 def read_revision(spark: SparkSession, root: str, revision: str = "HEAD", paths: list[str] | None = None) -> DataFrame:
     """The entries of a revision; with ``paths`` (as of ``changed``) only those, others aren't fetched."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Revision)
     reader = spark.read.format("git_revision").option("root", root).option("revision", revision)
     return (reader.option("paths", "\0".join(paths)) if paths is not None else reader).load()

@@ -99,6 +99,9 @@ class AgentMeter(StatefulProcessor):
     so that the state stays as small as what is still of interest.
     """
 
+    def __init__(self, timers: bool = True):
+        self.timers = timers
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getMapState("agents", "id string", _AGENT_STATE)
@@ -135,7 +138,7 @@ class AgentMeter(StatefulProcessor):
                 for a in ended:
                     yield Row(session=key[0], at_ms=r.at_ms, id=a.id, what="ended", status=a.status, tools=a.tools, tokens=a.tokens[0] + a.tokens[1] + a.tokens[3])
         self._save(before, agents)
-        if any(a.ended_at is not None for a in agents.values()) and timerValues.getCurrentProcessingTimeInMs() > 0:
+        if self.timers and any(a.ended_at is not None for a in agents.values()):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + t.GRACE_MS)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
@@ -163,8 +166,9 @@ def limit_stream(events: DataFrame, warn: int = 80, critical: int = 95) -> DataF
     return _metered(events.where("session IS NOT NULL"), LimitMeter(warn, critical), LIMIT_OUT, "None")
 
 
-def agent_stream(events: DataFrame) -> DataFrame:
-    return _metered(events.where("session IS NOT NULL"), AgentMeter(), AGENT_OUT, "ProcessingTime")
+def agent_stream(events: DataFrame, timers: bool = True) -> DataFrame:
+    """``timers``: forget ended agents after the grace; a run over what is there has no use for that."""
+    return _metered(events.where("session IS NOT NULL"), AgentMeter(timers), AGENT_OUT, "ProcessingTime" if timers else "None")
 
 
 def delivered_once_stream(calls: DataFrame, at: str = "delivered_at", late: str = "2 days") -> DataFrame:

@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return usage.SQL | content.SQL | scanning.SQL | streams.SQL
+    return problems.SQL | usage.SQL | content.SQL | scanning.SQL | streams.SQL

@@ -73,3 +73,44 @@ def p5_usage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_delivered_once, p2_found, p2_paths, p2_descendants, p3_found, p3_unified, p3_renames, p4_found, p4_sessions, p5_found, p5_blocks, p5_lines, p5_usage)}
+
+#: Independent SQL of the problems that SQL can express; drift is tested against plain Python.
+_IDENTIFIED = r"""
+WITH p AS (
+  SELECT row_id, message.usage.output_tokens AS o, session_id, regexp_extract(ts, '^(2[0-9]{3}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2}:[0-5][0-9])([.,]([0-9]+))?(Z|[+-]([01][0-9]|2[0-3])(:?[0-5][0-9])?)?$', ['d', 't', 'x', 'f', 'z']) AS m,
+    coalesce(nullif(regexp_replace(message.id, '^\s+|\s+$', '', 'g'), ''), nullif(regexp_replace(request_id, '^\s+|\s+$', '', 'g'), '')) AS key FROM calls
+), r AS (
+  SELECT row_id, o, session_id, key, epoch_us(try_cast(m.d || ' ' || m.t AS timestamp)) + CAST(rpad(substr(coalesce(nullif(m.f, ''), '0'), 1, 6), 6, '0') AS bigint)
+      - CASE WHEN m.z IN ('', 'Z') THEN 0 ELSE (CASE WHEN m.z[1] = '-' THEN -1 ELSE 1 END) * (CAST(substr(m.z, 2, 2) AS bigint) * 3600 + CAST(coalesce(nullif(substr(replace(m.z, ':', ''), 4, 2), ''), '0') AS bigint) * 60) * 1000000 END AS us FROM p
+)
+"""
+_RANKED = _IDENTIFIED + ", k AS (SELECT row_id, key, row_number() OVER (PARTITION BY key ORDER BY coalesce(o, -1) DESC, us IS NULL, us, row_id) AS n FROM r) "
+_STRETCHES = _IDENTIFIED + ", e AS (SELECT lower(session_id) AS session_id, us, us - lag(us) OVER (PARTITION BY lower(session_id) ORDER BY us) > 1800000000 AS new FROM r WHERE trim(session_id) <> '' AND us IS NOT NULL), g AS (SELECT session_id, us, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY us) AS n FROM e) "
+_LINKS = r"""
+WITH RECURSIVE ids AS (SELECT id FROM agents WHERE id IS NOT NULL UNION SELECT id FROM listed_agents WHERE id IS NOT NULL),
+a AS (SELECT id, parent_id FROM agents WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1),
+l AS (SELECT id, parent_id FROM listed_agents WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY listed_at DESC, listing_id DESC) = 1),
+c AS (SELECT ids.id, CASE WHEN l.id IS NOT NULL THEN l.parent_id ELSE a.parent_id END AS p FROM ids LEFT JOIN a ON a.id = ids.id LEFT JOIN l ON l.id = ids.id),
+par AS (SELECT c.id, ids.id AS parent FROM c LEFT JOIN ids ON ids.id = c.p AND trim(c.p) <> ''),
+w AS (SELECT id AS start, id AS cur, [id] AS path, false AS ring FROM par UNION ALL SELECT w.start, par.parent, list_append(w.path, par.parent), list_contains(w.path, par.parent) FROM w JOIN par ON par.id = w.cur WHERE par.parent IS NOT NULL AND NOT w.ring),
+f AS (SELECT start, arg_max(cur, len(path)) AS cur, arg_max(path, len(path)) AS path, bool_or(ring) AS ring FROM w GROUP BY 1)
+"""
+_NESTED = r"""
+WITH RECURSIVE l AS (SELECT log_id, json_extract(json, '$.message.content') AS c FROM call_log WHERE json_valid(json) AND json_type(json) = 'OBJECT'),
+e AS (SELECT log_id, '' AS up, CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') WHEN 'OBJECT' THEN [c] ELSE [] END AS xs FROM l),
+b AS (
+  SELECT log_id, up, i::varchar AS path, x FROM (SELECT log_id, up, unnest(range(len(xs))) AS i, unnest(xs) AS x FROM e) WHERE json_type(x) = 'OBJECT'
+  UNION ALL
+  SELECT log_id, up, up || '/' || i, x FROM (SELECT log_id, path AS up, unnest(range(len(xs))) AS i, unnest(xs) AS x FROM (SELECT log_id, path, CASE json_type(x, '$.content') WHEN 'ARRAY' THEN json_extract(x, '$.content[*]') WHEN 'OBJECT' THEN [json_extract(x, '$.content')] ELSE [] END AS xs FROM b)) WHERE json_type(x) = 'OBJECT'
+),
+u AS (SELECT x->>'$.id' AS id, arg_min(struct_pack(log_id := log_id, path := path), (log_id, list_transform(string_split(path, '/'), lambda k: CAST(k AS int)))) AS t FROM b WHERE json_type(x, '$.id') = 'VARCHAR' AND x->>'$.type' = 'tool_use' GROUP BY 1),
+d AS (SELECT b.log_id, b.path, coalesce(u.t.log_id, b.log_id) AS parent_log_id, coalesce(u.t.path, b.up) AS parent_path FROM b LEFT JOIN u ON b.x->>'$.type' = 'tool_result' AND json_type(b.x, '$.tool_use_id') = 'VARCHAR' AND u.id = b.x->>'$.tool_use_id')
+"""
+SQL = {
+    "p1_found": _RANKED + "SELECT row_id FROM k WHERE key IS NOT NULL AND n > 1",
+    "p1_delivered_once": _RANKED + "SELECT c.row_id, c.session_id, c.request_id, c.message.id AS message_id, c.message.usage.output_tokens AS output_tokens FROM calls c JOIN k ON k.row_id = c.row_id WHERE key IS NULL OR n = 1",
+    "p2_found": _LINKS + "SELECT start AS agent_id, CASE WHEN ring THEN list_min(path[list_position(path, cur):]) ELSE cur END AS root_id, CASE WHEN ring THEN -1 ELSE len(path) - 1 END::bigint AS depth FROM f",
+    "p4_found": _STRETCHES + "SELECT session_id, min(us) // 1000 AS start_ms, max(us) // 1000 AS end_ms FROM g GROUP BY session_id, n",
+    "p4_sessions": _STRETCHES + "SELECT session_id, min(us) // 1000 AS start_ms, max(us) // 1000 AS end_ms, max(us) // 1000 - min(us) // 1000 AS duration_ms, count(*) AS calls FROM g GROUP BY session_id, n",
+    "p5_found": _NESTED + "SELECT DISTINCT * FROM d",
+}

@@ -111,7 +111,7 @@ def is_sound_word(word: str) -> bool:
     return _sound(word.strip("".join(_EDGE)))
 
 
-_EDGE = list("()[]{}<>.,;:!?\"'`*_#|/\\-+=~@%&^$") + list("‘’‚“”„–—…«»·•→×°©®™±≈√  │├└─✅⚠¡¿")
+_EDGE = list("()[]{}<>.,;:!?\"'`*_#|/\\-+=~@%&^$") + list("²³¹½¼¾ªº‘’‚“”„–—…«»·•→×°©®™±≈√  │├└─✅⚠¡¿")
 _SPLIT = re.compile(r"[\s\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e0-9‘’‚“”„–—…·•→×  │├└─]+")
 
 

@@ -155,34 +155,37 @@ def line_findings(text_lines: DataFrame) -> DataFrame:
     hidden = F.concat(_hidden("bidi-unicode", p.BIDI), _hidden("zero-width-unicode", p.ZERO_WIDTH, p.RIGHT_JOINERS), _hidden("invisible-unicode", p.INVISIBLE, p.RIGHT_SELECTORS), _hidden("soft-hyphen", p.SOFT_HYPHEN), _hidden("unicode-tag", p.TAGS, p.RIGHT_TAGS))
     whole = text_lines.withColumn("text", F.when(F.col("line") == 1, F.regexp_replace("text", r"^\uFEFF", "")).otherwise(F.col("text")))
     above = whole.select(*keys, F.inline(hidden))
+    # What paths and cheap searches tell is found once per text and per segment; the patterns run only where they can hit.
+    paths = {"_prompt": F.col("path").rlike(p.PROMPT_ENDING), "_svg": F.col("path").rlike(p.SVG_ENDING), "_attributes": F.col("path").rlike(r"(?:^|/)\.gitattributes$")}
+    segments = whole.withColumns(paths).select(*keys, *paths, F.explode(F.split("text", _SPLIT)).alias("seg")).where("seg <> ''")
     seg = F.col("seg")
-    digits, short = seg.rlike(r"\d"), F.length("seg") <= p.MAX_SEGMENT
-    risky = seg.rlike(p.RISKY_WORDS)
+    segments = segments.withColumns({"_short": F.length("seg") <= p.MAX_SEGMENT, "_risky": seg.rlike(p.RISKY_WORDS), "_digits": seg.rlike("[0-9]"), "_numbers": seg.rlike("[0-9]{3}")})
+    digits, short, risky, numbers = (F.col(c) for c in ("_digits", "_short", "_risky", "_numbers"))
+    sends = risky | seg.rlike("requests|urllib|fetch|axios")
     pairs = F.arrays_zip(_all(p.PHONE_INTERNATIONAL).alias("raw"), _all(p.PHONE_INTERNATIONAL, 2).alias("after"))
     phones = F.transform(F.filter(pairs, lambda x: is_phone(x["raw"], x["after"])), lambda x: F.regexp_replace(x["raw"], r"[ \-.(]+$", ""))
     cards = F.filter(F.transform(_all(p.CARD), _digits), lambda d: d.rlike(f"^(?:{p.CARD_BRANDS})$") & luhn(d))
     ibans = F.filter(F.transform(_all(p.IBAN), iban_value), lambda v: v.isNotNull())
-    attributes = F.col("path").rlike(r"(?:^|/)\.gitattributes$") & ~seg.rlike(r"^\s*#")
+    attributes = F.col("_attributes") & ~seg.rlike(r"^\s*#")
     hides = F.exists(F.slice(F.split(F.trim(F.regexp_replace(seg, r"\s+", " ")), " "), 2, 1000), lambda a: a.isin("-diff", "binary", "-text") | a.startswith("diff="))
     rules = F.concat(
-        _some("phone-number", _when(seg.contains("+") & digits, phones)),
-        _some("phone-number", _when(digits, _all(p.PHONE_NORTH_AMERICAN))),
-        _some("us-ssn", _when(seg.rlike(r"\d{3}-\d"), _all(p.SSN))),
-        _some("us-ssn", _when(seg.rlike("(?i)ssn|security"), _all(p.SSN_BY_NAME))),
-        _some("credit-card", _when(seg.rlike(r"\d{4}"), cards)),
-        _some("iban", _when(seg.rlike(r"[A-Za-z]{2}\d{2}"), ibans)),
+        _some("phone-number", _when(digits & seg.rlike(r"\+\(?[0-9]"), phones)),
+        _some("phone-number", _when(numbers & seg.rlike(r"[0-9]{3}[-.][0-9]{4}"), _all(p.PHONE_NORTH_AMERICAN))),
+        _some("us-ssn", _when(numbers & seg.rlike("[0-9]{3}-[0-9]{2}-"), _all(p.SSN))),
+        _some("us-ssn", _when(numbers & seg.rlike("(?i)ssn|security"), _all(p.SSN_BY_NAME))),
+        _some("credit-card", _when(numbers & seg.rlike("[0-9]{13}|[0-9]{4}[-\t ]+[0-9]{4}"), cards)),
+        _some("iban", _when(digits & seg.rlike("[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11}"), ibans)),
         _flag("private-key", seg.contains("-----BEGIN ") & seg.rlike(p.PRIVATE_KEY), "header present"),
-        _flag("whatsapp-export", digits & short & _any(p.CHAT_LINES), "chat export line format"),
+        _flag("whatsapp-export", digits & seg.rlike("[0-9][/.-][0-9]{1,2}[/.-][0-9]") & _any(p.CHAT_LINES), "chat export line format"),
         _flag("long-line", ~short & risky, F.concat(F.length("seg").cast("string"), F.lit(" characters"))),
         *[_flag(rule, short & risky & _any(xs), "pattern match") for rule, xs in p.COMMANDS.items()],
-        _flag("credential-exfil", seg.rlike("(?U)" + p.CREDENTIAL_PATH) & seg.rlike("(?U)" + p.NETWORK_SEND), "credential path + network send on one line"),
+        _flag("credential-exfil", (seg.contains("/.") | seg.contains(".env")) & sends & seg.rlike("(?U)" + p.CREDENTIAL_PATH) & seg.rlike("(?U)" + p.NETWORK_SEND), "credential path + network send on one line"),
         _some("email-address", _when(seg.contains("@"), F.filter(_all(p.EMAIL), lambda a: ~email_is_open(a)))),
-        _flag("prompt-injection", F.col("path").rlike(p.PROMPT_ENDING) & _any(p.PROMPT_PHRASES), "phrase match"),
-        _flag("svg-script", F.col("path").rlike(p.SVG_ENDING) & seg.rlike("(?U)" + p.SVG_SCRIPT), "script/handler"),
+        _flag("prompt-injection", F.col("_prompt") & _any(p.PROMPT_PHRASES), "phrase match"),
+        _flag("svg-script", F.col("_svg") & seg.rlike("(?U)" + p.SVG_SCRIPT), "script/handler"),
         _flag("git-lfs", attributes & seg.rlike(p.LFS_ATTRIBUTE), "filter=lfs attribute"),
         _flag("gitattributes-diff", attributes & hides, "attribute hides or alters diffs"),
     )
-    segments = whole.select(*keys, F.explode(F.split("text", _SPLIT)).alias("seg")).where("seg <> ''")
     return above.unionByName(segments.select(*keys, F.inline(rules))).distinct()
 
 

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, problems, scanning, streams, usage
+from . import content, problems, scanning, sets, streams, usage
 
 FLAGSHIP = "a2_weekly_by_model_effort"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.QUERIES | usage.SPARK | content.SPARK | scanning.SPARK | streams.SPARK
+    return problems.QUERIES | usage.SPARK | content.SPARK | scanning.SPARK | streams.SPARK | sets.SPARK
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.SQL | usage.SQL | content.SQL | scanning.SQL | streams.SQL
+    return problems.SQL | usage.SQL | content.SQL | scanning.SQL | streams.SQL | sets.SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import instant_micros
@@ -18,8 +18,10 @@ REPEATED_READS = 3
 READ_TOOL = "Read"
 # How a review's verdict is written.
 VERDICT = r"(?i)^[*#\s]*VERDICT:[^\S\r\n]*(APPROVE|PASS|CHANGES)\b"
-# Words that say nothing about a task.
-STOP_WORDS = "the a an and or of to in on for with from by at is it this that be as are was do does not no new old fix add update build review task step run code file test".split()
+# Words that tell the kind of a run or its round, not its task.
+STOP_WORDS = (
+    "a an and the of for to in on with at by build built rebuild validate validation revalidate re review rereview reviewer fix fixes write implement verify check final round rounds pass attempt iteration again follow up"
+).split()
 
 
 def classified(call_log: DataFrame) -> DataFrame:
@@ -157,7 +159,9 @@ def line_drift(call_log: DataFrame) -> DataFrame:
     cases += [(bad_count(f"{u}.{c}"), c) for c in counts]
     cases += [(f"{_kind(u + '.cache_creation')} NOT LIKE 'OBJECT<%' AND {_kind(u + '.cache_creation')} <> 'VOID'", "cache_creation")]
     cases += [(bad_count(f"{u}.cache_creation.ephemeral_{t}_input_tokens"), f"ephemeral_{t}") for t in ("5m", "1h")]
-    cases += [(bad_count(f"{u}.output_tokens_details.thinking_tokens"), "thinking_tokens"), (bad_text("$.message.id"), "id"), (bad_text("$.requestId"), "requestId"), ("us IS NULL", "timestamp")]
+    cases += [(bad_count(f"{u}.output_tokens_details.thinking_tokens"), "thinking_tokens"), (bad_text("$.message.id"), "id"), (bad_text("$.requestId"), "requestId")]
+    uses = f"filter(transform(coalesce(try_variant_get(v, '$.message.content', 'array<variant>'), CAST(array() AS array<variant>)), x -> try_cast(x AS {_BLOCK})), b -> CAST(b['type'] AS string) = 'tool_use')"
+    cases += [(f"exists({uses}, b -> b['id'] IS NULL OR schema_of_variant(b['id']) <> 'STRING' OR CAST(b['id'] AS string) = '')", "tool_use id"), ("us IS NULL", "timestamp")]
     reason = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r in cases) + " END"
     return lines(call_log).where("role = 'assistant'").withColumn("reason", F.expr(reason)).drop("v")
 
@@ -166,49 +170,59 @@ def linked_runs(runs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Runs (``session_id``, ``id``, ``type``, ``description``, ``started_at``, ``verdict``) joined to tasks, greedily in the order of time.
 
     A run joins the task whose words overlap its own the most (coefficient of
-    ``threshold`` or more, the latest on ties). Else a reviewer, or a builder after a
-    verdict of changes, joins the last task by time, without adding its words; else a
-    builder opens a task, and a reviewer stays unlinked. Each step needs the one before
-    it, so a session is read in order as a stream of rows: the task holds the words of
-    its tasks, never its rows.
+    ``threshold`` or more, the latest on ties). Else a reviewer, or a builder if the
+    newest task's last verdict was changes, joins the newest task, without adding its
+    words; else it opens a task, by which a reviewer counts as unlinked. Only builders
+    and reviewers are runs. Each step needs the one before it, so a session is read in
+    order as a stream of rows: the worker holds the words of its tasks, never its rows.
     """
     ship(runs.sparkSession)
-    words = runs.withColumn("words", word_set(F.coalesce("description", F.lit("")), STOP_WORDS))
+    words = runs.where("type IN ('builder', 'reviewer')").withColumn("words", word_set(F.coalesce("description", F.lit("")), STOP_WORDS))
     ordered = words.select("session_id", "id", "type", "started_at", "verdict", "words").repartition("session_id").sortWithinPartitions("session_id", "started_at", "id")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, tasks, last, before = object(), [], None, None
+        session, known, verdicts = object(), [], []  # words and last verdict of each task
         for batch in batches:
             out = []
-            for s, run, kind, _, said, w in batch.itertuples(index=False):
+            for s, run, kind, at, said, w in batch.itertuples(index=False):
                 if s != session:
-                    session, tasks, last, before = s, [], None, None
+                    session, known, verdicts = s, [], []
                 own = set(w)
-                score, best = max(((len(own & t) / min(len(own), len(t)) if own and t else 0.0, k) for k, t in enumerate(tasks)), default=(0.0, -1))
-                if score >= threshold:
-                    task, how = best, "words"
-                    tasks[task] |= own
-                elif last is not None and (kind == "reviewer" or before == "changes"):
-                    task, how = last, "time"
-                elif kind == "builder":
-                    tasks.append(own)
-                    task, how = len(tasks) - 1, "new"
+                score, best = max(((len(own & t) / min(len(own), len(t)) if own and t else 0.0, k) for k, t in enumerate(known)), default=(0.0, -1))
+                if best >= 0 and score >= threshold:
+                    task, how = best, "description"
+                elif known and (kind == "reviewer" or verdicts[-1] == "changes"):
+                    task, how = len(known) - 1, "time"
                 else:
-                    task, how = None, "unlinked"
-                if task is not None:
-                    last = task
-                before = said if kind == "reviewer" else before if kind != "builder" else None
-                out.append((s, run, kind, task, how))
-            yield pd.DataFrame(out, columns=["session_id", "id", "type", "task", "linked_by"])
+                    known.append(set())
+                    verdicts.append(None)
+                    task, how = len(known) - 1, "new" if kind == "builder" else "unlinked"
+                if how != "time":
+                    known[task] |= own
+                if kind == "reviewer":
+                    verdicts[task] = said
+                out.append((s, run, kind, at, task, how, said))
+            yield pd.DataFrame(out, columns=["session_id", "id", "type", "started_at", "task", "linked_by", "verdict"])
 
-    return ordered.mapInPandas(link, "session_id string, id string, type string, task bigint, linked_by string")
+    return ordered.mapInPandas(link, "session_id string, id string, type string, started_at bigint, task bigint, linked_by string, verdict string")
 
 
-def tasks(linked: DataFrame) -> DataFrame:
-    """Per task: builders, reviewers, rounds (the more of both) and whether all are linked by words."""
-    per = linked.where("task IS NOT NULL").groupBy("session_id", "task").agg(F.count_if(F.col("type") == "builder").alias("builders"), F.count_if(F.col("type") == "reviewer").alias("reviewers"), F.count_if(F.col("linked_by") == "time").alias("by_time"))
-    return per.withColumn("rounds", F.greatest("builders", "reviewers")).withColumn("all_linked", F.col("by_time") == 0)
+def tasks(linked: DataFrame, rounds: int = 2) -> DataFrame:
+    """Per task: runs of both kinds, rounds (its reviews), whether all runs are linked by words, how each was linked, and the runs beyond ``rounds``.
+
+    The extra runs are ranked in a window over one task's runs of a kind.
+    """
+    ranked = linked.withColumn("n", F.row_number().over(Window.partitionBy("session_id", "task", "type").orderBy("started_at", "id")))
+    count = lambda c: F.count_if(c)
+    per = ranked.groupBy("session_id", "task").agg(
+        count(F.col("type") == "builder").alias("builders"),
+        count(F.col("type") == "reviewer").alias("reviewers"),
+        *[count(F.col("linked_by") == m).alias(f"by_{m}") for m in ("description", "new", "time", "unlinked")],
+        *[count((F.col("type") == "reviewer") & (F.col("verdict") == v)).alias(v) for v in ("approve", "changes", "unclear")],
+        F.array_sort(F.collect_list(F.when(F.col("n") > rounds, F.struct("type", "n", "id")))).alias("extra"),
+    )
+    return per.withColumns({"rounds": F.col("reviewers"), "all_linked": (F.col("by_time") == 0) & (F.col("by_unlinked") == 0), "extra_runs": F.transform("extra", lambda x: x["id"])}).drop("extra")
 
 
 def rounds_histogram(per_task: DataFrame) -> DataFrame:
-    return per_task.groupBy("rounds").agg(F.count(F.lit(1)).alias("tasks"), whole_median(F.col("reviewers")).alias("median_reviewers"))
+    return per_task.groupBy("rounds").agg(F.count(F.lit(1)).alias("tasks"), whole_median(F.col("builders")).alias("median_builders"))

@@ -11,8 +11,20 @@ from . import content, problems, scanning, sets, streams, usage
 FLAGSHIP = "a2_weekly_by_model_effort"
 
 
+def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Weeks and days of reports are those of UTC, whatever zone the session came with."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, folder)
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.QUERIES | usage.SPARK | content.SPARK | scanning.SPARK | streams.SPARK | sets.SPARK
+    every = problems.QUERIES | usage.SPARK | content.SPARK | scanning.SPARK | streams.SPARK | sets.SPARK
+    return {name: _in_utc(query) for name, query in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -139,6 +139,7 @@ _DRIFT = (
     + " ".join(f"WHEN {_bad(f'{_U}.cache_creation.ephemeral_{t}_input_tokens')} THEN 'ephemeral_{t}'" for t in ("5m", "1h"))
     + f" WHEN {_bad(_U + '.output_tokens_details.thinking_tokens')} THEN 'thinking_tokens' "
     + " ".join(f"WHEN coalesce(json_type(j, '{p}'), 'NULL') NOT IN ('NULL', 'VARCHAR') THEN '{r}'" for p, r in (("$.message.id", "id"), ("$.requestId", "requestId")))
+    + " WHEN json_type(j, '$.message.content') = 'ARRAY' AND len(list_filter(json_extract(j, '$.message.content[*]'), lambda x: json_extract_string(x, '$.type') = 'tool_use' AND (coalesce(json_type(x, '$.id'), '') <> 'VARCHAR' OR json_extract_string(x, '$.id') = ''))) > 0 THEN 'tool_use id'"
     + " WHEN us IS NULL THEN 'timestamp' END"
 )
 

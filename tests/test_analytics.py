@@ -186,14 +186,32 @@ def test_contents(spark, rows):
     assert texts == {(main, "first"), (sub, "VERDICT: changes")}
 
 
+def linked(spark, made):
+    return content.linked_runs(spark.createDataFrame([("s", i, k, d, t, v) for t, i, k, d, v in made], "session_id string, id string, type string, description string, started_at bigint, verdict string"))
+
+
 def test_task_links(spark):
-    made = [(1, "b1", "builder", "alpha beta"), (2, "r1", "reviewer", "alpha beta check"), (3, "r2", "reviewer", "other words"), (4, "b2", "builder", "gamma delta"), (5, "b3", "builder", "alpha beta"), (0, "r0", "reviewer", "too early")]
-    df = spark.createDataFrame([("s", i, k, d, t, None) for t, i, k, d in made], "session_id string, id string, type string, description string, started_at bigint, verdict string")
-    got = {r.id: (r.task, r.linked_by) for r in content.linked_runs(df).collect()}
-    as_task = lambda x: (None if x[0] is None or x[0] != x[0] else int(x[0]), x[1])
-    assert {k: as_task(v) for k, v in got.items()} == {"r0": (None, "unlinked"), "b1": (0, "new"), "r1": (0, "words"), "r2": (0, "time"), "b2": (1, "new"), "b3": (0, "words")}
-    per = {int(r.task): (r.builders, r.reviewers, r.rounds, r.all_linked) for r in content.tasks(content.linked_runs(df)).collect()}
-    assert per == {0: (2, 2, 2, False), 1: (1, 0, 1, True)}
+    made = [
+        (0, "r0", "reviewer", "too early", None),
+        (1, "b1", "builder", "alpha beta", None),
+        (2, "r1", "reviewer", "review alpha beta", "changes"),
+        (3, "b2", "builder", "other words", None),  # after a verdict of changes
+        (4, "r2", "reviewer", "unknown thing", "approve"),
+        (5, "b3", "builder", "gamma delta", None),
+        (6, "b4", "builder", "rebuild alpha beta", None),
+        (7, "x", "scout", "alpha beta", None),
+    ]
+    got = {r.id: (r.task, r.linked_by) for r in linked(spark, made).collect()}
+    assert got == {"r0": (0, "unlinked"), "b1": (1, "new"), "r1": (1, "description"), "b2": (1, "time"), "r2": (1, "time"), "b3": (2, "new"), "b4": (1, "description")}
+    per = {r.task: (r.builders, r.reviewers, r.rounds, r.all_linked, r.extra_runs) for r in content.tasks(linked(spark, made)).collect()}
+    assert per == {0: (0, 1, 1, False, []), 1: (3, 2, 2, False, ["b4"]), 2: (1, 0, 0, True, [])}
+
+
+def test_rounds(spark):
+    one = [(k, f"{kind}{k}", kind, "one task", "changes") for k, kind in enumerate(["builder", "reviewer"] * 4)]
+    per = content.tasks(linked(spark, one))
+    assert [(r.rounds, r.extra_runs, r.changes) for r in per.collect()] == [(4, ["builder4", "builder6", "reviewer5", "reviewer7"], 4)]
+    assert [(r.rounds, r.tasks) for r in content.rounds_histogram(per).collect()] == [(4, 1)]
 
 
 def test_snapshot_merge(spark):

@@ -226,3 +226,46 @@ def tasks(linked: DataFrame, rounds: int = 2) -> DataFrame:
 
 def rounds_histogram(per_task: DataFrame) -> DataFrame:
     return per_task.groupBy("rounds").agg(F.count(F.lit(1)).alias("tasks"), whole_median(F.col("builders")).alias("median_builders"))
+
+
+def _events(call_log: DataFrame, test: str, more: dict[str, str]) -> DataFrame:
+    """Lines that pass ``test``, one per uuid (else file and line), the first by file and line."""
+    x = lines(call_log).where(test)
+    key = F.coalesce(F.expr(_text("$.uuid")), F.concat_ws(":", "src", F.col("line").cast("string")))
+    x = x.select(key.alias("key"), "profile", "session", "run", "us", "src", "line", "log_id", *[F.expr(e).alias(n) for n, e in more.items()])
+    names = ["profile", "session", "run", "us", *more]
+    return x.groupBy("key").agg(F.min_by(F.struct(*names), F.struct("src", "line", "log_id")).alias("r")).select("key", "r.*")
+
+
+def compactions(call_log: DataFrame) -> DataFrame:
+    """Boundaries at which a context was compacted: key, profile, session, run, us, trigger (auto, manual, unknown), tokens before and after."""
+    meta = "$.compactMetadata"
+    count = lambda k: f"CASE WHEN {_kind(f'{meta}.{k}')} = 'BIGINT' AND try_variant_get(v, '{meta}.{k}', 'bigint') >= 0 THEN try_variant_get(v, '{meta}.{k}', 'bigint') END"
+    trigger = f"CASE WHEN {_text(meta + '.trigger')} IN ('auto', 'manual') THEN {_text(meta + '.trigger')} ELSE 'unknown' END"
+    return _events(call_log, f"{_text('$.type')} = 'system' AND {_text('$.subtype')} = 'compact_boundary'", {"trigger": trigger, "pre_tokens": count("preTokens"), "post_tokens": count("postTokens")})
+
+
+def limit_hits(call_log: DataFrame) -> DataFrame:
+    """Lines that a limit cut off: written in place of an answer (model '<synthetic>') with the error 'rate_limit'."""
+    return _events(call_log, f"{_text('$.type')} = 'assistant' AND {_text('$.message.model')} = '<synthetic>' AND {_text('$.error')} = 'rate_limit'", {})
+
+
+def by_trigger(compacted: DataFrame) -> DataFrame:
+    return compacted.where("us IS NOT NULL").groupBy("trigger").agg(F.count(F.lit(1)).alias("compactions"))
+
+
+def within_sessions(events: DataFrame, kept: DataFrame) -> DataFrame:
+    """Events of sessions that occur in ``kept``."""
+    return events.join(kept.select("session").distinct(), "session", "left_semi")
+
+
+def verdicts_of_runs(call_log: DataFrame, handback: str = "SubagentHandback") -> DataFrame:
+    """``src``, ``verdict`` of each subagent's file: that of its last message handed back, else of its last text."""
+    b = blocks(call_log).where("sub")
+    x = lines(call_log).where("sub AND role = 'assistant'")
+    uses = f"filter(transform({_elements("try_variant_get(v, '$.message.content', 'variant')")}, x -> try_cast(x AS {_BLOCK})), b -> b IS NOT NULL AND CAST(b['type'] AS string) = 'tool_use' AND CAST(b['name'] AS string) = '{handback}' AND schema_of_variant(try_variant_get(b['input'], '$.message', 'variant')) = 'STRING')"
+    handed = x.select("src", "line", "log_id", F.expr(f"inline(transform({uses}, b -> struct(try_variant_get(b['input'], '$.message', 'string') AS text)))"))
+    last = handed.groupBy("src").agg(F.max_by("text", F.struct("line", "log_id")).alias("handed"))
+    texts = last_texts(call_log).withColumnRenamed("text", "final")
+    runs = b.select("src").distinct()
+    return runs.join(last, "src", "left").join(texts, "src", "left").select("src", verdict(F.coalesce("handed", "final", F.lit(""))).alias("verdict"))

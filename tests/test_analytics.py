@@ -220,3 +220,31 @@ def test_snapshot_merge(spark):
     b = spark.createDataFrame([(1, t, "s", "a", "completed"), (2, t, "s", "n", "running"), (3, t, None, "e", "idle")], "listing_id bigint, listed_at timestamp, session_id string, id string, status string")
     got = {r.id: (r.change, r.status, r.misses) for r in agents.merged(a, b).collect()}
     assert got == {"a": ("updated", "completed", 0), "b": ("ended", "ended", 0), "c": ("missed", "running", 1), "d": ("dropped", "running", 4), "e": ("updated", "idle", 0), "n": ("inserted", "running", 0)}
+
+
+def test_compactions_and_limits(spark, rows):
+    line = lambda k, **o: (k, "p", "/l/s.jsonl", k, json.dumps({"timestamp": "2021-01-04T00:00:00Z", "sessionId": "S", **o}))
+    boundary = lambda k, **m: line(k, type="system", subtype="compact_boundary", uuid=m.pop("uuid", None), compactMetadata=m)
+    made = [
+        boundary(1, uuid="u", trigger="auto", preTokens=5, postTokens=-1),
+        boundary(2, uuid="u", trigger="manual"),
+        boundary(3, trigger="odd", preTokens=True),
+        line(4, type="system", subtype="other"),
+        line(5, type="assistant", error="rate_limit", message={"role": "assistant", "model": "<synthetic>"}),
+        line(6, type="assistant", error="rate_limit", message={"role": "assistant", "model": "m"}),
+        line(7, type="assistant", message={"role": "assistant", "model": "<synthetic>"}),
+    ]
+    df = spark.createDataFrame(made, "log_id bigint, profile string, src string, line int, json string")
+    got = {(r.key, r.trigger, r.pre_tokens, r.post_tokens) for r in content.compactions(df).collect()}
+    assert got == {("u", "auto", 5, None), ("/l/s.jsonl:3", "unknown", None, None)}
+    assert {r.key for r in content.limit_hits(df).collect()} == {"/l/s.jsonl:5"}
+    kept = spark.createDataFrame([("other",)], "session string")
+    assert content.within_sessions(content.limit_hits(df), kept).isEmpty()
+
+
+def test_verdicts_of_runs(spark, rows):
+    sub = "/l/s/subagents/run-1.jsonl"
+    hand = {"type": "tool_use", "id": "h", "name": "SubagentHandback", "input": {"message": "ok\nVERDICT: PASS"}}
+    made = [log(1, sub, "assistant", [hand]), log(2, sub, "assistant", [{"type": "text", "text": "VERDICT: CHANGES"}]), log(3, "/l/s/subagents/run-2.jsonl", "assistant", [{"type": "text", "text": "VERDICT: CHANGES"}]), log(4, "/l/s.jsonl", "assistant", [hand]), log(5, "/l/s/subagents/run-3.jsonl", "assistant", [{"type": "thinking"}])]
+    df = spark.createDataFrame(made, "log_id bigint, profile string, src string, line int, json string")
+    assert rows(content.verdicts_of_runs(df)) == {(sub, "approve"), ("/l/s/subagents/run-2.jsonl", "changes"), ("/l/s/subagents/run-3.jsonl", "unclear")}

@@ -74,24 +74,23 @@ def blocks(call_log: DataFrame) -> DataFrame:
     return x.select("log_id", "profile", "src", "run", "sub", "session", "us", "pos", text("type"), text("id"), text("name"), text("tool_use_id"), text("text"), path.alias("file_path"), F.expr(content_length("b['content']")).cast("bigint").alias("chars"))
 
 
-def _first(df: DataFrame, key: str) -> DataFrame:
-    """The first row of each key by line and position, reduced in each task before the shuffle."""
-    rest = [c for c in df.columns if c != key]
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("log_id", "pos")).alias("r")).select(key, "r.*")
+def tools(b: DataFrame) -> DataFrame:
+    """Per tool id its first ``use`` and first ``result``, by line and position; null what is nowhere.
 
-
-def tool_uses(b: DataFrame) -> DataFrame:
-    return _first(b.where("type = 'tool_use'").select("id", "log_id", "pos", "name", "file_path", "profile", "session", "src", "run", "sub", "us"), "id")
-
-
-def tool_results(b: DataFrame) -> DataFrame:
-    return _first(b.where("type = 'tool_result'").select("tool_use_id", "log_id", "pos", "chars", "src", "run", "sub", "us"), "tool_use_id")
+    Uses and results meet in one aggregate over their common id: the log is parsed once,
+    nothing is joined, and copies are reduced in each task before the shuffle.
+    """
+    use, result = F.col("type") == "tool_use", F.col("type") == "tool_result"
+    keyed = b.where(use | result).withColumn("tool_id", F.when(use, F.col("id")).otherwise(F.col("tool_use_id"))).where("tool_id IS NOT NULL")
+    order = F.struct("log_id", "pos")
+    first = lambda which, *cols: F.min_by(F.when(which, F.struct(*cols)), F.when(which, order))
+    return keyed.groupBy("tool_id").agg(first(use, "name", "file_path", "profile", "session", "src", "sub", "us").alias("use"), first(result, "chars", "src").alias("result"))
 
 
 def named_results(b: DataFrame) -> DataFrame:
     """Results with the name of the tool that gave them, 'unknown' if its use is nowhere."""
-    uses = tool_uses(b).select(F.col("id").alias("tool_use_id"), "name")
-    return tool_results(b).join(uses, "tool_use_id", "left").withColumn("tool", F.coalesce("name", F.lit("unknown")))
+    t = tools(b).where("result IS NOT NULL")
+    return t.select(F.col("tool_id").alias("tool_use_id"), "result.chars", "result.src", F.coalesce("use.name", F.lit("unknown")).alias("tool"))
 
 
 def results_by_tool(b: DataFrame) -> DataFrame:
@@ -108,9 +107,8 @@ def largest_results(b: DataFrame, top: int = 10) -> DataFrame:
 
 
 def _reads(b: DataFrame, tool: str) -> DataFrame:
-    chars = tool_results(b).select(F.col("tool_use_id").alias("id"), "chars")
-    uses = tool_uses(b).where((F.col("name") == tool) & F.col("file_path").isNotNull())
-    return uses.join(chars, "id", "left").withColumn("chars", F.coalesce("chars", F.lit(0)))
+    t = tools(b).where(F.col("use.name") == tool).where("use.file_path IS NOT NULL")
+    return t.select(F.col("tool_id").alias("id"), "use.*", F.coalesce("result.chars", F.lit(0)).alias("chars"))
 
 
 def repeated_reads(b: DataFrame, tool: str = READ_TOOL, least: int = REPEATED_READS) -> DataFrame:

@@ -194,7 +194,11 @@ def _starts(magic: str) -> Column:
 
 
 def file_findings(entries: DataFrame) -> DataFrame:
-    """Findings on whole files: ``entry_id``, ``path``, ``rule``, ``detail``, and with them ``stop`` where the text isn't to be read."""
+    """Whole files: ``entry_id``, ``path``, ``data``, what was ``found`` on them, and ``stop`` where the text isn't to be read.
+
+    The contents stay in their row, so that nothing is joined to find what is readable;
+    where they aren't asked for, the optimizer doesn't carry them on.
+    """
     ship(entries.sparkSession)
     head = F.decode(F.substring("data", 1, 1024), "ISO-8859-1")
     has_null = F.instr(head, "\x00") > 0
@@ -223,7 +227,7 @@ def file_findings(entries: DataFrame) -> DataFrame:
         _flag("image-polyglot", F.col("image").startswith("polyglot:"), F.substring("image", 10, 1000)),
     )
     stop = ~is_file | F.col("large") | F.col("e_magic").isNotNull() | F.col("a_magic").isNotNull() | F.coalesce(F.col("image") != "mismatch", F.lit(False))
-    return x.select("entry_id", "path", found.alias("found"), F.coalesce(stop, F.lit(False)).alias("stop"))
+    return x.select("entry_id", "path", "data", found.alias("found"), F.coalesce(stop, F.lit(False)).alias("stop"))
 
 
 def climbs_out(path: Column, target: Column) -> Column:
@@ -279,8 +283,7 @@ def findings(entries: DataFrame) -> DataFrame:
     """
     files = file_findings(entries)
     whole = files.select("entry_id", "path", F.lit(None).cast("int").alias("line"), F.inline("found"))
-    readable = entries.where("kind = 'file' AND data IS NOT NULL").join(files.where("NOT stop").select("entry_id"), "entry_id", "left_semi")
-    texts = decoded(readable.select("entry_id", "path", "data")).drop("data")
+    texts = decoded(files.where("NOT stop AND data IS NOT NULL").select("entry_id", "path", "data")).drop("data")
     binary = texts.where("looks_binary").select("entry_id", "path", F.lit(None).cast("int").alias("line"), F.lit("binary-file").alias("rule"), F.lit("non-text content").alias("detail"))
     text_rules = line_findings(lines(texts.drop("looks_binary"))).select("entry_id", "path", "line", "rule", "detail")
     return with_severity(whole.unionByName(binary).unionByName(text_rules))

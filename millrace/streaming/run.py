@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.scalars import kfmt
 from ..session import shared_dir
 
 
@@ -16,3 +18,18 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def latest_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """What a meter holds at this moment, read from its checkpoint: a report between two micro-batches."""
+    return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+
+
+def status_line(totals: DataFrame) -> DataFrame:
+    """``session``, ``line``: the share of the window, tokens of the last turn and its cache share, unknown parts left out.
+
+    Needs ``session``, ``tokens``, ``window``, ``turn_in``, ``turn_out``, ``turn_cached``; any but the first may be null.
+    """
+    context = F.concat(F.lit("ctx "), F.floor(F.col("tokens") * 100 / F.col("window") + 0.5).cast("string"), F.lit("% "), kfmt(F.col("tokens")), F.lit("/"), kfmt(F.col("window")))
+    turn = F.concat(F.lit("turn in "), kfmt(F.col("turn_in")), F.lit(" out "), kfmt(F.col("turn_out")), F.coalesce(F.concat(F.lit(" cache "), F.floor(F.col("turn_cached") * 100 / F.when(F.col("turn_in") > 0, F.col("turn_in")) + 0.5).cast("string"), F.lit("%")), F.lit("")))
+    return totals.select("session", F.concat_ws(" · ", context, turn).alias("line"))

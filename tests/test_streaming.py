@@ -7,7 +7,7 @@ import pytest
 
 from millrace.streaming import meters
 from millrace.streaming import transitions as t
-from millrace.streaming.run import drained
+from millrace.streaming.run import drained, latest_state, status_line
 
 
 def test_end_is_told_once():
@@ -115,3 +115,28 @@ def test_session_stream(spark, tmp_path, gap, closed):
     stream = source(spark, tmp_path, "k string, at timestamp", [[{"k": "a", "at": at(0)}, {"k": "a", "at": at(gap)}], [{"k": "z", "at": "2021-02-01T00:00:00Z"}]])
     got = drained(meters.session_stream(stream, "k", "at"), "t").where("k = 'a'").collect()
     assert len(got) == closed and sum(r.events for r in got) == 2
+
+
+def test_latest_state(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = meters.context_stream(source(spark, tmp_path / "in", meters.CONTEXT_EVENTS, [[{"session": "s", "at_ms": 1, "event": "turn", "input": 5}, {"session": "r", "at_ms": 1, "event": "turn", "output": 7}]]))
+    query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.key[0]: (r.value.turns, r.value.input, r.value.output) for r in latest_state(spark, str(tmp_path / "c"), "context").collect()}
+    assert got == {"s": (1, 5, 0), "r": (1, 0, 7)}
+
+
+def test_restart_continues(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+
+    for k, percent in enumerate((85.0, 90.0)):
+        stream = meters.context_stream(source(spark, tmp_path / "in", meters.CONTEXT_EVENTS, [[{"session": "s", "at_ms": n, "event": "measure", "percent": (85.0, 90.0)[n]}] for n in range(k + 1)]))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    told = sorted((r.at_ms, r.warn) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    assert told == [(0, True), (1, False)]
+
+
+def test_status_line(spark):
+    df = spark.createDataFrame([("a", 84000, 200000, 12300, 1100, 9000), ("b", None, 200000, 5, 6, None), ("c", 1, 200, None, None, None)], "session string, tokens bigint, window bigint, turn_in bigint, turn_out bigint, turn_cached bigint")
+    assert {r.session: r.line for r in status_line(df).collect()} == {"a": "ctx 42% 84k/200k · turn in 12.3k out 1.1k cache 73%", "b": "turn in 5 out 6", "c": "ctx 1% 1/200"}

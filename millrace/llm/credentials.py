@@ -284,6 +284,14 @@ DATA_ITEM = re.compile(r"^\s*[\"']?[\w.-]+[\"']?\s*:\s*[\"']?(?P<v>[A-Za-z0-9+/]
 DECODER = re.compile(r"(?i)atob|b64decode|base64|fromhex|unhexlify|Buffer\.from|decode|unescape|unquote|hex\.|hex\(|DecodeString|decodeURIComponent")
 
 
+#: What a line must hold to be worth a closer look: part of a secret's name, of a place where passwords stand, or a literal long enough. Everything that can be found holds one.
+_GATE = re.compile(
+    r"(?i)pass|p[aă]rol|pw|secret|token|cred|key|hmac|bearer|basic|auth|unlock|seed|\bpem|pem\b|\bpat(?!h)|pat\b|psk|\bpin|pin\b|kennwort|contrase|clave|senha|palavra|wachtwoord|has[lł]o|lozinka|salasana|l[oö]senord|[sş]ifre|heslo|пароль|密码|パスワード|mdp|jwt"
+    r"|://|identified|ssh|curl|wget|http|mysql|mariadb|docker|machine|echo|log_?in|sign|:(?:\d+|\*):|[A-Za-z0-9+/_.=~%\\-]{12,}|[\"'`]\s*(?:\+|\.\.|\|\||&|,|<>)?\s*[rbuf]?[\"'`]"
+)
+_PLACE_GATE = re.compile(r"(?i)identified|password|sshpass|curl|wget|http|mysql|mariadb|docker|machine|echo|log_?in|sign|auth|[;?&]|:(?:\d+|\*):")
+
+
 def _names(text: str) -> list[str]:
     return NAME.findall(text)
 
@@ -313,10 +321,12 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
             taken.append((start, end))
             out.append(Span(number, start, end, kind))
 
+    if not around and not _GATE.search(line):
+        return out
     for m in PROVIDER.finditer(line):
         if is_strong(m[0]):
             add(m.start(), m.end(), "provider")
-    for m in URL.finditer(line):
+    for m in URL.finditer(line) if "://" in line else ():
         if is_strong(m[0]):
             add(m.start("pw"), m.end("pw"), "url")
     for m in AUTH.finditer(line):
@@ -350,7 +360,7 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
             add(s, e, "encoded")
         elif len(v) >= 16 and hidden(v, False):
             add(s, e, "encoded")
-    for p in PLACES:
+    for p in PLACES if _PLACE_GATE.search(line) else ():
         for m in p.finditer(line):
             v = m["v"].rstrip(",;)")
             if not is_void(v) and (is_password(v) and not is_hex_key(v) or is_random(v) or is_strong(v) or is_hex_key(v) and len(v) != 40 or hidden(v, True)):

@@ -210,13 +210,20 @@ _QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 
 
+#: Where garbled forms can be: characters beyond ASCII, with at most one ASCII character between two of them.
+_REGION = re.compile(r"[^\x00-\x7f](?:[\x00-\x7f]?[^\x00-\x7f])*")
+
+
 def _matches(text: str) -> list[tuple[int, int, str, tuple]]:
-    quoted = [m.span() for m in _QUOTED.finditer(text)]
-    out = []
-    for end, (form, kinds) in _automaton().iter(text):
-        start = end - len(form) + 1
-        if not any(s <= start and end < e for s, e in quoted):
-            out += [(start, end + 1, kind, pairs) for kind, pairs in kinds]
+    """Matches outside quotations: start, end, kind, pairs. Only regions with characters beyond ASCII, and one beside them, are read."""
+    quoted = [m.span() for m in _QUOTED.finditer(text)] if "`" in text else []
+    out, iterate, n = [], _automaton().iter, len(text)
+    for region in _REGION.finditer(text):
+        s, e = region.span()
+        for end, (form, kinds) in iterate(text, s - 1 if s else 0, e + 1 if e < n else n):
+            start = end - len(form) + 1
+            if not (quoted and any(a <= start and end < b for a, b in quoted)):
+                out += [(start, end + 1, kind, pairs) for kind, pairs in kinds]
     return out
 
 
@@ -279,21 +286,26 @@ def _east_once(text: str, hits: list[tuple[int, int, str, tuple]]) -> str:
 
 
 _TOKEN = re.compile(r"[^\s]+")
+_SPACE = re.compile(r"\s")
 
 
 def _single(text: str, hits: list[tuple[int, int, str, tuple]], kinds: tuple[str, ...]) -> tuple[str, bool]:
     """Words around matches of one-character forms, read by the pair that makes most of them sound, and with them the words of their line that it makes sound too."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
+    relevant = [h for h in hits if h[2] in kinds]
+    if not relevant:
+        return text, False
     proposed: dict[tuple[int, int], set] = {}
     weak: dict[tuple[int, int], set] = {}
-    k = 0
-    for start, end, kind, pairs in sorted(hits):
-        if kind not in kinds:
-            continue
-        while k < len(spans) and spans[k][1] <= start:
-            k += 1
-        if k < len(spans) and spans[k][0] <= start and end <= spans[k][1]:
-            (weak if kind == "weak" else proposed).setdefault(spans[k], set()).update(pairs)
+    span = (0, 0)
+    for start, end, kind, pairs in sorted(relevant):
+        if start >= span[1]:
+            at = start
+            while at and not text[at - 1].isspace():
+                at -= 1
+            after = _SPACE.search(text, start)
+            span = (at, after.start() if after else len(text))
+        if end <= span[1]:
+            (weak if kind == "weak" else proposed).setdefault(span, set()).update(pairs)
     changed: dict[tuple[int, int], dict[tuple[str, str], str]] = {}
     for span, pairs in proposed.items():
         word = text[span[0] : span[1]]

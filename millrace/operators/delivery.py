@@ -34,11 +34,11 @@ def permuted(high: Column, low: Column) -> tuple[Column, Column]:
 
 def quotient_key(df: DataFrame, identifier: Column, shard_bits: int = 12) -> DataFrame:
     """Adds ``_quotient`` (the shard), ``_remainder_high``, ``_remainder_low`` and ``_prefix``; all null without an identifier."""
-    form = r"^(.*)([0-9a-f]{8})([0-9a-f]{8})$"
     df = df.withColumn("_id", identifier)
-    fixed = F.col("_id").rlike("(?s)" + form)
-    half = lambda k: F.conv(F.regexp_extract("_id", "(?s)" + form, k), 16, 10).try_cast("bigint")
-    df = df.withColumns({"_h0": F.when(fixed, half(2)), "_l0": F.when(fixed, half(3)), "_prefix": F.when(fixed, F.regexp_extract("_id", "(?s)" + form, 1)).otherwise(F.col("_id"))})
+    fixed = F.col("_id").rlike("[0-9a-f]{16}$")
+    half = lambda at: F.conv(F.substring("_id", at, 8), 16, 10).try_cast("bigint")
+    df = df.withColumns({"_h0": F.when(fixed, half(-16)), "_l0": F.when(fixed, half(-8)), "_prefix": F.when(fixed, F.substr("_id", F.lit(1), F.length("_id") - 16)).otherwise(F.col("_id"))})
+    fixed = F.col("_h0").isNotNull()
     high, low = permuted(F.col("_h0"), F.col("_l0"))
     df = df.withColumns({"_h": high, "_l": low})
     other = F.pmod(F.hash("_prefix"), F.lit(1 << shard_bits)).cast("bigint")

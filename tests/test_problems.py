@@ -32,6 +32,8 @@ INSTANTS = [
     ("2021-01-04 03:17:41", 1609730261000000),
     ("2021-01-04T05:17:41+02:00", 1609730261000000),
     ("2021-01-04T05:17:41.5+0200", 1609730261500000),
+    ("2021-01-04T05:17:41,25+02", 1609730261250000),
+    ("2021-01-03T21:47:41.123456789-05:30", 1609730261123456),
     ("2021-01-04T03:17:41.0000001Z", 1609730261000000),
     ("1999-12-31T23:59:59Z", None),
     ("2021-02-30T00:00:00Z", None),

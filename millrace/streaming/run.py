@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import kfmt
 from ..session import shared_dir
@@ -33,3 +35,21 @@ def status_line(totals: DataFrame) -> DataFrame:
     context = F.concat(F.lit("ctx "), F.floor(F.col("tokens") * 100 / F.col("window") + 0.5).cast("string"), F.lit("% "), kfmt(F.col("tokens")), F.lit("/"), kfmt(F.col("window")))
     turn = F.concat(F.lit("turn in "), kfmt(F.col("turn_in")), F.lit(" out "), kfmt(F.col("turn_out")), F.coalesce(F.concat(F.lit(" cache "), F.floor(F.col("turn_cached") * 100 / F.when(F.col("turn_in") > 0, F.col("turn_in")) + 0.5).cast("string"), F.lit("%")), F.lit("")))
     return totals.select("session", F.concat_ws(" · ", context, turn).alias("line"))
+
+
+def live(stream: DataFrame, checkpoint: str, tell: Callable[[DataFrame, int], None], failed: str, every: str | None = "2 seconds") -> StreamingQuery:
+    """Runs a meter with a tick of ``every`` (None: once over what is there) and hands each batch's alerts to ``tell``.
+
+    A batch that ``tell`` fails on is written to ``failed`` and the meter goes on: the
+    state is kept by the query, so a broken screen or mailbox neither stops nor repeats
+    it.
+    """
+
+    def guarded(batch: DataFrame, number: int) -> None:
+        try:
+            tell(batch, number)
+        except Exception as e:  # whatever the receiver does wrong
+            batch.withColumns({"batch": F.lit(number), "error": F.lit(f"{type(e).__name__}: {e}"[:500])}).write.mode("append").parquet(failed)
+
+    writer = stream.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -7,7 +7,7 @@ import pytest
 
 from millrace.streaming import meters
 from millrace.streaming import transitions as t
-from millrace.streaming.run import drained, latest_state, status_line
+from millrace.streaming.run import drained, latest_state, live, status_line
 
 
 def test_end_is_told_once():
@@ -140,3 +140,19 @@ def test_restart_continues(spark, tmp_path):
 def test_status_line(spark):
     df = spark.createDataFrame([("a", 84000, 200000, 12300, 1100, 9000), ("b", None, 200000, 5, 6, None), ("c", 1, 200, None, None, None)], "session string, tokens bigint, window bigint, turn_in bigint, turn_out bigint, turn_cached bigint")
     assert {r.session: r.line for r in status_line(df).collect()} == {"a": "ctx 42% 84k/200k · turn in 12.3k out 1.1k cache 73%", "b": "turn in 5 out 6", "c": "ctx 1% 1/200"}
+
+
+def test_a_failing_receiver_stops_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    e = lambda at, p: {"session": "s", "at_ms": at, "windows": [{"kind": "five_hour", "percent": p, "resets_at": "2030-01-01T00:00:00Z"}]}
+    told = []
+
+    def tell(batch, number):
+        if number == 0:
+            raise RuntimeError("no screen")
+        told.extend(r.level for r in batch.collect())
+
+    stream = meters.limit_stream(source(spark, tmp_path / "in", meters.LIMIT_EVENTS, [[e(1, 81.0)], [e(2, 85.0), e(3, 96.0)]]))
+    live(stream, str(tmp_path / "c"), tell, str(tmp_path / "f"), None).awaitTermination()
+    assert told == [2]
+    assert [(r.level, r.error) for r in spark.read.parquet(str(tmp_path / "f")).collect()] == [(1, "RuntimeError: no screen")]

@@ -44,8 +44,7 @@ def parent_labels(agents: DataFrame) -> DataFrame:
 
 def visible(agents: DataFrame, now: DataFrame) -> DataFrame:
     """Agents that are active, or ended within the grace before ``now`` (a single row)."""
-    x = agents.join(F.broadcast(now))
-    return x.where(is_active(F.col("status")) | (F.col("ended_at") >= F.col("now") - GRACE_MS)).drop("now")
+    return agents.where(is_active(F.col("status")) | (F.col("ended_at") >= now.select("now").scalar() - GRACE_MS))
 
 
 def active_sessions(agents: DataFrame) -> DataFrame:

@@ -98,17 +98,22 @@ def partial_weeks(rows: DataFrame) -> DataFrame:
     """Weeks that the data's first or last day cuts."""
     span = rows.where("at IS NOT NULL").agg(F.to_date(F.min("at")).alias("first"), F.to_date(F.max("at")).alias("last"))
     weeks = rows.where("at IS NOT NULL").select(F.to_date(F.date_trunc("week", "at")).alias("monday")).distinct()
-    joined = weeks.join(F.broadcast(span))  # a single row
+    joined = weeks.withColumn("span", span.select(F.struct("first", "last")).scalar()).select("monday", "span.*")
     reason = F.concat_ws("; ", F.when(F.col("monday") < F.col("first"), "starts late"), F.when(F.date_add("monday", 6) > F.col("last"), "ends early"))
     return joined.select(iso_week(F.col("monday")).alias("week"), reason.alias("reason")).where("reason <> ''")
 
 
 def reconciliation(raw: DataFrame, kept: DataFrame) -> DataFrame:
     """Per measure: raw sum, deduplicated sum, difference, and the number of surplus rows."""
-    total = lambda df, tag: df.agg(F.count(F.lit(1)).alias(f"{tag}_rows"), *[F.sum(m).alias(f"{tag}_{m}") for m in MEASURES])
-    both = total(raw, "raw").join(F.broadcast(total(kept, "kept")))  # single rows
-    line = lambda m: F.struct(F.lit(m).alias("measure"), F.col(f"raw_{m}").alias("raw"), F.col(f"kept_{m}").alias("kept"), (F.col(f"raw_{m}") - F.col(f"kept_{m}")).alias("removed"))
-    return both.select(F.inline(F.array(*[line(m) for m in ("rows", *MEASURES)])))
+    names = ("rows", *MEASURES)
+
+    def total(df: DataFrame, tag: str) -> DataFrame:
+        sums = df.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(m).alias(m) for m in MEASURES])
+        return sums.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(tag).alias("tag"), F.coalesce(m, F.lit(0)).alias("v")) for m in names])))
+
+    side = lambda tag: F.sum(F.when(F.col("tag") == tag, F.col("v")))
+    both = total(raw, "raw").unionByName(total(kept, "kept")).groupBy("measure").agg(side("raw").alias("raw"), side("kept").alias("kept"))
+    return both.withColumn("removed", F.col("raw") - F.col("kept"))
 
 
 def _ordered() -> Column:
@@ -206,7 +211,7 @@ def metrics(rows: DataFrame, low: Column, high: Column) -> DataFrame:
     per = inside.where("stream IS NOT NULL").groupBy("profile", "kind", "stream").agg(F.max("ctx").alias("peak"), F.min_by("ctx", _ordered()).alias("first"))
     peaks = per.agg(whole_median(F.col("peak")).alias("median_peak_context"), F.max("peak").alias("max_peak_context"), F.median(F.when(F.col("kind") == "main", F.col("first"))).cast("bigint").alias("median_first_call_context"))
     total = inside.agg(*measures(), pct(F.sum(F.col("w5") + F.col("w1")), F.sum("ctx")).alias("write_share_pct"), F.expr("try_divide(sum(ctx + out), count(distinct session))").alias("t"))
-    joined = total.join(F.broadcast(peaks))  # single rows
+    joined = total.withColumn("p", peaks.select(F.struct("*")).scalar()).select("*", "p.*")
     return joined.select("sessions", "calls", *MEASURES, "hit_pct", "write_share_pct", F.floor("t").alias("tokens_per_session"), "median_peak_context", "max_peak_context", "median_first_call_context")
 
 
@@ -234,9 +239,11 @@ def before_after(rows: DataFrame, changes: DataFrame, days: int = 14, least: int
 def longest_prefix(values: DataFrame, value: str, prefixes: DataFrame, prefix: str) -> DataFrame:
     """Each distinct value with the longest prefix it begins with, null if none. ``prefixes`` is a small parameter table.
 
-    The theta join runs over distinct values, of which there are few; the fact table then
-    joins by equality. The broadcast is Spark's own choice by size.
+    Each distinct value, of which there are few, meets the table by equality with every
+    beginning of its own.
     """
     distinct = values.select(value).where(F.col(value).isNotNull()).distinct()
-    hits = distinct.join(prefixes.select(prefix).where(F.col(prefix).isNotNull()), F.col(value).startswith(F.col(prefix)), "left")
+    begins = distinct.select(value, F.explode_outer(F.when(F.length(value) > 0, F.sequence(F.lit(1), F.length(value)))).alias("n"))
+    begins = begins.withColumn(prefix, F.substr(value, F.lit(1), F.col("n")))
+    hits = begins.join(prefixes.select(prefix, F.lit(True).alias("known")).distinct(), prefix, "left").withColumn(prefix, F.when(F.col("known"), F.col(prefix)))
     return hits.groupBy(value).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))

@@ -20,8 +20,9 @@ import re
 import urllib.parse
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import takewhile
+from bisect import bisect_right
+from functools import cache, lru_cache
+from itertools import accumulate, takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -284,11 +285,47 @@ DATA_ITEM = re.compile(r"^\s*[\"']?[\w.-]+[\"']?\s*:\s*[\"']?(?P<v>[A-Za-z0-9+/]
 DECODER = re.compile(r"(?i)atob|b64decode|base64|fromhex|unhexlify|Buffer\.from|decode|unescape|unquote|hex\.|hex\(|DecodeString|decodeURIComponent")
 
 
-#: What a line must hold to be worth a closer look: part of a secret's name, of a place where passwords stand, or a literal long enough. Everything that can be found holds one.
-_GATE = re.compile(
-    r"(?i)pass|p[aă]rol|pw|secret|token|cred|key|hmac|bearer|basic|auth|unlock|seed|\bpem|pem\b|\bpat(?!h)|pat\b|psk|\bpin|pin\b|kennwort|contrase|clave|senha|palavra|wachtwoord|has[lł]o|lozinka|salasana|l[oö]senord|[sş]ifre|heslo|пароль|密码|パスワード|mdp|jwt"
-    r"|://|identified|ssh|curl|wget|http|mysql|mariadb|docker|machine|echo|log_?in|sign|:(?:\d+|\*):|[A-Za-z0-9+/_.=~%\\-]{12,}|[\"'`]\s*(?:\+|\.\.|\|\||&|,|<>)?\s*[rbuf]?[\"'`]"
-)
+#: What a line must hold to be worth a closer look: part of a secret's name, of a place where passwords stand, of a provider's form or a decoder, in lower case; or the forms below. Everything that can be found holds one.
+_STEMS = (
+    "pass parol părol pw secret token cred key hmac bearer basic auth unlock seed pem pat psk pin kennwort contrase clave senha palavra wachtwoord haslo hasło lozinka salasana losenord lösenord sifre şifre heslo пароль 密码 パスワード mdp jwt "
+    ":// identified ssh curl wget http mysql mariadb docker machine echo login log_in sign "
+    "sk- ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat- npm_ pypi- aiza akia asia xox hvn. hvs. hvb. hv. hvns. hvnb. hvn qlt_ sk_ rk_ whsec sq0csp shpat shpss shpca sg. dop_v1 hf_ eyj "
+    "atob b64 base64 fromhex unhex buffer.from decode unescape unquote hex. hex( join( concat("
+).split()
+_FORMS = re.compile(r":(?:\d+|\*):|[\"'`][^\s\"'`]{16,}|[\"'`][ \t]*(?:\+|\.\.?|\|\||&|<>)?[ \t]*[rbuf]?[\"'`]|\\[xu0-7]|%[0-9A-Fa-f]{2}|&#")
+
+
+@cache
+def _stems():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for x in _STEMS:
+        a.add_word(x, len(x))
+    a.make_automaton()
+    return a
+
+
+def promising(text: str, starts: list[int]) -> set[int]:
+    """The lines (from 0, beginning at ``starts``) that hold a stem or a form."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer would shift the places
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    out, upto = set(), -1
+    for at, _ in _stems().iter(low):
+        if at > upto:
+            k = bisect_right(starts, at) - 1
+            out.add(k)
+            upto = starts[k + 1] - 1 if k + 1 < len(starts) else len(text)
+    upto = -1
+    for m in _FORMS.finditer(text):
+        if m.start() > upto:
+            k = bisect_right(starts, m.start()) - 1
+            out.add(k)
+            upto = starts[k + 1] - 1 if k + 1 < len(starts) else len(text)
+    return out
+
+
 _PLACE_GATE = re.compile(r"(?i)identified|password|sshpass|curl|wget|http|mysql|mariadb|docker|machine|echo|log_?in|sign|auth|[;?&]|:(?:\d+|\*):")
 
 
@@ -321,8 +358,6 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
             taken.append((start, end))
             out.append(Span(number, start, end, kind))
 
-    if not around and not _GATE.search(line):
-        return out
     for m in PROVIDER.finditer(line):
         if is_strong(m[0]):
             add(m.start(), m.end(), "provider")
@@ -388,9 +423,16 @@ def labels_of(strings: list[tuple[int, int, str]], k: int, rest: str) -> set[str
     return {v} if after[:1] in (":", "]") and not after.startswith(("];", "])")) else set()
 
 
+_MANIFEST = re.compile(r"(?m)^\s*(?:data|stringData|binaryData)\s*:\s*$")
+_OPENERS = frozenset(":=|>-+(\\[0123456789")
+
+
 def scan_text(text: str) -> list[Span]:
     """All credentials of a text; ``line`` counts from 1 after splitting at LF, ``start`` and ``end`` are within the line."""
     lines = text.split("\n")
+    starts = list(accumulate((len(x) + 1 for x in lines[:-1]), initial=0))
+    closer = promising(text, starts)
+    keys, manifests = "-----BEGIN" in text, bool(_MANIFEST.search(text))
     out: list[Span] = []
     inside = None
     block = -1
@@ -400,7 +442,7 @@ def scan_text(text: str) -> list[Span]:
         line = full[:-1] if full.endswith("\r") else full
         if number <= skip:
             continue
-        opened = DATA_BLOCK.match(line)
+        opened = DATA_BLOCK.match(line) if manifests else None
         if opened:
             block = len(opened[1])
         elif block >= 0 and line.strip():
@@ -411,7 +453,8 @@ def scan_text(text: str) -> list[Span]:
                 out.append(Span(number, m.start("v"), m.end("v"), "manifest"))
                 before = [before[1], line]
                 continue
-        if PIECE.match(line) and OPENED.search(before[1]):
+        begun = before[1][-1:] in _OPENERS and bool(OPENED.search(before[1]))
+        if begun and PIECE.match(line):
             run = [m for m in (PIECE.match(x.rstrip("\r")) for x in takewhile(lambda x: PIECE.match(x.rstrip("\r")), lines[number - 1 : number + 63])) if m]
             whole = "".join(m["v"] for m in run)
             if len(run) > 1 and not any(m[0].rstrip().endswith(",") for m in run[:-1]):
@@ -429,7 +472,7 @@ def scan_text(text: str) -> list[Span]:
             if not begins and re.fullmatch(r"[\s#/*;\"'+,\\n|>-]*(?:[A-Za-z0-9+/=]*|[A-Za-z-]+: .*)[\s\"'+,\\n]*", line):
                 continue
             inside = None
-        begin = PEM.search(line)
+        begin = PEM.search(line) if keys else None
         if begin:
             tail = line[begin.end() :]
             body = re.sub(r"\\n|\\r|\s", "", tail) or "".join(lines[number : number + 2])
@@ -440,13 +483,15 @@ def scan_text(text: str) -> list[Span]:
             before = [before[1], line]
             continue
         around = ""
-        if OPENED.search(before[1]) and ALONE.match(line):
+        if begun and ALONE.match(line):
             around = before[1]
-        elif re.match(r"\s*[\"']?(?:value|val|default)[\"']?\s*[:=]", line) and re.search(r"(?i)\b(?:name|key|id)[\"']?\s*[:=]", before[1]):
+        elif "val" in line and re.match(r"\s*[\"']?(?:value|val)[\"']?\s*[:=]", line) and re.search(r"(?i)\b(?:name|key|id)[\"']?\s*[:=]", before[1]):
             around = before[1]
-        out += scan_line(line, around, number)
-        if line.strip():
-            before = [before[1], line]
+        if around or number - 1 in closer:
+            out += scan_line(line, around, number)
+        bare = line.rstrip()
+        if bare:
+            before = [before[1], bare]
     return out
 
 

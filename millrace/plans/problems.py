@@ -74,7 +74,7 @@ def p5_usage(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_delivered_once, p2_found, p2_paths, p2_descendants, p3_found, p3_unified, p3_renames, p4_found, p4_sessions, p5_found, p5_blocks, p5_lines, p5_usage)}
 
-#: Independent SQL of the problems that SQL can express; drift is tested against plain Python.
+#: Independent SQL of the problems that SQL can express.
 _IDENTIFIED = r"""
 WITH p AS (
   SELECT row_id, message.usage.output_tokens AS o, session_id, regexp_extract(ts, '^(2[0-9]{3}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2}:[0-5][0-9])([.,]([0-9]+))?(Z|[+-]([01][0-9]|2[0-3])(:?[0-5][0-9])?)?$', ['d', 't', 'x', 'f', 'z']) AS m,
@@ -95,6 +95,7 @@ par AS (SELECT c.id, ids.id AS parent FROM c LEFT JOIN ids ON ids.id = c.p AND t
 w AS (SELECT id AS start, id AS cur, [id] AS path, false AS ring FROM par UNION ALL SELECT w.start, par.parent, list_append(w.path, par.parent), list_contains(w.path, par.parent) FROM w JOIN par ON par.id = w.cur WHERE par.parent IS NOT NULL AND NOT w.ring),
 f AS (SELECT start, arg_max(cur, len(path)) AS cur, arg_max(path, len(path)) AS path, bool_or(ring) AS ring FROM w GROUP BY 1)
 """
+_ABOVE = ", h AS (SELECT start, ring, CASE WHEN ring THEN path[:list_position(path, cur)] ELSE path END AS up FROM f), y AS (SELECT * FROM (SELECT start, unnest(up) AS a, unnest(range(len(up))) AS d FROM h) WHERE d > 0) "
 _NESTED = r"""
 WITH RECURSIVE l AS (SELECT log_id, json_extract(json, '$.message.content') AS c FROM call_log WHERE json_valid(json) AND json_type(json) = 'OBJECT'),
 e AS (SELECT log_id, '' AS up, CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') WHEN 'OBJECT' THEN [c] ELSE [] END AS xs FROM l),
@@ -106,11 +107,34 @@ b AS (
 u AS (SELECT x->>'$.id' AS id, arg_min(struct_pack(log_id := log_id, path := path), (log_id, list_transform(string_split(path, '/'), lambda k: CAST(k AS int)))) AS t FROM b WHERE json_type(x, '$.id') = 'VARCHAR' AND x->>'$.type' = 'tool_use' GROUP BY 1),
 d AS (SELECT b.log_id, b.path, coalesce(u.t.log_id, b.log_id) AS parent_log_id, coalesce(u.t.path, b.up) AS parent_path FROM b LEFT JOIN u ON b.x->>'$.type' = 'tool_result' AND json_type(b.x, '$.tool_use_id') = 'VARCHAR' AND u.id = b.x->>'$.tool_use_id')
 """
+#: Here fields lost and gained of one type are paired by name alone, which is enough unless more are lost than gained.
+_CHANGES = r"""
+WITH l AS (SELECT log_id, src, json::json AS j FROM call_log WHERE json_valid(json) AND json_type(json) = 'OBJECT' AND json_type(json, '$.message') = 'OBJECT' AND json_extract_string(json, '$.message.role') = 'assistant'),
+s AS (SELECT CASE WHEN contains(field, '.') THEN regexp_replace(field, '\.[^.]*$', '') ELSE '' END AS obj, regexp_extract(field, '[^.]*$') AS name, json_type, is_required, field, field IN ('type', 'message.model', 'message.usage') OR starts_with(field, 'message.usage.') AS within FROM log_schema),
+o AS (SELECT log_id, src, p AS obj, CASE WHEN p = '' THEN j ELSE json_extract(j, '$.' || p) END AS x FROM l, (SELECT DISTINCT obj AS p FROM s) WHERE p = '' OR json_type(j, '$.' || p) = 'OBJECT'),
+k AS (SELECT log_id, src, obj, name, CASE json_type(x, '$."' || name || '"') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' ELSE lower(json_type(x, '$."' || name || '"')) END AS kind FROM (SELECT *, unnest(json_keys(x)) AS name FROM o)),
+lost AS (SELECT o.log_id, o.src, o.obj, s.name, s.field, s.within, s.json_type AS kind, row_number() OVER (PARTITION BY o.log_id, o.obj, s.json_type ORDER BY s.name) AS n FROM o JOIN s ON s.obj = o.obj AND s.is_required WHERE NOT list_contains(json_keys(o.x), s.name)),
+gain AS (SELECT k.*, row_number() OVER (PARTITION BY k.log_id, k.obj, k.kind ORDER BY k.name) AS n FROM k ANTI JOIN s ON s.obj = k.obj AND s.name = k.name),
+c AS (
+  SELECT lost.src, field, CASE WHEN gain.name IS NULL THEN 'removed' ELSE 'renamed' END AS change FROM lost LEFT JOIN gain ON gain.log_id = lost.log_id AND gain.obj = lost.obj AND gain.kind = lost.kind AND gain.n = lost.n WHERE within
+  UNION ALL SELECT gain.src, CASE WHEN gain.obj = '' THEN '' ELSE gain.obj || '.' END || gain.name, 'added' FROM gain ANTI JOIN lost ON gain.log_id = lost.log_id AND gain.obj = lost.obj AND gain.kind = lost.kind AND gain.n = lost.n
+  UNION ALL SELECT k.src, s.field, 'retyped' FROM k JOIN s ON s.obj = k.obj AND s.name = k.name WHERE s.within AND s.json_type <> 'any' AND k.kind NOT IN ('null', s.json_type)
+)
+"""
 SQL = {
+    "p3_found": _CHANGES + "SELECT DISTINCT src, field, change FROM c",
     "p1_found": _RANKED + "SELECT row_id FROM k WHERE key IS NOT NULL AND n > 1",
     "p1_delivered_once": _RANKED + "SELECT c.row_id, c.session_id, c.request_id, c.message.id AS message_id, c.message.usage.output_tokens AS output_tokens FROM calls c JOIN k ON k.row_id = c.row_id WHERE key IS NULL OR n = 1",
     "p2_found": _LINKS + "SELECT start AS agent_id, CASE WHEN ring THEN list_min(path[list_position(path, cur):]) ELSE cur END AS root_id, CASE WHEN ring THEN -1 ELSE len(path) - 1 END::bigint AS depth FROM f",
+    "p2_paths": _LINKS + _ABOVE + "SELECT start AS agent_id, array_to_string(list_reverse(up), '/') AS path, coalesce(n, 0) AS n_descendants, ring AS on_or_below_cycle FROM h LEFT JOIN (SELECT a, count(*) AS n FROM y GROUP BY 1) ON a = start",
+    "p2_descendants": _LINKS + _ABOVE + "SELECT a AS ancestor_id, start AS descendant_id, CAST(d AS bigint) AS distance FROM y",
     "p4_found": _STRETCHES + "SELECT session_id, min(us) // 1000 AS start_ms, max(us) // 1000 AS end_ms FROM g GROUP BY session_id, n",
     "p4_sessions": _STRETCHES + "SELECT session_id, min(us) // 1000 AS start_ms, max(us) // 1000 AS end_ms, max(us) // 1000 - min(us) // 1000 AS duration_ms, count(*) AS calls FROM g GROUP BY session_id, n",
     "p5_found": _NESTED + "SELECT DISTINCT * FROM d",
+    "p5_lines": r"WITH l AS (SELECT *, json::json AS j FROM call_log WHERE json_valid(json) AND json_type(json) = 'OBJECT') SELECT log_id, src, line, "
+    + ", ".join(f"CASE WHEN json_type(j, '{path}') = 'VARCHAR' THEN j->>'{path}' END AS {name}" for path, name in (("$.type", "type"), ("$.timestamp", "ts"), ("$.sessionId", "session_id"), ("$.uuid", "uuid"), ("$.requestId", "request_id"), ("$.message.id", "message_id"), ("$.message.role", "role"), ("$.message.model", "model")))
+    + " FROM l",
+    "p5_usage": "WITH u AS (SELECT log_id, json_extract(json, '$.message.usage') AS u FROM call_log WHERE json_valid(json) AND json_type(json, '$.message.usage') = 'OBJECT'), "
+    + "k AS (SELECT log_id, '' AS parent_path, unnest(json_keys(u)) AS field, u AS x FROM u), n AS (SELECT log_id, field AS parent_path, json_extract(x, '$.\"' || field || '\"') AS x FROM k WHERE json_type(x, '$.\"' || field || '\"') = 'OBJECT'), "
+    + "a AS (SELECT * FROM k UNION ALL SELECT log_id, parent_path, unnest(json_keys(x)), x FROM n) SELECT log_id, parent_path, field, CAST(json_extract_string(x, '$.\"' || field || '\"') AS bigint) AS tokens FROM a WHERE json_type(x, '$.\"' || field || '\"') IN ('UBIGINT', 'BIGINT')",
 }

@@ -195,13 +195,15 @@ def test_p3_changes(spark, small, rows):
         ("nested", sound(**{u + "cache_creation__ephemeral_5m_input_tokens": None, u + "cache_creation__5m": 6})),
         ("user", sound(message__role="user", type=None)),
     ]
+    spelled = json.dumps(sound(type=None)).replace('"role": "assistant"', '"role": "\\u0061ssistant"')
     made = [(k, src, json.dumps(o), "x", "y") for k, (src, o) in enumerate(lines)]
-    made += [(100, "zero", json.dumps(sound()).replace('"input_tokens": 1,', '"input_tokens": 1.0,'), "x", "y"), (101, "broken", '{"type"', "x", "y"), (102, "blank", None, "x", "y"), (103, None, json.dumps(sound(type=3)), "x", "y"), (104, "list", "[1]", "x", "y")]
+    made += [(99, "spelled", spelled, "x", "y"), (100, "zero", json.dumps(sound()).replace('"input_tokens": 1,', '"input_tokens": 1.0,'), "x", "y"), (101, "broken", '{"type"', "x", "y"), (102, "blank", None, "x", "y"), (103, None, json.dumps(sound(type=3)), "x", "y"), (104, "list", "[1]", "x", "y")]
     df = spark.createDataFrame(made, LOG)
     d = drift.Drift(spark, df, schema)
     got = rows(d.changes())
     assert got == {
         ("removed", "type", "removed"),
+        ("spelled", "type", "removed"),
         ("renamed", "message.usage.output_tokens", "renamed"),
         ("both", "message.usage.output_tokens", "renamed"),
         ("both", "message.usage.input_tokens", "removed"),

@@ -46,7 +46,7 @@ LETTERS = {
     "el": "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋ",
 }
 # Signs that go with any language.
-SIGNS = "‘’‚“”„–—―…•·×÷°©®™±§«»¡¿€£→←↑↓≈≤≥≠√∞½¼¾⅓²³µ  ​‍️﻿─│└├┌┐■▪✓✔✅❌⚠ªº¹"
+SIGNS = "\u3000‘’‚“”„–—―…•·×÷°©®™±§«»¡¿€£→←↑↓≈≤≥≠√∞½¼¾⅓²³µ  ​‍️﻿─│└├┌┐■▪✓✔✅❌⚠ªº¹"
 # Encodings as which UTF-8 is read, and single-byte encodings taken for one another.
 READ_AS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "cp1254", "iso8859-15", "cp1253", "cp1257", "cp437", "cp850", "cp852", "mac_roman", "koi8-r", "cp866")
 SINGLE = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac_cyrillic", "mac_roman", "cp437", "cp850", "cp1254", "cp1253")
@@ -172,7 +172,9 @@ def _automaton():
                 common = [read_wrongly(chr(k).encode(e), d) for k in range(first, first + 82)]
                 for x in common:
                     for y in common:
-                        add(x + y, "east", (e, d))
+                        # In Mac Roman, É and Ç stand for the first byte, and capitals of sound text for the second.
+                        if d != "mac_roman" or not re.search("[A-Za-z]", x + y):
+                            add(x + y, "east", (e, d))
     for codec, leads in KANA_LEADS.items():
         for c in leads:
             add(c, "kana", (codec,))
@@ -190,6 +192,8 @@ def _automaton():
                     for a in "abcdefghijklmnopqrstuvwxyz":
                         add(a + g, "single", (e, d))
                         add(g + a, "single", (e, d))
+                    if "\x80" <= g <= "\x9f":  # a control character needs no neighbour to be out of place
+                        add(g, "single", (e, d))
                 elif latin and g in "ýþð":
                     add(g, "weak", (e, d))
             common = [forms[c] for c in "оеаинтсрвлкмдпуяыьзбгчйхжшюцщэф" if c in forms]
@@ -264,23 +268,29 @@ def _utf8_once(text: str, hits: list[tuple[int, int, str, tuple]]) -> str:
     return "".join(out)
 
 
+_EAST = re.compile(r"[\u3000-\u30ff\u4e00-\u9fff\uff00-\uff9f]")
+
+
 def _east_once(text: str, hits: list[tuple[int, int, str, tuple]]) -> str:
     """Words with garbled kana of an East Asian encoding, decoded by the pair that most matches speak for."""
     votes = Counter(p for _, _, k, pairs in hits if k == "east" for p in pairs)
     (e, d), _ = votes.most_common(1)[0]
     starts = sorted(start for start, _, k, pairs in hits if k == "east")
     out, done, k = [], 0, 0
-    for m in re.finditer(r"[^\s\"]+", text):
-        hit = False
-        while k < len(starts) and starts[k] < m.end():
-            hit |= starts[k] >= m.start()
-            k += 1
-        raw = write_back(m[0], d) if hit else None
-        if raw is not None:
-            new = raw.decode(e, "ignore" if e == "euc_jp" else "replace")
-            if new.count("\ufffd") * 10 <= len(new):
-                out += [text[done : m.start()], new]
-                done = m.end()
+    for line in re.finditer(r"[^\n]+", text):
+        if not any(line.start() <= x < line.end() for x in starts):
+            continue
+        for m in re.compile(r"[^\s\"]+").finditer(text, line.start(), line.end()):
+            hit = False
+            while k < len(starts) and starts[k] < m.end():
+                hit |= starts[k] >= m.start()
+                k += 1
+            raw = None if m[0].isascii() else write_back(m[0], d)
+            if raw is not None:
+                new = raw.decode(e, "ignore" if e == "euc_jp" else "replace")
+                if new.count("\ufffd") * 10 <= len(new) if hit else "\ufffd" not in new and _EAST.search(new):
+                    out += [text[done : m.start()], new]
+                    done = m.end()
     out.append(text[done:])
     return "".join(out)
 
@@ -340,7 +350,13 @@ def _single(text: str, hits: list[tuple[int, int, str, tuple]], kinds: tuple[str
     if not changed:
         return text, False
     votes = Counter(p for options in changed.values() for p in options)
-    rank = lambda p: (votes[p], -SINGLE.index(p[0]) - SINGLE.index(p[1]))
+    letters = {p: {c for options in changed.values() if p in options for c in options[p].lower() if c.isalpha() and not c.isascii()} for p in votes}
+    around = set(text.lower())
+
+    def rank(p: tuple[str, str]) -> tuple:
+        """The pair that mends most words; then the one whose letters are those of one language, and of the text around."""
+        return votes[p], any(letters[p] <= s for s in _sets()), len(letters[p] & around), -SINGLE.index(p[0]) - SINGLE.index(p[1])
+
     final = {span: options[max(options, key=rank)] for span, options in changed.items()}
     for line in re.finditer(r"[^\n]+", text):
         inside = [s for s in changed if line.start() <= s[0] and s[1] <= line.end()]

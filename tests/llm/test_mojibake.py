@@ -67,3 +67,16 @@ def test_rows(spark, small):
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "4", "None"] and all(r.restored.endswith(TEXTS["de"]) for r in got)
     assert m.repaired(df.where("false")).isEmpty()
     assert QUERIES["p9_found"](spark, small).columns == ["doc_id"]
+
+
+@pytest.mark.parametrize("lang", ["fr", "pt"])
+def test_capitals_are_sound(lang):
+    text = {"fr": "L’AGENT DÉLÉGUÉ RÉÉCRIT L’ÉLÉMENT, LES DONNÉES PÉRIMÉES ET LA CLÉ RÉSERVÉE", "pt": "A FUNÇÃO NÃO OMITE AS INFORMAÇÕES, AMANHÃ ÀS TRÊS"}[lang]
+    assert m.restore(text) == (False, text)
+
+
+def test_japanese_read_as_western():
+    for written, read in (("cp932", "cp1252"), ("euc_jp", "latin-1")):
+        bad = m.read_wrongly(TEXTS["ja"].encode(written), read)
+        found, new = m.restore(f"words.\n{bad}\n")
+        assert found and sum(a == b for a, b in zip(new, f"words.\n{TEXTS['ja']}\n")) > 0.8 * len(new)

@@ -235,7 +235,7 @@ def is_strong(v: str) -> bool:
     m = PROVIDER.search(v)
     if m and not PLACEHOLDER.match(m[0]) and not re.search(r"(?i)example|x{6,}", m[0]) and len(set(m[0][4:])) > 6:
         return True
-    if PEM.search(v):
+    if any(has_body(v[m.end() :]) for m in PEM.finditer(v)):
         return True
     m = URL.search(v)
     if m and not is_void(urllib.parse.unquote(m["pw"])) and not re.fullmatch(r"[A-Za-z]{1,8}", m["pw"]):
@@ -244,6 +244,78 @@ def is_strong(v: str) -> bool:
     return bool(m and m.start() == 0 and m.end() == len(v.rstrip()) and not is_void(m["v"]) and (is_random(m["v"]) or is_hex_key(m["v"]) or m["scheme"].lower() == "basic" and hidden(m["v"], True)))
 
 
+# --- private keys -----------------------------------------------------------------
+
+# What may stand around the base64 of a key: quotes, operators, comment signs, line breaks written out.
+_FRAME = r"(?:\\+[nrt]|[\s#/*;\"'`+,\\|>.&<()\[\]!-]|(?<![A-Za-z0-9])[rbuf](?=[\"'`]))*+"
+_OWN_FRAME = re.compile(_FRAME)
+_BODY_LINE = re.compile(rf"{_FRAME}(?:[A-Za-z0-9+/=]++(?:(?=\s*[\"'`\\]){_FRAME}[A-Za-z0-9+/=]++)*+{_FRAME})?")
+_HEADER_LINE = re.compile(rf"{_FRAME}(?P<k>[A-Za-z][A-Za-z-]*): ")
+_BODY_PART = re.compile(r"\\+[nrt]|[rbuf](?=[\"'`])|[A-Za-z0-9+/=]+")
+_NO_KEY = re.compile(r"(?i)\.\.\.|example|redacted|placeholder|\*\*\*\*|xxxx")
+
+
+def has_body(text: str) -> bool:
+    """Whether the text after a key's header holds its body."""
+    body = re.sub(r"\\+[nrt]|\s", "", text)
+    return bool(re.search(r"[A-Za-z0-9+/]{16,}", body)) and not _NO_KEY.search(body[:200])
+
+
+def key_block(lines: list[str], k: int, at: int) -> tuple[int, int, bool] | None:
+    """Where the private key ends whose header ends at ``at`` in line ``k`` (from 0): line, column and whether an END line closes it; None if no key follows.
+
+    Between header and body there may be lines of the form 'Name: value'. Lines are read
+    as far as they can belong to the block, so each may be quoted, commented or continued.
+    """
+    tail = lines[k][at:].rstrip("\r")
+    same = PEM_END.search(tail)
+    if same:
+        return (k, at + same.end(), True) if has_body(tail[: same.start()]) else None
+    if re.search(r"[A-Za-z0-9+/]{16,}", re.sub(r"\\+[nrt]|\s", "", tail)):
+        if not has_body(tail):
+            return None
+        body = tail
+    elif _OWN_FRAME.fullmatch(tail):
+        body = ""
+    else:
+        return None
+    last, closed, column = k, False, len(lines[k])
+    parts, n, long = [body], k, k
+    while (n := n + 1) < len(lines):
+        line = lines[n].rstrip("\r")
+        end = PEM_END.search(line)
+        if end:
+            line = line[: end.start()]
+        header = None if any(parts) or end else _HEADER_LINE.match(line)
+        if header and not is_secret_name(header["k"]):
+            continue
+        if not _BODY_LINE.fullmatch(line):
+            if n <= k + 2 and not PEM.search(line):
+                parts.append(line)  # may say that this is no key
+            break
+        part = "".join(x for x in _BODY_PART.findall(line) if x[0] != "\\" and re.search("[A-Za-z0-9=]", x) and not (len(x) == 1 and x in "rbuf"))
+        if part:
+            parts.append(part)
+            if n == long + 1 or len(part) >= 16:
+                last, column = n, len(line)
+            if len(part) >= 16:
+                long = n
+        if end:
+            last, column, closed = n, end.end(), True
+            break
+    body = "".join(parts)
+    if not re.search(r"[A-Za-z0-9+/]{16,}", body) or _NO_KEY.search(body[:200]):
+        return None
+    if tail.strip() and last > k and not all(re.search(c, body) for c in ("[a-z]", "[A-Z]", "[0-9]")):
+        return None  # a list of markers
+    return (last, column, closed) if last > k or parts[0] else None
+
+
+def mask_body(text: str) -> str:
+    """The base64 of a key's body masked; quotes, operators, comment signs and written-out line breaks stay."""
+    return _BODY_PART.sub(lambda m: m[0] if m[0][0] == "\\" or not re.search("[A-Za-z0-9=]", m[0]) or len(m[0]) == 1 and m[0] in "rbuf" else "*" * len(m[0]), text)
+
+
 # --- literals of a line -----------------------------------------------------------
 
 
@@ -434,7 +506,7 @@ def scan_text(text: str) -> list[Span]:
     closer = promising(text, starts)
     keys, manifests = "-----BEGIN" in text, bool(_MANIFEST.search(text))
     out: list[Span] = []
-    inside = None
+    resume = column = 0
     block = -1
     before = ["", ""]
     skip = 0
@@ -454,7 +526,7 @@ def scan_text(text: str) -> list[Span]:
                 before = [before[1], line]
                 continue
         begun = before[1][-1:] in _OPENERS and bool(OPENED.search(before[1]))
-        if begun and PIECE.match(line):
+        if begun and number != resume and PIECE.match(line):
             run = [m for m in (PIECE.match(x.rstrip("\r")) for x in takewhile(lambda x: PIECE.match(x.rstrip("\r")), lines[number - 1 : number + 63])) if m]
             whole = "".join(m["v"] for m in run)
             if len(run) > 1 and not any(m[0].rstrip().endswith(",") for m in run[:-1]):
@@ -463,32 +535,29 @@ def scan_text(text: str) -> list[Span]:
                     out += [Span(number + k, m.start("v"), m.end("v"), "pieces" if k == 0 else "piece") for k, m in enumerate(run)]
                 before, skip = [before[1], line], number + len(run) - 1
                 continue
-        if inside is not None:
-            end = PEM_END.search(line)
-            begins = PEM.search(line)
-            if end:
-                inside = None
+        keyed: list[Span] = []  # private keys that begin on this line
+        upto = column if number == resume else 0  # what is before belongs to a key that ends here
+        begin = PEM.search(line, upto) if keys else None
+        while begin:
+            block_end = key_block(lines, number - 1, begin.end())
+            if block_end and block_end[0] == number - 1:
+                keyed.append(Span(number, begin.start(), block_end[1], "private key"))
+                begin = PEM.search(line, block_end[1])
                 continue
-            if not begins and re.fullmatch(r"[\s#/*;\"'+,\\n|>-]*(?:[A-Za-z0-9+/=]*|[A-Za-z-]+: .*)[\s\"'+,\\n]*", line):
-                continue
-            inside = None
-        begin = PEM.search(line) if keys else None
-        if begin:
-            tail = line[begin.end() :]
-            body = re.sub(r"\\n|\\r|\s", "", tail) or "".join(lines[number : number + 2])
-            if re.search(r"[A-Za-z0-9+/]{16,}", body) and not re.search(r"(?i)\.\.\.|example|redacted|placeholder|\*\*\*\*|xxxx", body[:200]):
-                same = PEM_END.search(line, begin.end())
-                out.append(Span(number, begin.start(), same.end() if same else len(line), "private key"))
-                inside = None if same else number
-            before = [before[1], line]
-            continue
+            if block_end:
+                keyed.append(Span(number, begin.start(), len(line), "private key"))
+                resume, column, closed = block_end[0] + 1, block_end[1], block_end[2]
+                skip = resume - 1 if closed else resume
+                break
+            begin = PEM.search(line, begin.end())
+        out += keyed
         around = ""
         if begun and ALONE.match(line):
             around = before[1]
         elif "val" in line and re.match(r"\s*[\"']?(?:value|val)[\"']?\s*[:=]", line) and re.search(r"(?i)\b(?:name|key|id)[\"']?\s*[:=]", before[1]):
             around = before[1]
         if around or number - 1 in closer:
-            out += scan_line(line, around, number)
+            out += [s for s in scan_line(line, around, number) if s.start >= upto and not any(s.start < k.end and k.start < s.end for k in keyed)]
         bare = line.rstrip()
         if bare:
             before = [before[1], bare]
@@ -551,21 +620,23 @@ def redact(data: bytes | None) -> bytes | None:
         return data
     text, codec, mark = read_text(bytes(data))
     lines = text.split("\n")
+    original = list(lines)
     for s in spans:
         line = lines[s.line - 1]
         if s.kind == "private key":
             begin = PEM.search(line, s.start)
-            end = PEM_END.search(line, begin.end())
-            if end:
-                lines[s.line - 1] = line[: begin.end()] + re.sub(r"[A-Za-z0-9+/=](?<!\\n)", "*", line[begin.end() : end.start()].replace("\\n", "\0").replace("\\r", "\1")).replace("\0", "\\n").replace("\1", "\\r") + line[end.start() :]
-            else:
-                lines[s.line - 1] = line[: begin.end()] + re.sub(r"[A-Za-z0-9+/=]", "*", line[begin.end() :])
-                for k in range(s.line, len(lines)):
-                    if PEM_END.search(lines[k]):
-                        break
-                    if not re.fullmatch(r"[\s#/*;\"'+,\\|>-]*[A-Za-z0-9+/=]*[\s\"'+,\\n]*", lines[k]):
-                        break
-                    lines[k] = re.sub(r"[A-Za-z0-9+/=]", "*", lines[k])
+            last, column, _ = key_block(original, s.line - 1, begin.end())
+            for k in range(s.line - 1, last + 1):
+                start, stop = begin.end() if k == s.line - 1 else 0, column if k == last else len(original[k])
+                if k == s.line - 1 and k != last:
+                    lines[k] = lines[k][:start] + mask_body(lines[k][start:])
+                    continue
+                end = PEM_END.search(original[k], start)
+                if end and end.end() <= stop:
+                    stop = end.start()
+                if k > s.line - 1 and not _BODY_LINE.fullmatch(original[k][start:stop].rstrip("\r")):
+                    continue  # a line of the form 'Name: value'
+                lines[k] = lines[k][:start] + mask_body(lines[k][start:stop]) + lines[k][stop:]
         else:
             inside = line[s.start : s.end]
             masked = "".join(c if c in "\"'`+,\t " and s.kind in ("random", "literal", "encoded", "password") and not inside.isalnum() and c in "\"'`, \t" else "*" for c in inside)

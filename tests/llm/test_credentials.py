@@ -109,6 +109,33 @@ def test_private_keys_lose_their_body_only():
     assert out.startswith("a\r\n-----BEGIN RSA PRIVATE KEY-----\r\n***") and out.endswith("*\r\n-----END RSA PRIVATE KEY-----\r\nb\xe9") and "MIIq" not in out
 
 
+ROW = "MIIq" + "aB3x" * 15
+KEY_BLOCKS = [
+    f'key = "-----BEGIN PRIVATE KEY-----\\n" +\n  "{ROW}\\n" +\n  "{ROW}\\n" +\n  "-----END PRIVATE KEY-----";',
+    f'key = ("-----BEGIN PRIVATE KEY-----\\n"\n  b"{ROW}\\n"\n  b"{ROW}\\n"\n  "-----END PRIVATE KEY-----")',
+    f'["-----BEGIN EC PRIVATE KEY-----",\n "{ROW}",\n "{ROW}",\n "-----END EC PRIVATE KEY-----"].join("\\n")',
+    f'key = "-----BEGIN PRIVATE KEY-----\\n\\\n{ROW}\\n\\\n{ROW}\\n\\\n-----END PRIVATE KEY-----"',
+    f"/* -----BEGIN PRIVATE KEY----- */\n/* {ROW} */\n/* {ROW} */\n/* -----END PRIVATE KEY----- */",
+    f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n{ROW}\n{ROW}\n=aB3x\n-----END PGP PRIVATE KEY BLOCK-----",
+    f"-----BEGIN PGP PRIVATE KEY BLOCK-----\r\nComment: of an example\r\nVersion: 1\r\n\r\n{ROW}\r\n-----END PGP PRIVATE KEY BLOCK-----\r\n",
+]
+
+
+@pytest.mark.parametrize("text", KEY_BLOCKS)
+def test_keys_in_pieces_and_with_headers(text):
+    assert [(s.line, s.kind) for s in c.find(f"x\n{text}\ny = 1".encode())] == [(2, "private key")]
+    out = c.redact(text.encode()).decode()
+    assert out == text.replace(ROW, "*" * len(ROW)).replace("=aB3x", "*****") and c.find(out.encode()) == []
+
+
+def test_lines_of_key_headers():
+    one = f'{{"api_key": "{KEY}", "pem": "-----BEGIN PRIVATE KEY-----\\n{ROW}\\n-----END PRIVATE KEY-----"}}'
+    out = c.redact(one.encode()).decode()
+    assert KEY not in out and ROW not in out and len(out) == len(one)
+    assert [s.line for s in c.find(f'if "-----BEGIN PRIVATE KEY-----" in x: token = "{KEY}"'.encode())] == [1]
+    assert c.find(b'MARKS = [\n "-----BEGIN PRIVATE KEY-----",\n "secretAccessKeyIdentifier",\n]') == []
+
+
 @pytest.mark.parametrize("codec, mark", [("utf-8", b""), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-16-le", b""), ("latin-1", b"")])
 def test_encodings(codec, mark):
     text = f"caf\xe9\r\napi_key = '{KEY}'\r\nend"

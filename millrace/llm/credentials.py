@@ -241,7 +241,7 @@ def is_strong(v: str) -> bool:
     if m and not is_void(urllib.parse.unquote(m["pw"])) and not re.fullmatch(r"[A-Za-z]{1,8}", m["pw"]):
         return True
     m = AUTH.search(v)
-    return bool(m and m.start() == 0 and m.end() == len(v.rstrip()) and not is_void(m["v"]) and (is_random(m["v"]) or is_hex_key(m["v"]) or m["scheme"].lower() == "basic" and hidden(m["v"], True)))
+    return bool(m and m.start() == 0 and m.end() == len(v.rstrip()) and is_authorization(m))
 
 
 # --- private keys -----------------------------------------------------------------
@@ -420,6 +420,16 @@ def _strings(line: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def is_authorization(m: re.Match) -> bool:
+    v = m["v"]
+    return not is_void(v) and (is_random(v) or is_hex_key(v) or m["scheme"].lower() == "basic" and hidden(v, True))
+
+
+def is_placed(v: str) -> bool:
+    """Whether what stands at a password's place is one."""
+    return not is_void(v) and (is_password(v) and not is_hex_key(v) or is_random(v) or is_strong(v) or is_hex_key(v) and len(v) != 40 or hidden(v, True))
+
+
 def scan_line(line: str, around: str, number: int) -> list[Span]:
     """The credentials of one line. ``around``: lines before it whose names belong to its value, '' if there are none."""
     out: list[Span] = []
@@ -437,8 +447,7 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
         if is_strong(m[0]):
             add(m.start("pw"), m.end("pw"), "url")
     for m in AUTH.finditer(line):
-        v = m["v"]
-        if not is_void(v) and (is_random(v) or is_hex_key(v) or m["scheme"].lower() == "basic" and hidden(v, True)):
+        if is_authorization(m):
             add(m.start("v"), m.end("v"), "authorization")
     strings = _strings(line)
     rest = line
@@ -470,7 +479,7 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
     for p in PLACES if _PLACE_GATE.search(line) else ():
         for m in p.finditer(line):
             v = m["v"].rstrip(",;)")
-            if not is_void(v) and (is_password(v) and not is_hex_key(v) or is_random(v) or is_strong(v) or is_hex_key(v) and len(v) != 40 or hidden(v, True)):
+            if is_placed(v):
                 add(m.start("v"), m.start("v") + len(v), "place")
     bare = [(m["k"], m.start("v"), m["v"]) for r in (PAIR, FLAG, ELEMENT, LABEL) for m in r.finditer(rest)]
     for key, s, v in bare:
@@ -495,6 +504,48 @@ def labels_of(strings: list[tuple[int, int, str]], k: int, rest: str) -> set[str
     return {v} if after[:1] in (":", "]") and not after.startswith(("];", "])")) else set()
 
 
+def joined_spans(run: list[re.Match], number: int) -> list[Span]:
+    """The credentials within a literal in pieces that no single piece holds whole; the first piece of each is of the kind 'pieces'."""
+    whole = "".join(m["v"] for m in run)
+    starts = list(accumulate((len(m["v"]) for m in run[:-1]), initial=0))
+    first = lambda at: bisect_right(starts, at) - 1
+    found: list[tuple[int, int]] = []
+
+    def add(m: re.Match, start: int, end: int) -> None:
+        if first(m.start()) != first(m.end() - 1) and not any(s < end and start < e for s, e in found):
+            found.append((start, end))
+
+    for m in PROVIDER.finditer(whole):
+        if is_strong(m[0]):
+            add(m, m.start(), m.end())
+    for m in URL.finditer(whole) if "://" in whole else ():
+        if is_strong(m[0]):
+            add(m, *m.span("pw"))
+    for m in AUTH.finditer(whole):
+        if is_authorization(m):
+            add(m, *m.span("v"))
+    for m in PEM.finditer(whole) if "-----" in whole else ():
+        if has_body(whole[m.end() :]):
+            end = PEM_END.search(whole, m.end())
+            add(m, m.start(), end.end() if end else len(whole))
+    for p in PLACES if _PLACE_GATE.search(whole) else ():
+        for m in p.finditer(whole):
+            v = m["v"].rstrip(",;)")
+            if first(m.start("v")) != first(m.start("v") + len(v) - 1) and is_placed(v):
+                add(m, m.start("v"), m.start("v") + len(v))
+    out = []
+    for s, e in sorted(found):
+        for k in range(first(s), first(e - 1) + 1):
+            at, m = starts[k], run[k]
+            out.append(Span(number + k, m.start("v") + max(s - at, 0), m.start("v") + min(e - at, len(m["v"])), "pieces" if k == first(s) else "piece"))
+    return out
+
+
+def hidden_whole(whole: str, run: list[re.Match], named: bool) -> bool:
+    """Whether a layer below the joined value holds a credential; not if a piece by itself does, beside other text."""
+    return hidden(whole, named) and not (re.search(r"\s", whole) and any(is_strong(m["v"]) or len(m["v"]) >= 16 and hidden(m["v"], False) for m in run))
+
+
 _MANIFEST = re.compile(r"(?m)^\s*(?:data|stringData|binaryData)\s*:\s*$")
 _OPENERS = frozenset(":=|>-+(\\[0123456789")
 
@@ -509,7 +560,8 @@ def scan_text(text: str) -> list[Span]:
     resume = column = 0
     block = -1
     before = ["", ""]
-    skip = 0
+    skip = run_end = 0  # run_end: the last line of a literal in pieces
+    run_around, joined = "", []
     for number, full in enumerate(lines, 1):
         line = full[:-1] if full.endswith("\r") else full
         if number <= skip:
@@ -526,15 +578,18 @@ def scan_text(text: str) -> list[Span]:
                 before = [before[1], line]
                 continue
         begun = before[1][-1:] in _OPENERS and bool(OPENED.search(before[1]))
-        if begun and number != resume and PIECE.match(line):
+        if begun and number > run_end and number != resume and PIECE.match(line):
             run = [m for m in (PIECE.match(x.rstrip("\r")) for x in takewhile(lambda x: PIECE.match(x.rstrip("\r")), lines[number - 1 : number + 63])) if m]
-            whole = "".join(m["v"] for m in run)
             if len(run) > 1 and not any(m[0].rstrip().endswith(",") for m in run[:-1]):
+                whole, run_end = "".join(m["v"] for m in run), number + len(run) - 1
                 named = any(is_secret_name(n) for n in _names(before[1]))
-                if is_strong(whole) or not is_void(whole) and (is_random(whole) or is_hex_key(whole) or named and is_password(whole) or hidden(whole, named)):
+                joined = joined_spans(run, number)
+                if not joined and not is_void(whole) and (is_random(whole) or is_hex_key(whole) or named and is_password(whole) or hidden_whole(whole, run, named)):
                     out += [Span(number + k, m.start("v"), m.end("v"), "pieces" if k == 0 else "piece") for k, m in enumerate(run)]
-                before, skip = [before[1], line], number + len(run) - 1
-                continue
+                    before, skip = [before[1], line], run_end
+                    continue
+                out += joined
+                run_around = before[1] if all(ALONE.match(m[0]) for m in run) else ""
         keyed: list[Span] = []  # private keys that begin on this line
         upto = column if number == resume else 0  # what is before belongs to a key that ends here
         begin = PEM.search(line, upto) if keys else None
@@ -552,12 +607,15 @@ def scan_text(text: str) -> list[Span]:
             begin = PEM.search(line, begin.end())
         out += keyed
         around = ""
-        if begun and ALONE.match(line):
+        if number <= run_end:
+            around = run_around
+        elif begun and ALONE.match(line):
             around = before[1]
         elif "val" in line and re.match(r"\s*[\"']?(?:value|val)[\"']?\s*[:=]", line) and re.search(r"(?i)\b(?:name|key|id)[\"']?\s*[:=]", before[1]):
             around = before[1]
         if around or number - 1 in closer:
-            out += [s for s in scan_line(line, around, number) if s.start >= upto and not any(s.start < k.end and k.start < s.end for k in keyed)]
+            taken = keyed + [s for s in joined if s.line == number]
+            out += [s for s in scan_line(line, around, number) if s.start >= upto and not any(s.start < k.end and k.start < s.end for k in taken)]
         bare = line.rstrip()
         if bare:
             before = [before[1], bare]

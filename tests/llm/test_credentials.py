@@ -136,6 +136,31 @@ def test_lines_of_key_headers():
     assert c.find(b'MARKS = [\n "-----BEGIN PRIVATE KEY-----",\n "secretAccessKeyIdentifier",\n]') == []
 
 
+RUNS = [  # a literal in pieces, and the lines on which its credentials begin
+    (f'conn = (\n  "Server=db;User Id=app;"\n  "Database=x;Password={PASSWORD};"\n)', [3]),
+    (f'usage = (\n  "call it like this: "\n  "curl -u svc:{PASSWORD} https://h "\n  "or sshpass -p {PASSWORD}x ssh h"\n)', [3, 4]),
+    (f'head = (\n  "Accept: all "\n  "Authorization: Bearer {KEY} "\n  "X: y"\n)', [3]),
+    (f'text = (\n  "first "\n  "then sk-{KEY[:12]}"\n  "{KEY[12:]} and "\n  "redis://:{PASSWORD}@h:1/x"\n)', [3, 5]),
+    (f'url = (\n  "postgres://svc:"\n  "{PASSWORD}"\n  "@db.host.invalid/x"\n)', [3]),
+    (f'conn = (\n  "Server=db;Password={PASSWORD[:6]}"\n  "{PASSWORD[6:]};Timeout=3"\n)', [2]),
+    (f'key = (\n  "{KEY[:12]}"\n  "{KEY[12:]}"\n)', [2]),
+    (f'key = (\n  "-----BEGIN PRIVATE "\n  "KEY-----\\n"\n  "{ROW}\\n"\n  "-----END PRIVATE KEY-----"\n)', [2]),
+]
+
+
+@pytest.mark.parametrize("text, begin", RUNS)
+def test_literals_in_pieces(text, begin):
+    assert [s.line for s in c.find(text.encode()) if s.kind != "piece"] == begin
+    out = c.redact(text.encode()).decode()
+    assert not any(x in out for x in (PASSWORD, PASSWORD[:6], PASSWORD[6:], KEY[12:], ROW)) and len(out) == len(text)
+    assert c.find(out.encode()) == []
+
+
+def test_words_in_pieces():
+    text = 'token_note = (\n  "Usage:\\n"\n  "  give the Token1 of your account"\n)'
+    assert c.find(text.encode()) == [] and c.redact(text.encode()) == text.encode()
+
+
 @pytest.mark.parametrize("codec, mark", [("utf-8", b""), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-16-le", b""), ("latin-1", b"")])
 def test_encodings(codec, mark):
     text = f"caf\xe9\r\napi_key = '{KEY}'\r\nend"

@@ -184,7 +184,16 @@ def der_kind(raw: bytes) -> str | None:
 
 
 def peel(v: str) -> Iterator[tuple[str, bytes]]:
-    """The layers that ``v`` can be read through once, by name."""
+    """The layers that ``v`` can be read through once, by name.
+
+    A sign escaped more than eight times over (%2525...) is read through all of these at once.
+    """
+    if "%25252525" in v:
+        v = re.sub(r"%(?:25){8,}(?=[0-9A-Fa-f]{2})", "%", v)
+    if "#38;#38;" in v:
+        v = re.sub(r"&(?:#38;){8,}(?=#)", "&", v)
+    if "x5cx5c" in v or "x5Cx5C" in v:
+        v = re.sub(r"\\(?:x5[Cc]){8,}(?=x[0-9A-Fa-f]{2})", r"\\", v)
     if re.search(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3})", v):
         out = re.sub(r"\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\([0-7]{3})", lambda m: chr(int(m[1] or m[2], 16) if m[1] or m[2] else int(m[3], 8)), v)
         yield "escape", out.encode("utf-8", "surrogatepass")
@@ -205,28 +214,33 @@ def peel(v: str) -> Iterator[tuple[str, bytes]]:
 
 
 @lru_cache(maxsize=100_000)
-def hidden(v: str, secret: bool, depth: int = 4) -> bool:
-    """Whether a layer below ``v`` holds a credential. ``secret``: the names around ``v`` are those of secrets."""
-    if depth == 0:
-        return False
-    for layer, raw in peel(v):
-        if layer in ("base64", "hex") and der_kind(raw) == "private":
-            return True
-        text = _printable(raw)
-        if text is None or text == v:
-            continue
-        text = text.strip()
-        if is_strong(text):
-            return True
-        pair = re.fullmatch(r"[\w.@+-]*:([^\s:/][^\s]*)", text)
-        if layer != "percent" and pair and not is_void(pair[1]) and len(pair[1]) >= 6 and (secret or is_password(pair[1])):
-            return True
-        if layer in ("base64", "hex") and len(text) >= 6 and not is_void(text) and (is_random(text) or secret and is_password(text)):
-            return True
-        if layer in ("escape", "entity", "percent") and secret and (is_random(text) or is_password(text)):
-            return True
-        if hidden(text, secret, depth - 1):
-            return True
+def hidden(v: str, secret: bool) -> bool:
+    """Whether a layer below ``v``, however deep, holds a credential. ``secret``: the names around ``v`` are those of secrets.
+
+    Every layer is shorter than what it is read from, so the peeling ends.
+    """
+    seen, todo = {v}, [v]
+    while todo:
+        outer = todo.pop()
+        for layer, raw in peel(outer):
+            if layer in ("base64", "hex") and der_kind(raw) == "private":
+                return True
+            text = _printable(raw)
+            if text is None or text == outer:
+                continue
+            text = text.strip()
+            if is_strong(text):
+                return True
+            pair = re.fullmatch(r"[\w.@+-]*:([^\s:/][^\s]*)", text)
+            if layer != "percent" and pair and not is_void(pair[1]) and len(pair[1]) >= 6 and (secret or is_password(pair[1])):
+                return True
+            if layer in ("base64", "hex") and len(text) >= 6 and not is_void(text) and (is_random(text) or secret and is_password(text)):
+                return True
+            if layer in ("escape", "entity", "percent") and secret and (is_random(text) or is_password(text)):
+                return True
+            if text not in seen:
+                seen.add(text)
+                todo.append(text)
     return False
 
 

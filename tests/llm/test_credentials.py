@@ -161,6 +161,21 @@ def test_words_in_pieces():
     assert c.find(text.encode()) == [] and c.redact(text.encode()) == text.encode()
 
 
+@pytest.mark.parametrize("layers", [5, 6, 7])
+def test_many_layers(layers):
+    v = f"sk-{KEY}"
+    for k in range(layers):
+        v = "".join(f"%{x:02X}" for x in v.encode()) if (layers - k) % 2 else v.encode().hex()
+    text = f'token = decode("{v}")'
+    assert [s.line for s in c.find(text.encode())] == [1]
+    assert c.redact(text.encode()).decode().startswith('token = decode("***') and v[:20] not in c.redact(text.encode()).decode()
+
+
+def test_layers_without_end():
+    for text in ("%25" * 3 + "25" * 20_000 + "41", "&" + "#38;" * 20_000 + "#65;", "\\x5c" + "x5c" * 20_000 + "x41"):
+        assert c.find(f'password = "{text}"'.encode()) is not None
+
+
 @pytest.mark.parametrize("codec, mark", [("utf-8", b""), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-16-le", b""), ("latin-1", b"")])
 def test_encodings(codec, mark):
     text = f"caf\xe9\r\napi_key = '{KEY}'\r\nend"

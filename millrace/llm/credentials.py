@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from bisect import bisect_right
 from functools import cache, lru_cache
-from itertools import accumulate, takewhile
+from itertools import accumulate, islice, takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -575,7 +575,7 @@ def scan_text(text: str) -> list[Span]:
     block = -1
     before = ["", ""]
     skip = run_end = 0  # run_end: the last line of a literal in pieces
-    run_around, joined = "", []
+    run_around, joined = None, []
     for number, full in enumerate(lines, 1):
         line = full[:-1] if full.endswith("\r") else full
         if number <= skip:
@@ -593,9 +593,10 @@ def scan_text(text: str) -> list[Span]:
                 continue
         begun = before[1][-1:] in _OPENERS and bool(OPENED.search(before[1]))
         if begun and number > run_end and number != resume and PIECE.match(line):
-            run = [m for m in (PIECE.match(x.rstrip("\r")) for x in takewhile(lambda x: PIECE.match(x.rstrip("\r")), lines[number - 1 : number + 63])) if m]
+            run = list(takewhile(bool, (PIECE.match(x.rstrip("\r")) for x in islice(lines, number - 1, None))))
+            run_end, run_around, joined = number + len(run) - 1, None, []
             if len(run) > 1 and not any(m[0].rstrip().endswith(",") for m in run[:-1]):
-                whole, run_end = "".join(m["v"] for m in run), number + len(run) - 1
+                whole = "".join(m["v"] for m in run)
                 named = any(is_secret_name(n) for n in _names(before[1]))
                 joined = joined_spans(run, number)
                 if not joined and not is_void(whole) and (is_random(whole) or is_hex_key(whole) or named and is_password(whole) or hidden_whole(whole, run, named)):
@@ -621,7 +622,7 @@ def scan_text(text: str) -> list[Span]:
             begin = PEM.search(line, begin.end())
         out += keyed
         around = ""
-        if number <= run_end:
+        if number <= run_end and run_around is not None:
             around = run_around
         elif begun and ALONE.match(line):
             around = before[1]

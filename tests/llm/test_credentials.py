@@ -176,6 +176,16 @@ def test_layers_without_end():
         assert c.find(f'password = "{text}"'.encode()) is not None
 
 
+def test_many_pieces():
+    number = lambda n: b"\x02\x81" + bytes([n]) + b"\x01" * n
+    body = b"\x02\x01\0" + number(200) * 8
+    blob = base64.b64encode(b"\x30\x82" + len(body).to_bytes(2, "big") + body).decode()
+    pieces = [blob[k : k + 16] for k in range(0, len(blob), 16)]
+    text = "blob = (\n" + "\n".join(f'  "{x}"' for x in pieces) + "\n)"
+    assert len(pieces) > 64 and [s.line for s in c.find(text.encode()) if s.kind != "piece"] == [2]
+    assert c.redact(text.encode()).decode() == "blob = (\n" + "\n".join(f'  "{"*" * len(x)}"' for x in pieces) + "\n)"
+
+
 @pytest.mark.parametrize("codec, mark", [("utf-8", b""), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-16-le", b""), ("latin-1", b"")])
 def test_encodings(codec, mark):
     text = f"caf\xe9\r\napi_key = '{KEY}'\r\nend"

@@ -667,19 +667,32 @@ def read_text(data: bytes) -> tuple[str, str, bytes]:
         return data.decode("latin-1"), "latin-1", b""
 
 
+# Bytes that text doesn't hold.
+_CONTROLS = bytes(x for x in range(32) if x not in b"\b\t\n\v\f\r\x1b") + b"\x7f"
+
+
 def is_binary(data: bytes, codec: str) -> bool:
-    return codec in ("utf-8", "latin-1") and (b"\0" in data[:8192] or data[:4] == b"\x89PNG")
+    """Whether a file isn't text: a tenth of it or more are control characters. Single NUL bytes don't make a binary file."""
+    return codec in ("utf-8", "latin-1") and (data[:4] == b"\x89PNG" or b"\0" in data[:8192] and len(data) - len(data.translate(None, _CONTROLS)) >= 0.1 * len(data))
+
+
+_UNPRINTABLE = re.compile(r"[\x00-\x07\x0e-\x1a\x1c-\x1f\x7f-\x9f]")
 
 
 def find(data: bytes | None) -> list[Span]:
-    """The credentials of a file; none of a null or empty one. A binary file's whole contents may be a key container."""
+    """The credentials of a file; none of a null or empty one.
+
+    A binary file's whole contents may be a key container; else its lines without
+    control characters are read as in any file, on the others only keys known by their form.
+    """
     if not data:
         return []
     text, codec, _ = read_text(bytes(data))
     if is_binary(data, codec):
         if der_kind(bytes(data)) == "private":
             return [Span(1, 0, len(text), "container")]
-        return [s for s in scan_text(text) if s.kind in ("provider", "private key")]
+        lines = text.split("\n")
+        return [s for s in scan_text(text) if s.kind in ("provider", "private key") or not _UNPRINTABLE.search(lines[s.line - 1])]
     return scan_text(text)
 
 

@@ -186,6 +186,14 @@ def test_many_pieces():
     assert c.redact(text.encode()).decode() == "blob = (\n" + "\n".join(f'  "{"*" * len(x)}"' for x in pieces) + "\n)"
 
 
+def test_nul_bytes():
+    text = f"a = 1\0\npassword = '{PASSWORD}'\nurl = 'redis://:{PASSWORD}@h:1/x'\n" + "y = 2\n" * 20
+    assert [s.line for s in c.find(text.encode())] == [2, 3]
+    assert c.redact(text.encode()) == text.replace(PASSWORD, "*" * len(PASSWORD)).encode()
+    packed = b"\0" * 500 + f"\npassword = '{PASSWORD}'\n".encode() + b"\0" * 500
+    assert [s.line for s in c.find(packed)] == [2] and c.redact(packed) == packed.replace(PASSWORD.encode(), b"*" * len(PASSWORD))
+
+
 @pytest.mark.parametrize("codec, mark", [("utf-8", b""), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-16-le", b""), ("latin-1", b"")])
 def test_encodings(codec, mark):
     text = f"caf\xe9\r\napi_key = '{KEY}'\r\nend"

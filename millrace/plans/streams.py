@@ -56,7 +56,7 @@ def agent_ends(spark, folder):
 
 @_query("m_first_deliveries", "SELECT count(DISTINCT coalesce(nullif(trim(message.id), ''), nullif(trim(request_id), ''), src || ':' || line)) AS messages FROM calls WHERE delivered_at IS NOT NULL")
 def first_deliveries(spark, folder):
-    once = meters.delivered_once_stream(_stream(spark, folder, "calls").where("delivered_at IS NOT NULL"), late="400 days").select("row_id")
+    once = meters.delivered_once_stream(_stream(spark, folder, "calls").where("delivered_at IS NOT NULL"), late=None).select("row_id")
     return drained(once, "once").agg(F.count(F.lit(1)).alias("messages"))
 
 

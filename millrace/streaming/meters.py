@@ -171,10 +171,12 @@ def agent_stream(events: DataFrame, timers: bool = True) -> DataFrame:
     return _metered(events.where("session IS NOT NULL"), AgentMeter(timers), AGENT_OUT, "ProcessingTime" if timers else "None")
 
 
-def delivered_once_stream(calls: DataFrame, at: str = "delivered_at", late: str = "2 days") -> DataFrame:
-    """The first delivery of each identifier, as a stream; the state of one is kept as long as a copy may be late."""
+def delivered_once_stream(calls: DataFrame, at: str = "delivered_at", late: str | None = "2 days") -> DataFrame:
+    """The first delivery of each identifier, as a stream; the state of one is kept as long as a copy may be late, for good if ``late`` is None."""
     key = F.coalesce(F.nullif(F.trim("message.id"), F.lit("")), F.nullif(F.trim("request_id"), F.lit("")), F.concat_ws(":", "src", F.col("line").cast("string")))
-    return calls.withColumn("_key", key).withWatermark(at, late).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    keyed = calls.withColumn("_key", key)
+    once = keyed.dropDuplicates(["_key"]) if late is None else keyed.withWatermark(at, late).dropDuplicatesWithinWatermark(["_key"])
+    return once.drop("_key")
 
 
 def session_stream(events: DataFrame, key: str, at: str, gap_seconds: int = 1800, late: str = "1 day") -> DataFrame:

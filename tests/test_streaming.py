@@ -156,3 +156,13 @@ def test_a_failing_receiver_stops_nothing(spark, tmp_path):
     live(stream, str(tmp_path / "c"), tell, str(tmp_path / "f"), None).awaitTermination()
     assert told == [2]
     assert [(r.level, r.error) for r in spark.read.parquet(str(tmp_path / "f")).collect()] == [(1, "RuntimeError: no screen")]
+
+
+def test_copies_are_dropped_however_late(spark, tmp_path, monkeypatch):
+    from millrace.plans import streams
+
+    path = f"{tmp_path}/calls.parquet"
+    for k, (key, day) in enumerate([("a", 0), ("b", 1000), ("c", 1001), ("a", 1002)]):
+        spark.sql(f"SELECT CAST({k} AS bigint) AS row_id, '{key}' AS request_id, 's' AS src, {k} AS line, named_struct('id', CAST(NULL AS string)) AS message, timestamp_seconds(1600000000 + {day} * 86400) AS delivered_at").coalesce(1).write.mode("append").parquet(path)
+    monkeypatch.setattr(streams, "_stream", lambda s, folder, name: s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path))
+    assert [r.messages for r in streams.first_deliveries(spark, str(tmp_path)).collect()] == [3]

@@ -163,8 +163,19 @@ def drift_share(spark, folder):
 
 
 def _agent_runs(spark, folder):
+    """Runs of builders and reviewers, with the verdict of the agent's own file in its session; none without such a file.
+
+    In the test data agents and files have no identifiers in common, so there the verdicts are null.
+    """
     a = load(spark, folder, "agents").where("type IN ('builder', 'reviewer')")
-    return a.groupBy("session_id", "id").agg(F.min_by(F.struct("type", "description", "started_at"), "row_id").alias("r")).select("session_id", "id", "r.*", F.lit(None).cast("string").alias("verdict"))
+    runs = a.groupBy("session_id", "id").agg(F.min_by(F.struct("type", "description", "started_at"), "row_id").alias("r")).select("session_id", "id", "r.*")
+    parts = F.split("src", "/")
+    said = content.verdicts_of_runs(load(spark, folder, "call_log")).select(
+        F.lower(F.element_at(parts, -3)).alias("session"), F.regexp_replace(F.element_at(parts, -1), r"^(?:run|agent)-|\.[^.]*$", "").alias("run"), F.struct("src", "verdict").alias("v")
+    )
+    said = said.groupBy("session", "run").agg(F.max("v").alias("v"))
+    own = F.regexp_replace("id", "^(?:run|agent)-", "")
+    return runs.join(said, (F.lower("session_id") == F.col("session")) & (own == F.col("run")), "left").select("session_id", "id", "type", "description", "started_at", F.when(F.col("type") == "reviewer", F.col("v.verdict")).alias("verdict"))
 
 
 @_query("w7_task_links")

@@ -248,3 +248,16 @@ def test_verdicts_of_runs(spark, rows):
     made = [log(1, sub, "assistant", [hand]), log(2, sub, "assistant", [{"type": "text", "text": "VERDICT: CHANGES"}]), log(3, "/l/s/subagents/run-2.jsonl", "assistant", [{"type": "text", "text": "VERDICT: CHANGES"}]), log(4, "/l/s.jsonl", "assistant", [hand]), log(5, "/l/s/subagents/run-3.jsonl", "assistant", [{"type": "thinking"}])]
     df = spark.createDataFrame(made, "log_id bigint, profile string, src string, line int, json string")
     assert rows(content.verdicts_of_runs(df)) == {(sub, "approve"), ("/l/s/subagents/run-2.jsonl", "changes"), ("/l/s/subagents/run-3.jsonl", "unclear")}
+
+
+def test_task_links_take_verdicts_from_files(spark, tmp_path):
+    from millrace.plans import content as plans
+
+    agents = [(1, "S", "b1", "builder", "alpha beta", 1), (2, "S", "r1", "reviewer", "review alpha beta", 2), (3, "S", "b2", "builder", "other words", 3), (4, "S", "r2", "reviewer", "unknown thing", 4)]
+    spark.createDataFrame(agents, "row_id bigint, session_id string, id string, type string, description string, started_at bigint").write.parquet(f"{tmp_path}/agents.parquet")
+    text = lambda t: json.dumps({"type": "assistant", "message": {"role": "assistant", "content": [{"type": "text", "text": t}]}})
+    log = [(1, "p", "/l/s/subagents/run-r1.jsonl", 1, text("VERDICT: changes")), (2, "p", "/l/s/subagents/run-r2.jsonl", 1, text("VERDICT: approve")), (3, "p", "/l/other/subagents/run-b2.jsonl", 1, text("VERDICT: approve"))]
+    spark.createDataFrame(log, "log_id bigint, profile string, src string, line int, json string").write.parquet(f"{tmp_path}/call_log.parquet")
+    got = {r.id: (r.task, r.linked_by, r.verdict) for r in plans.task_links(spark, str(tmp_path)).collect()}
+    assert got == {"b1": (0, "new", None), "r1": (0, "description", "changes"), "b2": (0, "time", None), "r2": (0, "time", "approve")}
+    assert [(r.approve, r.changes, r.unclear) for r in plans.task_rollup(spark, str(tmp_path)).collect()] == [(1, 1, 0)]

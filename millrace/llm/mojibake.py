@@ -55,6 +55,8 @@ EAST_ASIAN = ("cp932", "euc_jp")
 READ_EAST_ASIAN = ("cp1252", "latin-1", "mac_roman")
 # What the first two bytes of kana become in East Asian encodings.
 KANA_LEADS = {"cp932": "縺繧繝", "gbk": "銇銈銉", "big5": "", "cp949": ""}
+# Encodings of Chinese, Korean and Japanese as which UTF-8 is read.
+EAST_READ_AS = ("gbk", "cp932", "big5", "cp949")
 # Marks and forms that normal writing sets beside letters: combining accents, ligatures.
 MARKS = "".join(map(chr, (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x30A, 0x30B, 0x30C, 0x327, 0x328, *range(0xFB00, 0xFB07))))
 EMOJI = "😀🙂🚀📦🔁🚦🧵🏁👩💻🎉🔥🐛🇫🇷"
@@ -295,6 +297,66 @@ def _east_once(text: str, hits: list[tuple[int, int, str, tuple]]) -> str:
     return "".join(out)
 
 
+_EAST_RUN = re.compile(r"[^\x00-\x7f\ufffd]+")
+_EAST_LETTER = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\uff61-\uff9f]")
+
+
+@cache
+def _known() -> frozenset[str]:
+    return frozenset(_repertoire())
+
+
+def _east_read_back(run: str, codec: str) -> str | None:
+    """A run of characters written back by an East Asian encoding and decoded as UTF-8; None if it wasn't UTF-8 of known letters and signs."""
+    try:
+        new = run.encode(codec).decode()
+    except UnicodeError:
+        return None
+    beyond = [c for c in new if not c.isascii()]
+    return new if beyond and new != run and all(c in _known() or _EAST_LETTER.match(c) for c in beyond) else None
+
+
+def _utf8_read_east(text: str) -> str:
+    """UTF-8 read as Chinese, Korean or Japanese, decoded rightly.
+
+    Sound text of these languages hardly ever is valid UTF-8 when written back. A run
+    counts by itself if it gives a word of three letters or more, two ideographs, kana or
+    syllables from three characters, or stands within a word of ASCII letters; runs
+    that give less are decoded too once others of the same encoding have counted.
+    """
+    if not _EAST_LETTER.search(text):
+        return text
+    quoted = [m.span() for m in _QUOTED.finditer(text)] if "`" in text else []
+    sure: Counter[str] = Counter()
+    options: list[tuple[re.Match, dict[str, str]]] = []
+    for m in _EAST_RUN.finditer(text):
+        if not _EAST_LETTER.search(m[0]) or any(a <= m.start() and m.end() < b for a, b in quoted):
+            continue
+        ways = {c: new for c in EAST_READ_AS if (new := _east_read_back(m[0], c)) is not None}
+        if not ways:
+            continue
+        options.append((m, ways))
+        before, after = text[m.start() - 1 : m.start()] if m.start() else "", text[m.end() : m.end() + 1]
+        for c, new in ways.items():
+            beyond = [x for x in new if not x.isascii()]
+            east = sum(bool(_EAST_LETTER.match(x)) for x in beyond)
+            word = "".join(beyond)
+            if east >= 2 and len(m[0]) >= 3 or not east and len(beyond) >= 3 and len(m[0]) >= 3 and word.isalpha() and is_sound_word(word):
+                sure[c] += len(beyond)
+            elif not east and re.match("[a-z]", before) and (re.match("[a-z]", after) or re.match("[a-z]", new[-1])) and is_sound_word(before + new + after):
+                sure[c] += 1
+    if not sure:
+        return text
+    best = max(sure, key=lambda c: (sure[c], -EAST_READ_AS.index(c)))
+    out, done = [], 0
+    for m, ways in options:
+        if best in ways:
+            out += [text[done : m.start()], ways[best]]
+            done = m.end()
+    out.append(text[done:])
+    return "".join(out)
+
+
 _TOKEN = re.compile(r"[^\s]+")
 _SPACE = re.compile(r"\s")
 
@@ -389,7 +451,8 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     """Whether a text is garbled, wholly or in places, and the text restored as far as can be; null, empty and ASCII texts are sound."""
     if not text or text.isascii():
         return False, text
-    garbled, now = False, text
+    now = _utf8_read_east(text)
+    garbled = now != text
     for _ in range(6):
         hits = _matches(now)
         kinds = Counter(k for _, _, k, _ in hits)

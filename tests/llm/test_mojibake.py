@@ -49,6 +49,25 @@ def test_in_places():
     assert m.restore(bad) == (True, text + TEXTS["de"] + "\n" + TEXTS["ja"])
 
 
+@pytest.mark.parametrize("lang, codec", [("ru", "gbk"), ("ru", "cp932"), ("fr", "gbk"), ("fr", "big5"), ("de", "cp932"), ("de", "gbk"), ("es", "cp949"), ("pl", "cp949"), ("tr", "cp932")])
+def test_utf8_read_as_east_asian(lang, codec):
+    words = TEXTS[lang].replace("。", "").split()
+    bad = []
+    for w in words:
+        try:
+            bad.append(w.encode().decode(codec))
+        except UnicodeDecodeError:  # such a word loses characters, so it isn't restored
+            bad.append("word")
+    right = [w if b != "word" else b for w, b in zip(words, bad)]
+    assert sum(b != w for b, w in zip(bad, right)) >= 1
+    assert m.restore(f"plain words. {' '.join(bad)}") == (True, f"plain words. {' '.join(right)}")
+
+
+@pytest.mark.parametrize("text", ["用git录入数据，再用Python写。", "今日は良い天気です。テストを書きます。", "설정 파일을 다시 읽습니다.", "我們在這裡測試程式碼，請稍候。", "中文"])
+def test_east_asian_text_is_sound(text):
+    assert m.restore(text) == (False, text)
+
+
 def test_lost_characters():
     found, new = m.restore("gr��ere L�cken")
     assert found and new == "gr��ere L�cken"

@@ -244,6 +244,11 @@ def hidden(v: str, secret: bool) -> bool:
     return False
 
 
+def is_layered(v: str, secret: bool) -> bool:
+    """Whether digits alone, which by themselves would be a number or version, are a credential written out in hexadecimal more than once."""
+    return len(v) >= 24 and v.isdigit() and hidden(v, secret)
+
+
 def is_strong(v: str) -> bool:
     """A credential by its form alone, whatever it is called."""
     m = PROVIDER.search(v)
@@ -320,11 +325,21 @@ def key_block(lines: list[str], k: int, at: int) -> tuple[int, int, bool] | None
     body = "".join(parts)
     if not re.search(r"[A-Za-z0-9+/]{16,}", body) or _NO_KEY.search(body[:200]):
         return None
+    if _is_public(body):
+        return None
     if tail.strip() and last > k and not all(re.search(c, body) for c in ("[a-z]", "[A-Z]", "[0-9]")):
         return None  # a list of markers
     return (last, column, closed) if last > k or parts[0] else None
 
 
+def _is_public(body: str) -> bool:
+    """Whether the body is a container that by its grammar holds a public key or a certificate only."""
+    try:
+        return der_kind(base64.b64decode(body.rstrip("=") + "=" * (-len(body.rstrip("=")) % 4), validate=True)) == "public"
+    except binascii.Error:
+        return False
+
+
 def mask_body(text: str) -> str:
     """The base64 of a key's body masked; quotes, operators, comment signs and written-out line breaks stay."""
     return _BODY_PART.sub(lambda m: m[0] if m[0][0] == "\\" or not re.search("[A-Za-z0-9=]", m[0]) or len(m[0]) == 1 and m[0] in "rbuf" else "*" * len(m[0]), text)
@@ -479,7 +494,8 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
         if is_strong(v):
             add(s, e, "literal")
         elif is_void(v):
-            continue
+            if is_layered(v, named or coded or joined):
+                add(s, e, "encoded")
         elif (named or joined) and (is_random(v) or is_hex_key(v)):
             add(s, e, "random")
         elif coded and is_hex_key(v) and re.search(r"(?i)key|login|secret|sign", rest):
@@ -501,12 +517,14 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
             continue
         v = v.rstrip(",;") if not v.endswith(";;") else v
         named = is_secret_name(key) or key.lower() in ("value", "val", "default") and bool(around) and any(is_secret_name(n) for n in _names(around))
-        if named and not is_void(v) and (is_random(v) or is_hex_key(v) or is_password(v) or is_strong(v) or hidden(v, True)):
+        if named and is_layered(v, True) or named and not is_void(v) and (is_random(v) or is_hex_key(v) or is_password(v) or is_strong(v) or hidden(v, True)):
             add(s, s + len(v), "bare")
     alone = ALONE.match(line)
     if alone and around and any(is_secret_name(n) for n in _names(around)):
         v = alone["v"]
-        if not is_void(v) and not v.endswith(":") and not re.match(r"[A-Za-z_][\w.-]*[=:]", v) and (is_random(v) or is_hex_key(v) or is_password(v) or hidden(v, True)):
+        if is_layered(v, True):
+            add(alone.start("v"), alone.end("v"), "continued")
+        elif not is_void(v) and not v.endswith(":") and not re.match(r"[A-Za-z_][\w.-]*[=:]", v) and (is_random(v) or is_hex_key(v) or is_password(v) or hidden(v, True)):
             add(alone.start("v"), alone.end("v"), "continued")
     return out
 

@@ -4,18 +4,20 @@ What fits together depends on lengths alone, of which there are at most as many
 capacity has tokens. So the corpus is reduced to a histogram of lengths (pre-aggregated
 in each task, at most one row per length), and the plan is made on that: a pattern of
 lengths and how many containers repeat it. A container is begun with the longest item
-left. Its gap is looked up among the lengths, then among sums of two and of three; a
-combination that fills it exactly and of which enough are left is consumed, as often as
-the counts allow. Where there is none, the longest item that fits is added (best fit) and
-the search goes on with the smaller gap.
+left. The lengths left and the sums of two and three of them are hashed by their sum; the
+gap is looked up there, and a combination that fills it exactly and of which enough are
+left is consumed, as often as the counts allow. Where there is none, the longest item
+that fits is added (best fit) and the search goes on with the smaller gap.
 
 The items then take their places by rank: within each length they are numbered in salted
-groups, so that a length shared by a third of all items is no hot group, and the plan,
-bounded by the histogram, tells each rank its container.
+groups, so that a length shared by a third of all items is no hot group, and the plan
+tells each rank its container. A plan of up to ``PLAN_BYTES`` is sent to all executors;
+a greater one is written as a table and joined by length and range of ranks.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,72 +41,88 @@ class Plan:
     containers: int = 0
 
 
-class _Stock:
-    """Counts of the lengths left, with an index of the sums of one, two and three of them."""
+class Sums:
+    """The lengths left, hashed by the sums of one, two and three of them.
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.capacity = len(counts) - 1
-        self._age = 0
-        self._index()
-
-    def _index(self) -> None:
-        """Which sums two or three lengths have. As counts only fall, a sum missing here stays missing; one listed is checked when used."""
-        have = (self.counts > 0).astype(np.float64)
-        n = 1 << (3 * self.capacity + 3).bit_length()
-        spectrum = np.fft.rfft(have, n)
-        self.pairs = np.fft.irfft(spectrum**2, n)[: self.capacity + 1] > 0.5
-        self.triples = np.fft.irfft(spectrum**3, n)[: self.capacity + 1] > 0.5
-        self._age = 0
+    A sum's combinations are entered when the sum is first asked for, in the order of
+    their longest part, and the place up to which they are used up is kept. As counts only
+    fall, what is used up stays so, and each combination of a sum is passed over once.
+    """
 
-    def taken(self) -> None:
-        self._age += 1
-        if self._age >= 256:
-            self._index()
+    def __init__(self, histogram: dict[int, int]):
+        self.left = {x: n for x, n in histogram.items() if n > 0}
+        self._sizes = sorted(self.left)
+        self._live = list(self._sizes)
+        self._pairs: dict[int, int] = {}  # sum -> place of the longest part not used up
+        self._triples: dict[int, int] = {}
+
+    def longest(self, room: int, used: dict[int, int]) -> int | None:
+        """The longest length of at most ``room`` that is left."""
+        k = bisect_right(self._live, room) - 1
+        while k >= 0:
+            x = self._live[k]
+            if self.left[x] > used.get(x, 0):
+                return x
+            if self.left[x] == 0:
+                del self._live[k]
+            k -= 1
+        return None
 
     def filling(self, gap: int, used: dict[int, int]) -> list[int] | None:
         """One, two or three lengths left that fill the gap exactly, the longest first."""
-        left = lambda x: self.counts[x] - used.get(x, 0)
-        if left(gap) > 0:
+        if self.left.get(gap, 0) > used.get(gap, 0):
             return [gap]
-        if gap >= 2 and self.pairs[gap] and (two := self._two(gap, used)):
-            return two
-        if gap >= 3 and self.triples[gap]:
-            tries = np.flatnonzero((self.counts[1 : gap - 1] > 0) & self.pairs[gap - 1 : 1 : -1])[::-1] + 1
-            for a in tries[:64].tolist() + tries[64:].tolist():
-                if left(a) > 0:
-                    two = self._two(gap - a, {**used, a: used.get(a, 0) + 1})
-                    if two:
-                        return sorted([a, *two], reverse=True)
-        return None
-
-    def _two(self, gap: int, used: dict[int, int]) -> list[int] | None:
-        low = np.flatnonzero((self.counts[1 : gap // 2 + 1] > 0) & (self.counts[gap - 1 : gap - gap // 2 - 1 : -1] > 0)) + 1
-        for a in low.tolist():
+        return self._pair(gap, used) or self._triple(gap, used)
+
+    def _pair(self, gap: int, used: dict[int, int]) -> list[int] | None:
+        sizes, left = self._sizes, self.left
+        k = self._pairs.get(gap)
+        if k is None:
+            k = bisect_left(sizes, gap) - 1
+        kept = True
+        while k >= 0 and sizes[k] * 2 >= gap:
+            a = sizes[k]
             b = gap - a
-            if self.counts[a] - used.get(a, 0) > (a == b) and self.counts[b] - used.get(b, 0) > 0:
-                return [b, a]
+            n = left.get(b, 0)
+            if not n or not left[a] or a == b and n < 2:
+                k -= 1  # used up for good
+                if kept:
+                    self._pairs[gap] = k
+                continue
+            if left[a] - used.get(a, 0) > (a == b) and n > used.get(b, 0):
+                if kept:
+                    self._pairs[gap] = k
+                return [a, b]
+            kept = False  # only this container has taken it
+            k -= 1
+        if kept:
+            self._pairs[gap] = k
         return None
 
-    def longest(self, gap: int, used: dict[int, int]) -> int | None:
-        for x in np.flatnonzero(self.counts[1 : gap + 1] > 0)[::-1].tolist():
-            if self.counts[x + 1] - used.get(x + 1, 0) > 0:
-                return x + 1
+    def _triple(self, gap: int, used: dict[int, int]) -> list[int] | None:
+        sizes, left = self._sizes, self.left
+        k = self._triples.get(gap)
+        if k is None:
+            k = bisect_left(sizes, gap - 1) - 1
+        kept = True
+        while k >= 0 and sizes[k] * 3 >= gap:
+            a = sizes[k]
+            if left[a] and self._pair(gap - a, {}) is not None:
+                if left[a] > used.get(a, 0) and (two := self._pair(gap - a, used | {a: used.get(a, 0) + 1})):
+                    if kept:
+                        self._triples[gap] = k
+                    return sorted([a, *two], reverse=True)
+                kept = False
+            elif kept:
+                self._triples[gap] = k - 1
+            k -= 1
         return None
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> Plan:
     """``histogram``: items per length, none longer than ``capacity``. No container is overfull, and none is left that could take the next item."""
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
-    stock, plan, ranks = _Stock(counts), Plan(), _Ranks()
-    top = capacity
-    while True:
-        while top and not counts[top]:
-            top -= 1
-        if not top:
-            break
+    stock, plan, ranks = Sums(histogram), Plan(), _Ranks()
+    while (top := stock.longest(capacity, {})) is not None:
         used, gap = {top: 1}, capacity - top
         while gap:
             exact = stock.filling(gap, used)
@@ -114,15 +132,14 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> Plan:
             for x in more:
                 used[x] = used.get(x, 0) + 1
             gap -= sum(more)
-        times = int(min(counts[x] // k for x, k in used.items()))
+        times = min(stock.left[x] // k for x, k in used.items())
         for x, k in used.items():
             plan.length.append(x)
             plan.first.append(ranks.take(x, k * times))
             plan.each.append(k)
             plan.container.append(plan.containers)
-            counts[x] -= k * times
+            stock.left[x] -= k * times
         plan.containers += times
-        stock.taken()
     return plan
 
 
@@ -153,12 +170,13 @@ def pieces(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return cut.select("budget", "capacity", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), F.least("capacity", F.col("total") - F.col("piece") * F.col("capacity")).alias("n_tokens"))
 
 
-def packed(spark: SparkSession, documents: DataFrame, budgets: DataFrame) -> DataFrame:
+def packed(spark: SparkSession, documents: DataFrame, budgets: DataFrame, plan_bytes: int | None = None) -> DataFrame:
     """``budget``, ``container_id``, ``doc_id``, ``piece``, ``start_token``, ``n_tokens``: every piece with its container, numbered from 0 in each budget.
 
     Null and empty texts are no items. Rows repeated in ``documents`` are items of their own.
     """
     ship(spark)
+    plan_bytes = PLAN_BYTES if plan_bytes is None else plan_bytes
     scratch = Scratch(spark, "packing")
     sizes = scratch.table(counted(documents), "sizes").df
     items = pieces(sizes, budgets)
@@ -173,6 +191,8 @@ def packed(spark: SparkSession, documents: DataFrame, budgets: DataFrame) -> Dat
     local = F.row_number().over(Window.partitionBy("budget", "n_tokens", "salt").orderBy("doc_id", "piece")) - 1
     ranked = salted.withColumn("local", local).join(before.select("budget", "n_tokens", "salt", "before"), ["budget", "n_tokens", "salt"])
     ranked = ranked.select("budget", "doc_id", "piece", "start_token", "n_tokens", (F.col("before") + F.col("local")).alias("rank"))
+    if sum(len(p.length) for p in plans.values()) * 4 * 8 > plan_bytes:
+        return _joined(spark, scratch, ranked, plans)
     shared = spark.sparkContext.broadcast({b: _lookup(p) for b, p in plans.items()})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,6 +207,19 @@ def packed(spark: SparkSession, documents: DataFrame, budgets: DataFrame) -> Dat
     return ranked.mapInPandas(place, "budget string, container_id bigint, doc_id bigint, piece bigint, start_token bigint, n_tokens bigint")
 
 
+def _joined(spark: SparkSession, scratch: Scratch, ranked: DataFrame, plans: dict[str, Plan]) -> DataFrame:
+    """The same by a join with the plan as a table: each slot by budget, length and range of ranks."""
+    rows = [pd.DataFrame({"budget": b, "n_tokens": p.length, "first": p.first, "each": p.each, "container": p.container}) for b, p in plans.items()]
+    slots = spark.createDataFrame(pd.concat(rows), "budget string, n_tokens bigint, first bigint, each bigint, container bigint")
+    slots = slots.withColumn("end", F.lead("first", 1, 1 << 62).over(Window.partitionBy("budget", "n_tokens").orderBy("first")))
+    slots = scratch.table(slots, "plan").df
+    placed = ranked.alias("r").join(slots.alias("s"), (F.col("r.budget") == F.col("s.budget")) & (F.col("r.n_tokens") == F.col("s.n_tokens")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    return placed.select("r.budget", (F.col("container") + F.expr("(rank - first) div each")).alias("container_id"), "doc_id", "piece", "start_token", "r.n_tokens")
+
+
+#: The greatest plan sent to all executors, in bytes.
+PLAN_BYTES = 64 << 20
+
 _RANKS = 1 << 42
 
 

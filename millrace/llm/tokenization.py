@@ -32,7 +32,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 #: Pre-splitting of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -203,12 +204,30 @@ def automaton(path: str) -> Automaton:
     return _loaded[path]
 
 
+#: The greatest vocabulary file sent to the executors, in bytes.
+VOCABULARY_BYTES = 64 << 20
+
+
+def _sent(spark: SparkSession, path: str) -> str:
+    """Sends a vocabulary file to all executors, once per application, and tells its name there; only the driver need have it."""
+    if os.path.getsize(path) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} has more than {VOCABULARY_BYTES} bytes")
+    sc = spark.sparkContext
+    sent = getattr(sc, "_millrace_vocabularies", None)
+    if sent is None:
+        sent = sc._millrace_vocabularies = set()
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
 def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id`` and ``ids`` of each row: an empty list for null and empty texts; repeated rows stay, other columns play no part."""
-    path = path or tokenizer_path()
+    name = _sent(documents.sparkSession, path or tokenizer_path())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = automaton(SparkFiles.get(name))
         for batch in batches:
             flat, ends = [], [0]
             for text in batch.column(1).to_pylist():
@@ -222,10 +241,10 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 def counted(documents: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id`` and ``n_tokens`` of each row, 0 for null and empty texts."""
-    path = path or tokenizer_path()
+    name = _sent(documents.sparkSession, path or tokenizer_path())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = automaton(SparkFiles.get(name))
         for batch in batches:
             sizes = pa.array([len(a.encode(t)) for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], names=["doc_id", "n_tokens"])

@@ -10,8 +10,6 @@ from millrace.llm import packing
 from millrace.llm.queries import QUERIES
 
 
-
-
 def filled(histogram, capacity):
     plan = packing.plan_containers(histogram, capacity)
     keys, first, each, container = packing._lookup(plan)
@@ -44,6 +42,47 @@ def test_exact_complements():
     assert packing.plan_containers({}, 10).containers == 0
 
 
+def test_combinations_are_hashed_by_sum():
+    stock = packing.Sums({50: 1, 30: 2, 20: 1, 7: 1})
+    assert stock.filling(50, {}) == [50] and stock.filling(50, {50: 1}) == [30, 20] and stock.filling(60, {}) == [30, 30] and stock.filling(57, {}) == [50, 7]
+    assert stock.filling(60, {30: 1}) is None and stock.filling(80, {50: 1}) == [30, 30, 20] and stock.filling(87, {}) == [50, 30, 7] and stock.filling(8, {}) is None
+    stock.left[30] = 0
+    assert stock.filling(60, {}) is None and stock.filling(80, {}) is None and stock.longest(49, {}) == 20 and stock.longest(19, {7: 1}) is None
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), min_size=1, max_size=12), st.lists(st.integers(1, 90), min_size=1, max_size=12))
+def test_no_exact_filling_is_missed(histogram, gaps):
+    from itertools import combinations_with_replacement
+
+    stock = packing.Sums(histogram)
+    for gap in gaps:
+        ways = [c for n in (1, 2, 3) for c in combinations_with_replacement(sorted(stock.left), n) if sum(c) == gap and all(stock.left[x] >= c.count(x) for x in c)]
+        got = stock.filling(gap, {})
+        assert (got is None) == (not ways)
+        if got:
+            assert sum(got) == gap
+            for x in got:
+                stock.left[x] -= 1
+                assert stock.left[x] >= 0
+
+
+def test_great_capacities():
+    plan = packing.plan_containers({10**12: 3, 10**12 - 5: 1, 5: 1}, 10**12)
+    assert plan.containers == 4
+    import random
+
+    rng = random.Random(1)
+    histogram = Counter(rng.randint(1, 6_000) for _ in range(12_000))
+    assert packing.plan_containers(histogram, 20_000).containers <= sum(k * v for k, v in histogram.items()) / 20_000 * 1.01 + 1
+
+
+def test_plan_as_a_table(spark, budgets):
+    df = spark.createDataFrame([(i, " ".join(["one"] * (i % 9 + 1))) for i in range(60)], "doc_id bigint, text string")
+    same = [sorted(map(tuple, packing.packed(spark, df, budgets, plan_bytes=b).collect())) for b in (0, 1 << 20)]
+    assert same[0] == same[1] and len(same[0]) > 60
+
+
 def test_hot_length():
     plan = packing.plan_containers({7: 10**7, 3: 10**7, 5: 1}, 10)
     assert plan.containers == 10**7 + 1 and len(plan.length) < 10

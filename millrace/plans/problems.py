@@ -32,6 +32,12 @@ def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
     return paths.select("agent_id", F.array_join("path", "/").alias("path"), "n_descendants", "on_or_below_cycle")
 
 
+def p2_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Each agent's interval on its tree's tour, with the number of descendants that lie in it."""
+    inside = _forest(spark, folder).intervals()
+    return inside.select("agent_id", "root_id", ((F.col("leave") - F.col("enter") - 1) / 2).cast("bigint").alias("n_descendants"))
+
+
 def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return _forest(spark, folder).descendants()
 
@@ -72,7 +78,7 @@ def p5_usage(spark: SparkSession, folder: str) -> DataFrame:
     return nesting.flat_usage(load(spark, folder, "call_log"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_delivered_once, p2_found, p2_paths, p2_descendants, p3_found, p3_unified, p3_renames, p4_found, p4_sessions, p5_found, p5_blocks, p5_lines, p5_usage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_delivered_once, p2_found, p2_paths, p2_intervals, p2_descendants, p3_found, p3_unified, p3_renames, p4_found, p4_sessions, p5_found, p5_blocks, p5_lines, p5_usage)}
 
 #: Independent SQL of the problems that SQL can express.
 _IDENTIFIED = r"""

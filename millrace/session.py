@@ -53,17 +53,42 @@ def ship(spark: SparkSession) -> None:
     sc._millrace_shipped = True
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_root(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the application ends."""
+    root = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    path, files = _path(spark, root)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    sc = spark.sparkContext
+    sc._millrace_roots = [*getattr(sc, "_millrace_roots", []), root]
+    return root
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all that operators have written to the shared folder so far; results not yet read become unreadable."""
+    for root in getattr(spark.sparkContext, "_millrace_roots", []):
+        path, files = _path(spark, root)
+        files.delete(path, True)
+    spark.sparkContext._millrace_roots = []
+
+
 class Scratch:
     """Tables written once in the shared folder and read again.
 
     A written table cuts the lineage, survives the loss of executors and gives the
     optimizer its true size for the choice of join. ``drop`` removes tables that a
-    later round has superseded; what a returned DataFrame still reads stays.
+    later round has superseded; what a returned DataFrame still reads stays until the
+    application ends, or until ``cleared`` is called in one that goes on.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = scratch_root(spark, name)
         self._n = 0
 
     def table(self, df: DataFrame, label: str) -> "Table":
@@ -73,11 +98,10 @@ class Scratch:
         return Table(self.spark, path, df.schema)
 
     def drop(self, *tables: "Table | None") -> None:
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
             if t is not None:
-                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.path)
-                path.getFileSystem(hadoop).delete(path, True)
+                path, files = _path(self.spark, t.path)
+                files.delete(path, True)
 
 
 class Table:

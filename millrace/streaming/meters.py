@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.instants import trimmed
 from . import transitions as t
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -172,8 +173,13 @@ def agent_stream(events: DataFrame, timers: bool = True) -> DataFrame:
 
 
 def delivered_once_stream(calls: DataFrame, at: str = "delivered_at", late: str | None = "2 days") -> DataFrame:
-    """The first delivery of each identifier, as a stream; the state of one is kept as long as a copy may be late, for good if ``late`` is None."""
-    key = F.coalesce(F.nullif(F.trim("message.id"), F.lit("")), F.nullif(F.trim("request_id"), F.lit("")), F.concat_ws(":", "src", F.col("line").cast("string")))
+    """The first delivery of each identifier, as a stream; the state of one is kept as long as a copy may be late, for good if ``late`` is None.
+
+    Identifiers are those of ``delivery``. A stream can't take back what it has told, so
+    it keeps the first row to arrive, where the batch keeps the largest and earliest: both
+    have each identifier once. Rows without an identifier are told apart by file and line.
+    """
+    key = F.coalesce(trimmed(F.col("message.id")), trimmed(F.col("request_id")), F.concat_ws(":", "src", F.col("line").cast("string")))
     keyed = calls.withColumn("_key", key)
     once = keyed.dropDuplicates(["_key"]) if late is None else keyed.withWatermark(at, late).dropDuplicatesWithinWatermark(["_key"])
     return once.drop("_key")

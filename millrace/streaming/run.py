@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import kfmt
-from ..session import shared_dir
+from ..session import scratch_root
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs an append-mode stream until its source is used up, into the shared folder, and gives what it wrote."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    root = scratch_root(spark, name)
     query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")

@@ -113,16 +113,19 @@ def test_p2_small_tables(spark, small, rows):
     assert rows(QUERIES["p2_found"](spark, small)) == brute.p2(brute.parents(map(tuple, a), map(tuple, b)))
 
 
-def forest(spark, link):
-    return Forest(spark, spark.createDataFrame(list(link.items()), "id string, parent_id string"))
+def forest(spark, link, **more):
+    return Forest(spark, spark.createDataFrame(list(link.items()), "id string, parent_id string"), **more)
 
 
-def test_p2_shapes(spark, rows):
+@pytest.mark.parametrize("base", [None, 16])
+def test_p2_shapes(spark, rows, base):
     link = {f"c{k}": f"c{k - 1}" if k else None for k in range(70)}  # a chain
     link |= {f"s{k}": "hub" for k in range(200)} | {"hub": None}  # a star
     link |= {"r1": "r2", "r2": "r3", "r3": "r1", "below": "r2", "under": "below", "self": "self", "alone": None}
-    f = forest(spark, link)
+    f = forest(spark, link, base=base)
     assert rows(f.roots()) == brute.p2(link)
+    inside = {r.agent_id: r for r in f.intervals().collect()}
+    assert all((r.leave - r.enter - 1) // 2 == sum(q.root_id == r.root_id and r.enter < q.enter < r.leave for q in inside.values()) for r in inside.values())
     paths = {r.agent_id: r for r in f.paths(chunk=16).collect()}
     for i in link:
         up, x = [i], i
@@ -141,7 +144,16 @@ def test_p2_shapes(spark, rows):
 @given(st.lists(st.integers(-1, 14), min_size=1, max_size=15))
 def test_p2_any_links(spark, parents):
     link = {f"n{i}": f"n{p}" if 0 <= p < len(parents) else None for i, p in enumerate(parents)}
-    assert {tuple(r) for r in forest(spark, link).roots().collect()} == brute.p2(link)
+    for base in (None, 4):
+        assert {tuple(r) for r in forest(spark, link, base=base).roots().collect()} == brute.p2(link)
+
+
+def test_p2_order_of_siblings(spark):
+    made = [("r", None, 0), ("b", "r", 5), ("a", "r", 5), ("c", "r", 1), ("d", "c", 9), ("e", "c", 2), *[(f"x{k}", "b", -k) for k in range(60)]]
+    for base in (None, 16):
+        f = Forest(spark, spark.createDataFrame(made, "id string, parent_id string, at int"), by=("at", "id"), base=base)
+        got = [r.agent_id for r in f.intervals().orderBy("enter").collect()]
+        assert got == ["r", "c", "e", "d", "a", "b", *[f"x{k}" for k in reversed(range(60))]]
 
 
 def test_p2_links(spark, rows):

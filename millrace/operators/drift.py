@@ -9,8 +9,14 @@ taken from all sound lines, a maximum bipartite matching of greatest similarity
 which unknown column is the new name of which lost one. Then every file's columns are
 unified under the schema's names.
 
+Versions are matched with the schema, not with one another: a rename is to a name the
+schema doesn't know, and a pair of the right type counts however little the names and
+values are alike, as the schema says that no line loses one field and gains an unrelated
+one of its type. Similarity decides which is which where more is lost than gained.
+
 Only aggregates meet: lines are reduced to their layouts, counted per file within each
-task first, and the sketches have at most a few hundred classes per column.
+task first, and a sketch has at most ``CLASSES`` classes of texts and as many of objects,
+64 of numbers and two of truth values.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from pyspark.sql import functions as F
 from ..session import Scratch, ship
 
 _OBJECT = "map<string,variant>"
+#: Into how many classes a sketch sorts the texts of a column, and the objects.
+CLASSES = 256
 _SCOPE = ("type", "message.model", "message.usage")
 
 
@@ -68,13 +76,13 @@ def _kind(s: str) -> str:
 
 
 def _sketch_class(x: str, kind: str) -> str:
-    """SQL: the class of a value in the sketch of its column: magnitude, or length and first characters, or keys."""
+    """SQL: the class of a value in the sketch of its column: magnitude, or a hash of length and first characters, or of the keys."""
     s = f"CAST({x} AS string)"
     head = f"translate(lower(substr({s}, 1, 3)), '0123456789abcdefghijklmnopqrstuvwxyz', '9999999999aaaaaaaaaaaaaaaaaaaaaaaaaa')"
     return (
         f"CASE {kind} WHEN 'integer' THEN concat('i', CAST(floor(log2(abs(CAST({x} AS double)) + 1)) AS string)) "
-        f"WHEN 'string' THEN concat('s', CAST(floor(log2(length({s}) + 1)) AS string), {head}) WHEN 'boolean' THEN concat('b', {s}) "
-        f"WHEN 'object' THEN concat('o', array_join(array_sort(map_keys(try_cast({x} AS {_OBJECT}))), ',')) ELSE 'x' END"
+        f"WHEN 'string' THEN concat('s', pmod(xxhash64(CAST(floor(log2(length({s}) + 1)) AS string), {head}), {CLASSES})) WHEN 'boolean' THEN concat('b', {s}) "
+        f"WHEN 'object' THEN concat('o', pmod(xxhash64(array_join(array_sort(map_keys(try_cast({x} AS {_OBJECT}))), ',')), {CLASSES})) ELSE 'x' END"
     )
 
 
@@ -238,17 +246,23 @@ class Drift:
         A count written in another type than the schema's (a number in quotes, 12.0)
         is read as the whole number it stands for, else as null.
         """
-        versions = self.renames().select("object", "lost", "new", F.struct(F.concat_ws(".", F.when(F.col("object") != "", F.col("object")), "old_name").alias("k"), F.col("new_name").alias("n")).alias("move"))
-        versions = versions.groupBy("object", "lost", "new").agg(F.collect_list("move").alias("moves"))
-        drifted = self._compared("log_id").where("size(lost) > 0 AND size(gained) > 0").selectExpr("log_id", "object", "lost", "transform(gained, g -> struct(g.name AS name, g.kind AS kind)) AS new")
-        moved = drifted.join(versions, ["object", "lost", "new"]).groupBy("log_id").agg(F.map_from_entries(F.flatten(F.collect_list("moves"))).alias("moved"))
-        rows = self.lines.join(moved, "log_id", "left").withColumn("o", F.expr(f"try_cast(v AS {_OBJECT})"))
+        moves = self.renames().select("object", F.to_json(F.struct("lost", "new")).alias("version"), F.struct(F.concat_ws(".", F.when(F.col("object") != "", F.col("object")), "old_name").alias("k"), F.col("new_name").alias("n")).alias("move"))
+        moves = self.scratch.table(moves.groupBy("object", "version").agg(F.map_from_entries(F.collect_list("move")).alias("moved")), "moves").df
+        # A row per version is all that is joined; lines without one have a key of their own, so that they are no hot group.
+        found = [f"try_element_at({self._object(o)}, 1) AS o{k}" for k, o in enumerate(self.objects)]
+        drifted = lambda k: f"CASE WHEN size(o{k}.lost) > 0 AND size(o{k}.gained) > 0 THEN to_json(struct(o{k}.lost AS lost, transform(o{k}.gained, g -> struct(g.name AS name, g.kind AS kind)) AS new)) ELSE concat('-', log_id) END AS version{k}"
+        rows = self.lines.selectExpr("log_id", "src", "v", *found).selectExpr("log_id", "src", "v", *[drifted(k) for k in range(len(found))])
+        moved = {}
+        for k, o in enumerate(self.objects):
+            moved[o.path] = f"moved{k}"
+            rows = rows.join(moves.where(F.col("object") == o.path).select(F.col("version").alias(f"version{k}"), F.col("moved").alias(moved[o.path])), f"version{k}", "left")
+        rows = rows.withColumn("o", F.expr(f"try_cast(v AS {_OBJECT})"))
         columns, at = [], {"": "o"}
 
         def value(o: SchemaObject, name: str) -> str:
             key = f"{o.path}.{name}" if o.path else name
             m = at[o.path]
-            return f"coalesce(element_at({m}, {_quoted(name)}), element_at({m}, element_at(moved, {_quoted(key)})))"
+            return f"coalesce(element_at({m}, {_quoted(name)}), element_at({m}, element_at({moved[o.path]}, {_quoted(key)})))"
 
         for o in self.objects:
             for name, (kind, _, within) in o.fields.items():

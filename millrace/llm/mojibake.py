@@ -26,6 +26,7 @@ Texts are read in Arrow batches where they lie: nothing is shuffled.
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from collections import Counter
@@ -410,9 +411,17 @@ _OF_THREE = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2}")
 
 def _bytes_of(text: str, codec: str) -> bytes:
     """The characters written back one by one; what the encoding hasn't becomes a zero byte."""
-    r = reverse(codec)
-    other = reverse("latin-1") if codec == "cp1252" else reverse("cp1252") if codec == "latin-1" else {}
-    return bytes(r[c] if c in r else other.get(c, 0) for c in text)
+    return codecs.charmap_encode(text, "millrace.zero", _codes(codec))[0]
+
+
+codecs.register_error("millrace.zero", lambda e: (b"\0" * (e.end - e.start), e.end))
+
+
+@cache
+def _codes(codec: str) -> dict[int, int]:
+    """Bytes by code point; Windows' table and Latin-1 stand in for one another where one has no character."""
+    other = {"cp1252": "latin-1", "latin-1": "cp1252"}.get(codec)
+    return {ord(c): b for c, b in ((reverse(other) if other else {}) | reverse(codec)).items()}
 
 
 def _is_run(run: str, codec: str, sure: set[str], inside: bool) -> bool:
@@ -428,19 +437,19 @@ def _utf8_once(text: str, hits: list[tuple[int, int, str, tuple]]) -> str:
     at = sorted((start + text[start].isascii(), k == "utf8", tuple(p[0] for p in pairs)) for start, _, k, pairs in hits if k.startswith("utf8"))
     out, done, k = [], 0, 0
     for m in _RUN.finditer(text):
-        codecs: set[str] = set()
+        ways: set[str] = set()
         sure: set[str] = set()
         while k < len(at) and at[k][0] < m.end():
             if at[k][0] >= m.start():
-                codecs.update(at[k][2])
+                ways.update(at[k][2])
                 if at[k][1]:
                     sure.update(at[k][2])
             k += 1
         inside = bool(re.match("[A-Za-z]", text[m.start() - 1 : m.start()] or " ") or re.match("[A-Za-z]", text[m.end() : m.end() + 1]))
-        codecs = {c for c in codecs if _is_run(m[0], c, sure, inside)}
-        if codecs:
+        ways = {c for c in ways if _is_run(m[0], c, sure, inside)}
+        if ways:
             order = (*READ_AS, *READ_AS_STRICT)
-            best = max(codecs, key=lambda c: (_utf8_run(m[0], c)[0], votes[c], -order.index(c)))
+            best = max(ways, key=lambda c: (_utf8_run(m[0], c)[0], votes[c], -order.index(c)))
             taken, new = _utf8_run(m[0], best)
             if taken and (best in sure or all(c.isalpha() or unicodedata.category(c)[0] in "MP" for c in new if not c.isascii() and c not in m[0])):
                 out += [text[done : m.start()], new]
@@ -628,11 +637,15 @@ def _single(text: str, hits: list[tuple[int, int, str, tuple]], kinds: tuple[str
             word = text[span[0] : span[1]]
             if may_stand(word) if spans is proposed else is_sound_word(word):
                 continue
+            is_utf8: dict[str, bool] = {}
+            mixed = bool(re.search("[A-Za-z]", word))
             for e, d in pairs:
-                if _utf8_run(word, d)[0] >= 0.8 * sum(not c.isascii() for c in word):
-                    continue
                 new = _reread(word, e, d)
-                if new is not None and new != word and is_sound_word(new) and not (re.search("[A-Za-z]", word) and _least(new) == 8):
+                if new is None or new == word or not is_sound_word(new) or mixed and _least(new) == 8:
+                    continue
+                if d not in is_utf8:
+                    is_utf8[d] = _utf8_run(word, d)[0] >= 0.8 * sum(not c.isascii() for c in word)
+                if not is_utf8[d]:
                     changed.setdefault(span, {})[e, d] = new
     if weak:
         for line in re.finditer(r"[^\n]+", text):
@@ -732,11 +745,17 @@ def _usual(text: str) -> float:
     return round(max(scores) / max(len(low), 1), 2) if _is_far(text) else 0.0
 
 
+@cache
+def _own_codes(codec: str) -> dict[int, int]:
+    return {ord(c): b for c, b in reverse(codec).items()}
+
+
+@lru_cache(maxsize=200_000)
 def _reread(word: str, e: str, d: str) -> str | None:
-    there, r = table(e), reverse(d)
+    """A word written back by ``d`` and read by ``e``; None if ``d`` hasn't all of its characters."""
     try:
-        return "".join(c if c.isascii() else there[r[c]] for c in word)
-    except KeyError:
+        return codecs.charmap_decode(codecs.charmap_encode(word, "strict", _own_codes(d))[0], "strict", table(e))[0]
+    except UnicodeEncodeError:
         return None
 
 

@@ -8,6 +8,8 @@ before expensive patterns. Files aren't shuffled; only findings are.
 from __future__ import annotations
 
 import fnmatch
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,7 +80,7 @@ def is_phone(raw: Column, after: Column) -> Column:
         & (code != "")
         & ((F.size(groups) == 1) | (groups[0] == code))
         & (~code.isin("1", "7") | (F.length(d) == 11) & ((code == "7") | d.rlike(r"^1[2-9]..[2-9]")))
-        & (~dotted | ~s.rlike(r"[ \-]") & (F.size(groups) >= 3) & ~F.exists(F.slice(groups, 2, 20), lambda g: F.length(g) < 2))
+        & (~dotted | ~s.rlike(r"[ \-]") & (F.size(groups) >= 3) & ~F.exists(F.slice(groups, F.lit(2), F.size(groups)), lambda g: F.length(g) < 2))
         & ~s.rlike(p.DATE_WITHIN)
         & ~((F.length(s) == F.length(raw)) & after.rlike(r"^:\d\d"))
     )
@@ -93,7 +95,7 @@ def luhn(digits: Column) -> Column:
 
 def iban_value(raw: Column) -> Column:
     """The IBAN within ``raw`` if the length of its country and the remainder by 97 are right, else null."""
-    lengths = F.create_map(*[F.lit(x) for pair in ((w[:2], int(w[2:])) for w in p.IBAN_LENGTHS.split()) for x in pair])
+    lengths = F.create_map(*[F.lit(x) for pair in p.IBAN_LENGTHS.items() for x in pair])
     compact = F.upper(F.replace(raw, F.lit(" "), F.lit("")))
     want = F.try_element_at(lengths, F.substring(compact, 1, 2))
     value = F.substr(compact, F.lit(1), want)
@@ -135,26 +137,41 @@ def _when(test: Column, values: Column) -> Column:
     return F.when(test, values).otherwise(F.array().cast("array<string>"))
 
 
+def _names(pattern: str) -> Column:
+    """The names of the characters of a class, as the Unicode library gives them."""
+    spelled = re.sub(r"\\x\{([0-9A-F]+)\}|\\u([0-9A-F]{4})", lambda m: chr(int(m[1] or m[2], 16)), pattern.rstrip("+"))
+    points = [c for a, b in re.findall(r"([^\[\]])(?:-([^\]]))?", spelled) for c in range(ord(a), ord(b or a) + 1)]
+    return F.create_map(*[F.lit(x) for c in points for x in (c, unicodedata.name(chr(c), "UNNAMED"))])
+
+
 def _hidden(rule: str, pattern: str, right: list[str] | None = None) -> Column:
     """Findings with the code point of each hidden character of the line, after those in right company have been taken out."""
     text = F.col("text")
     for x in right or []:
         text = F.regexp_replace(text, x, "$1")
     hits = F.when(F.col("text").rlike(r"[^\x00-\x7F]"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    point = lambda c: F.concat(F.lit("U+"), F.when(F.ascii(c) < 0x1000, F.lpad(F.hex(F.ascii(c)), 4, "0")).otherwise(F.hex(F.ascii(c))))
+    point = lambda c: F.concat(F.lit("U+"), F.when(F.ascii(c) < 0x1000, F.lpad(F.hex(F.ascii(c)), 4, "0")).otherwise(F.hex(F.ascii(c))), F.lit(" "), F.coalesce(F.try_element_at(_names(pattern), F.ascii(c)), F.lit("UNNAMED")))
     return F.transform(hits, lambda c: F.struct(F.lit(rule).alias("rule"), point(c).alias("detail")))
 
 
-def line_findings(text_lines: DataFrame) -> DataFrame:
-    """Findings of all text rules: the columns of ``text_lines`` but its text, and ``rule`` and ``detail``; distinct.
+def line_findings(text_lines: DataFrame, rules: set[str] | None = None) -> DataFrame:
+    """Findings of the text rules, or of those among ``rules``: the columns of ``text_lines`` but its text, and ``rule`` and ``detail``; distinct.
+
+    Only what the rules asked for need is built: lines are cut into segments only for
+    rules on segments, and patterns of other rules aren't run.
 
     Needs ``path``, ``line`` and ``text``. Null and empty texts give none; very long
     segments get only the rules without long-range patterns, and ``long-line``.
     """
+    wanted = lambda rule: rules is None or rule in rules
+    unknown = set(rules or ()) - p.RULES.keys()
+    if unknown:
+        raise ValueError(f"unknown rules {sorted(unknown)}")
     keys = [c for c in text_lines.columns if c != "text"]
-    hidden = F.concat(_hidden("bidi-unicode", p.BIDI), _hidden("zero-width-unicode", p.ZERO_WIDTH, p.RIGHT_JOINERS), _hidden("invisible-unicode", p.INVISIBLE, p.RIGHT_SELECTORS), _hidden("soft-hyphen", p.SOFT_HYPHEN), _hidden("unicode-tag", p.TAGS, p.RIGHT_TAGS))
+    in_lines = {"bidi-unicode": (p.BIDI, None), "zero-width-unicode": (p.ZERO_WIDTH, p.RIGHT_JOINERS), "invisible-unicode": (p.INVISIBLE, p.RIGHT_SELECTORS), "soft-hyphen": (p.SOFT_HYPHEN, None), "unicode-tag": (p.TAGS, p.RIGHT_TAGS)}
+    hidden = [_hidden(rule, pattern, right) for rule, (pattern, right) in in_lines.items() if wanted(rule)]
     whole = text_lines.withColumn("text", F.when(F.col("line") == 1, F.regexp_replace("text", r"^\uFEFF", "")).otherwise(F.col("text")))
-    above = whole.select(*keys, F.inline(hidden))
+    above = whole.select(*keys, F.inline(F.concat(*hidden))) if hidden else None
     # What paths and cheap searches tell is found once per text and per segment; the patterns run only where they can hit.
     paths = {"_prompt": F.col("path").rlike(p.PROMPT_ENDING), "_svg": F.col("path").rlike(p.SVG_ENDING), "_attributes": F.col("path").rlike(r"(?:^|/)\.gitattributes$")}
     segments = whole.withColumns(paths).select(*keys, *paths, F.explode(F.split("text", _SPLIT)).alias("seg")).where("seg <> ''")
@@ -167,26 +184,32 @@ def line_findings(text_lines: DataFrame) -> DataFrame:
     cards = F.filter(F.transform(_all(p.CARD), _digits), lambda d: d.rlike(f"^(?:{p.CARD_BRANDS})$") & luhn(d))
     ibans = F.filter(F.transform(_all(p.IBAN), iban_value), lambda v: v.isNotNull())
     attributes = F.col("_attributes") & ~seg.rlike(r"^\s*#")
-    hides = F.exists(F.slice(F.split(F.trim(F.regexp_replace(seg, r"\s+", " ")), " "), 2, 1000), lambda a: a.isin("-diff", "binary", "-text") | a.startswith("diff="))
-    rules = F.concat(
-        _some("phone-number", _when(digits & seg.rlike(r"\+\(?[0-9]"), phones)),
-        _some("phone-number", _when(numbers & seg.rlike(r"[0-9]{3}[-.][0-9]{4}"), _all(p.PHONE_NORTH_AMERICAN))),
-        _some("us-ssn", _when(numbers & seg.rlike("[0-9]{3}-[0-9]{2}-"), _all(p.SSN))),
-        _some("us-ssn", _when(numbers & seg.rlike("(?i)ssn|security"), _all(p.SSN_BY_NAME))),
-        _some("credit-card", _when(numbers & seg.rlike("[0-9]{13}|[0-9]{4}[-\t ]+[0-9]{4}"), cards)),
-        _some("iban", _when(digits & seg.rlike("[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11}"), ibans)),
-        _flag("private-key", seg.contains("-----BEGIN ") & seg.rlike(p.PRIVATE_KEY), "header present"),
-        _flag("whatsapp-export", digits & seg.rlike("[0-9][/.-][0-9]{1,2}[/.-][0-9]") & _any(p.CHAT_LINES), "chat export line format"),
-        _flag("long-line", ~short & risky, F.concat(F.length("seg").cast("string"), F.lit(" characters"))),
-        *[_flag(rule, short & risky & _any(xs), "pattern match") for rule, xs in p.COMMANDS.items()],
-        _flag("credential-exfil", (seg.contains("/.") | seg.contains(".env")) & sends & seg.rlike("(?U)" + p.CREDENTIAL_PATH) & seg.rlike("(?U)" + p.NETWORK_SEND), "credential path + network send on one line"),
-        _some("email-address", _when(seg.contains("@"), F.filter(_all(p.EMAIL), lambda a: ~email_is_open(a)))),
-        _flag("prompt-injection", F.col("_prompt") & _any(p.PROMPT_PHRASES), "phrase match"),
-        _flag("svg-script", F.col("_svg") & seg.rlike("(?U)" + p.SVG_SCRIPT), "script/handler"),
-        _flag("git-lfs", attributes & seg.rlike(p.LFS_ATTRIBUTE), "filter=lfs attribute"),
-        _flag("gitattributes-diff", attributes & hides, "attribute hides or alters diffs"),
-    )
-    return above.unionByName(segments.select(*keys, F.inline(rules))).distinct()
+    tokens = F.split(F.trim(F.regexp_replace(seg, r"\s+", " ")), " ")
+    hides = F.exists(F.slice(tokens, F.lit(2), F.size(tokens)), lambda a: a.isin("-diff", "binary", "-text") | a.startswith("diff="))
+    on_segments = [
+        ("phone-number", lambda: _some("phone-number", _when(digits & seg.rlike(r"\+\(?[0-9]"), phones))),
+        ("phone-number", lambda: _some("phone-number", _when(numbers & seg.rlike(r"[0-9]{3}[-.][0-9]{4}"), _all(p.PHONE_NORTH_AMERICAN)))),
+        ("us-ssn", lambda: _some("us-ssn", _when(numbers & seg.rlike("[0-9]{3}-[0-9]{2}-"), _all(p.SSN)))),
+        ("us-ssn", lambda: _some("us-ssn", _when(numbers & seg.rlike("(?i)ssn|security"), _all(p.SSN_BY_NAME)))),
+        ("credit-card", lambda: _some("credit-card", _when(numbers & seg.rlike("[0-9]{13}|[0-9]{4}[-\t ]+[0-9]{4}"), cards))),
+        ("iban", lambda: _some("iban", _when(digits & seg.rlike("[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11}"), ibans))),
+        ("private-key", lambda: _flag("private-key", seg.contains("-----BEGIN ") & seg.rlike(p.PRIVATE_KEY), "header present")),
+        ("whatsapp-export", lambda: _flag("whatsapp-export", digits & seg.rlike("[0-9][/.-][0-9]{1,2}[/.-][0-9]") & _any(p.CHAT_LINES), "chat export line format")),
+        ("long-line", lambda: _flag("long-line", ~short & risky, F.concat(F.length("seg").cast("string"), F.lit(" characters")))),
+        *[(rule, lambda rule=rule, xs=xs: _flag(rule, short & risky & _any(xs), "pattern match")) for rule, xs in p.COMMANDS.items()],
+        ("credential-exfil", lambda: _flag("credential-exfil", (seg.contains("/.") | seg.contains(".env")) & sends & seg.rlike("(?U)" + p.CREDENTIAL_PATH) & seg.rlike("(?U)" + p.NETWORK_SEND), "credential path + network send on one line")),
+        ("email-address", lambda: _some("email-address", _when(seg.contains("@"), F.filter(_all(p.EMAIL), lambda a: ~email_is_open(a))))),
+        ("prompt-injection", lambda: _flag("prompt-injection", F.col("_prompt") & _any(p.PROMPT_PHRASES), "phrase match")),
+        ("svg-script", lambda: _flag("svg-script", F.col("_svg") & seg.rlike("(?U)" + p.SVG_SCRIPT), "script/handler")),
+        ("git-lfs", lambda: _flag("git-lfs", attributes & seg.rlike(p.LFS_ATTRIBUTE), "filter=lfs attribute")),
+        ("gitattributes-diff", lambda: _flag("gitattributes-diff", attributes & hides, "attribute hides or alters diffs")),
+    ]
+    built = [build() for rule, build in on_segments if wanted(rule)]
+    below = segments.select(*keys, F.inline(F.concat(*built))) if built else None
+    found = above.unionByName(below) if above is not None and below is not None else above if below is None else below
+    if found is None:
+        return text_lines.select(*keys, F.lit("").alias("rule"), F.lit("").alias("detail")).where("false")
+    return found.distinct()
 
 
 def _starts(magic: str) -> Column:
@@ -275,18 +298,34 @@ def escaping_links(links: DataFrame) -> DataFrame:
     return links.select("repo", "path", "link_target").groupBy("repo").applyInPandas(resolve, "repo string, path string, escapes boolean")
 
 
-def findings(entries: DataFrame) -> DataFrame:
-    """All findings of files: ``entry_id``, ``path``, ``line`` (null for a whole file), ``rule``, ``detail``, ``severity``.
+def findings(entries: DataFrame, rules: set[str] | None = None) -> DataFrame:
+    """All findings of files, or those of ``rules``: ``entry_id``, ``path``, ``line`` (null for a whole file), ``rule``, ``detail``, ``severity``.
 
     Text rules are kept from files whose kind already says all: links, oversized,
     executable and archive files, and sound images.
     """
     files = file_findings(entries)
+    return with_severity(_findings(files, lines(texts_of(files).drop("looks_binary")), rules))
+
+
+def texts_of(files: DataFrame) -> DataFrame:
+    """The decoded texts of those files whose text is to be read."""
+    return decoded(files.where("NOT stop AND data IS NOT NULL").select("entry_id", "path", "data")).drop("data")
+
+
+def _findings(files: DataFrame, text_lines: DataFrame, rules: set[str] | None = None) -> DataFrame:
     whole = files.select("entry_id", "path", F.lit(None).cast("int").alias("line"), F.inline("found"))
-    texts = decoded(files.where("NOT stop AND data IS NOT NULL").select("entry_id", "path", "data")).drop("data")
-    binary = texts.where("looks_binary").select("entry_id", "path", F.lit(None).cast("int").alias("line"), F.lit("binary-file").alias("rule"), F.lit("non-text content").alias("detail"))
-    text_rules = line_findings(lines(texts.drop("looks_binary"))).select("entry_id", "path", "line", "rule", "detail")
-    return with_severity(whole.unionByName(binary).unionByName(text_rules))
+    if rules is not None:
+        whole = whole.where(F.col("rule").isin(sorted(rules)))
+    found = whole
+    if rules is None or "binary-file" in rules:
+        found = found.unionByName(texts_of(files).where("looks_binary").select("entry_id", "path", F.lit(None).cast("int").alias("line"), F.lit("binary-file").alias("rule"), F.lit("non-text content").alias("detail")))
+    return found.unionByName(line_findings(text_lines, rules).select("entry_id", "path", "line", "rule", "detail"))
+
+
+def marked_lines(files: DataFrame) -> DataFrame:
+    """Lines of files with a comment that may override a finding; others aren't cut out of their text."""
+    return lines(texts_of(files).where(F.col("text").contains("scan-allow:")).drop("looks_binary"))
 
 
 def with_severity(found: DataFrame) -> DataFrame:

@@ -135,3 +135,23 @@ def test_overrides(spark):
     assert got == {(1, 2, "email-address"): "suppressed", (1, 2, "credit-card"): "reported", (1, 3, "email-address"): "reported", (2, 1, "email-address"): "skipped"}
     with pytest.raises(ValueError):
         scan.overridden(found, text, [("no-rule", "*")])
+
+
+def test_only_rules_asked_for(spark):
+    df = spark.createDataFrame([(1, "a.txt", 2, "dana@acme.io 4012888888881881 a\u00adb")], "id int, path string, line int, text string")
+    for rules in ({"credit-card"}, {"soft-hyphen"}, {"email-address", "soft-hyphen"}, set()):
+        assert {r.rule for r in scan.line_findings(df, rules).collect()} == rules
+    with pytest.raises(ValueError):
+        scan.line_findings(df, {"no-rule"})
+    plan = scan.line_findings(df, {"soft-hyphen"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "noreply" not in plan and "xmrig" not in plan
+
+
+def test_long_attribute_lines(spark):
+    line = "*.x " + "a " * 5000 + "-diff"
+    assert scanned(spark, [line], ".gitattributes") == {0: {"gitattributes-diff"}}
+
+
+def test_names_of_hidden_characters(spark):
+    df = spark.createDataFrame([(1, "a", 2, "a\u202eb\u200bc\u00add\U000e0041")], "id int, path string, line int, text string")
+    assert {r.detail for r in scan.line_findings(df).collect()} == {"U+202E RIGHT-TO-LEFT OVERRIDE", "U+200B ZERO WIDTH SPACE", "U+00AD SOFT HYPHEN", "U+E0041 TAG LATIN CAPITAL LETTER A"}

@@ -222,6 +222,16 @@ def tasks(linked: DataFrame, rounds: int = 2) -> DataFrame:
     return per.withColumns({"rounds": F.col("reviewers"), "all_linked": (F.col("by_time") == 0) & (F.col("by_unlinked") == 0), "extra_runs": F.transform("extra", lambda x: x["id"])}).drop("extra")
 
 
+def tokens_by_kind(linked: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Linked runs with the ``tokens`` (``session_id``, ``id``, ``tokens``) they have used, 0 where nothing is known of them."""
+    return linked.join(tokens, ["session_id", "id"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+
+
+def tokens_of(extra: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``session_id``, ``task``, ``tokens``: what the runs listed have used in all."""
+    return tokens_by_kind(extra, tokens).groupBy("session_id", "task").agg(F.sum("tokens").alias("tokens"))
+
+
 def rounds_histogram(per_task: DataFrame) -> DataFrame:
     return per_task.groupBy("rounds").agg(F.count(F.lit(1)).alias("tasks"), whole_median(F.col("builders")).alias("median_builders"))
 
@@ -243,6 +253,19 @@ def compactions(call_log: DataFrame) -> DataFrame:
     return _events(call_log, f"{_text('$.type')} = 'system' AND {_text('$.subtype')} = 'compact_boundary'", {"trigger": trigger, "pre_tokens": count("preTokens"), "post_tokens": count("postTokens")})
 
 
+def in_order(events: DataFrame) -> DataFrame:
+    """Events with their ``place`` by time, session and key, from 1.
+
+    Days are numbered by themselves and the days before counted in, so that no task
+    sorts more than a day.
+    """
+    x = events.withColumn("_day", F.expr("us div 86400000000"))
+    days = x.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = days.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_day").orderBy("us", "session", "key"))
+    return x.withColumn("_own", own).join(before, "_day").withColumn("place", F.col("_before") + F.col("_own")).drop("_day", "_own", "_before")
+
+
 def limit_hits(call_log: DataFrame) -> DataFrame:
     """Lines that a limit cut off: written in place of an answer (model '<synthetic>') with the error 'rate_limit'."""
     return _events(call_log, f"{_text('$.type')} = 'assistant' AND {_text('$.message.model')} = '<synthetic>' AND {_text('$.error')} = 'rate_limit'", {})
@@ -258,12 +281,16 @@ def within_sessions(events: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def verdicts_of_runs(call_log: DataFrame, handback: str = "SubagentHandback") -> DataFrame:
-    """``src``, ``verdict`` of each subagent's file: that of its last message handed back, else of its last text."""
-    b = blocks(call_log).where("sub")
-    x = lines(call_log).where("sub AND role = 'assistant'")
-    uses = f"filter(transform({_elements("try_variant_get(v, '$.message.content', 'variant')")}, x -> try_cast(x AS {_BLOCK})), b -> b IS NOT NULL AND CAST(b['type'] AS string) = 'tool_use' AND CAST(b['name'] AS string) = '{handback}' AND schema_of_variant(try_variant_get(b['input'], '$.message', 'variant')) = 'STRING')"
-    handed = x.select("src", "line", "log_id", F.expr(f"inline(transform({uses}, b -> struct(try_variant_get(b['input'], '$.message', 'string') AS text)))"))
-    last = handed.groupBy("src").agg(F.max_by("text", F.struct("line", "log_id")).alias("handed"))
-    texts = last_texts(call_log).withColumnRenamed("text", "final")
-    runs = b.select("src").distinct()
-    return runs.join(last, "src", "left").join(texts, "src", "left").select("src", verdict(F.coalesce("handed", "final", F.lit(""))).alias("verdict"))
+    """``src``, ``verdict`` of each subagent's file: that of its last message handed back, else of its last text. The log is parsed once."""
+    v = lines(call_log).where("sub")
+    c = "try_variant_get(v, '$.message.content', 'variant')"
+    parts = f"filter(transform({_elements(c)}, x -> try_cast(x AS {_BLOCK})), b -> b IS NOT NULL)"
+    rows = v.select("src", "line", "log_id", "role", F.expr(parts).alias("parts"), F.expr(f"CASE WHEN schema_of_variant({c}) = 'STRING' THEN CAST({c} AS string) END").alias("whole"))
+    handed = f"element_at(transform(filter(parts, b -> CAST(b['type'] AS string) = 'tool_use' AND CAST(b['name'] AS string) = '{handback}' AND schema_of_variant(try_variant_get(b['input'], '$.message', 'variant')) = 'STRING'), b -> try_variant_get(b['input'], '$.message', 'string')), -1)"
+    told = "coalesce(whole, array_join(transform(filter(parts, b -> CAST(b['type'] AS string) = 'text' AND schema_of_variant(b['text']) = 'STRING'), b -> CAST(b['text'] AS string)), '\\n'))"
+    own = F.col("role") == "assistant"
+    rows = rows.withColumns({"blocks": F.size("parts"), "handed": F.when(own, F.expr(handed.replace("element_at(", "try_element_at(", 1))), "told": F.when(own, F.expr(told))})
+    order = F.struct("line", "log_id")
+    last = lambda x, test: F.max_by(x, F.when(test, order))
+    per = rows.groupBy("src").agg(F.sum("blocks").alias("n"), last("handed", F.col("handed").isNotNull()).alias("handed"), last("told", F.col("told").rlike(r"(?U)\S")).alias("final"))
+    return per.where("n > 0").select("src", verdict(F.coalesce("handed", "final", F.lit(""))).alias("verdict"))

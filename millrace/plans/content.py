@@ -84,19 +84,40 @@ def large_results(spark, folder):
     return content.large_results(_blocks(spark, folder), 500)
 
 
+_LARGE_LINE = """CASE WHEN log_id % 100 = 1 THEN concat('{"type":"user","message":{"role":"user","content":[{"type":"tool_use","id":"q', log_id, '","name":"Grep"},{"type":"tool_result","tool_use_id":"q', log_id, '","content":"', repeat('y', CAST(19990 + log_id % 40 AS int)), '"}]}}') END"""
+
+
+@_query("a6_results_beyond_20000", "SELECT 'Grep' AS tool, count(*) AS results, CAST(sum(19990 + log_id % 40 - 20000) AS bigint) AS excess FROM call_log WHERE log_id % 100 = 1 AND log_id % 40 > 10")
+def results_beyond(spark, folder):
+    """At the limit of 20,000 characters, strictly: the table's results, all shorter, and longer ones of some lines."""
+    return content.large_results(content.blocks(_with_lines(spark, folder, _LARGE_LINE)))
+
+
 @_query("t4_largest_results", _BLOCKS + "SELECT tool_use_id, tool, CAST(chars AS bigint) AS chars FROM named ORDER BY chars DESC, tool_use_id LIMIT 10")
 def largest_results(spark, folder):
     return content.largest_results(_blocks(spark, folder))
 
 
-@_query("a7_repeated_reads", _BLOCKS + "SELECT src, file_path, count(*) AS reads, CAST(sum(n) - arg_min(n, (us IS NULL, us, id)) AS bigint) AS extra_chars FROM reads GROUP BY 1, 2 HAVING count(*) >= 3")
+def _with_lines(spark, folder, json):
+    """``call_log`` and, of each of its rows, a further line (its JSON the SQL ``json``, null for none), as the table has none of the kind looked for."""
+    log = load(spark, folder, "call_log")
+    more = log.select(F.col("log_id") + 10**9, "profile", F.concat(F.lit("more/"), F.col("log_id") % 5, F.lit(".jsonl")), F.lit(1), "loaded_at", F.expr(json)).toDF("log_id", "profile", "src", "line", "loaded_at", "json")
+    return log.select(*more.columns).unionByName(more.where("json IS NOT NULL"))
+
+
+_READ_LINE = """concat('{"type":"assistant","timestamp":"2021-01-10T00:00:', lpad(CAST(log_id % 60 AS string), 2, '0'), 'Z","message":{"role":"assistant","content":[{"type":"tool_use","id":"t', log_id, '","name":"Read","input":{"file_path":"f', log_id % 3, '"}},{"type":"tool_result","tool_use_id":"t', log_id, '","content":"', repeat('x', CAST(log_id % 50 AS int)), '"}]}}')"""
+_MORE_READS = _BLOCKS + ", more AS (SELECT 'more/' || (log_id % 5) || '.jsonl' AS src, 'f' || (log_id % 3) AS file_path, log_id % 50 AS n, log_id % 60 AS us, 't' || log_id AS id FROM call_log), a AS (SELECT src, file_path, n, us, id FROM reads UNION ALL SELECT * FROM more), h AS (SELECT src, file_path, count(*) AS reads, CAST(sum(n) - arg_min(n, (us IS NULL, us, id)) AS bigint) AS extra_chars FROM a GROUP BY 1, 2 HAVING count(*) >= 3) "
+
+
+@_query("a7_repeated_reads", _MORE_READS + "SELECT * FROM h")
 def repeated_reads(spark, folder):
-    return content.repeated_reads(_blocks(spark, folder))
+    """The table's reads, of which hardly any is repeated, and a further one per line."""
+    return content.repeated_reads(content.blocks(_with_lines(spark, folder, _READ_LINE)))
 
 
-@_query("t5_repeated_reads_top", _BLOCKS + "SELECT src, file_path, count(*) AS reads, CAST(sum(n) - arg_min(n, (us IS NULL, us, id)) AS bigint) AS extra_chars FROM reads GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY reads DESC, extra_chars DESC, src, file_path LIMIT 10")
+@_query("t5_repeated_reads_top", _MORE_READS + "SELECT * FROM h ORDER BY reads DESC, extra_chars DESC, src, file_path LIMIT 10")
 def repeated_reads_top(spark, folder):
-    return content.repeated_reads(_blocks(spark, folder)).orderBy(F.desc("reads"), F.desc("extra_chars"), "src", "file_path").limit(10)
+    return repeated_reads(spark, folder).orderBy(F.desc("reads"), F.desc("extra_chars"), "src", "file_path").limit(10)
 
 
 @_query("a8_subagent_rereads", _BLOCKS + ", began AS (SELECT src, min(us) AS began FROM b WHERE sub AND us IS NOT NULL GROUP BY 1), par AS (SELECT profile, session, file_path, min(us) AS pus FROM reads WHERE NOT sub AND us IS NOT NULL GROUP BY 1, 2, 3) SELECT r.src, count(*) AS reads, count(*) FILTER (pus < began) AS again, CAST(coalesce(sum(n) FILTER (pus < began), 0) AS bigint) AS chars FROM reads r LEFT JOIN began USING (src) LEFT JOIN par ON par.profile = r.profile AND par.session = r.session AND par.file_path = r.file_path WHERE r.sub GROUP BY 1")
@@ -178,19 +199,80 @@ def _agent_runs(spark, folder):
     return runs.join(said, (F.lower("session_id") == F.col("session")) & (own == F.col("run")), "left").select("session_id", "id", "type", "description", "started_at", F.when(F.col("type") == "reviewer", F.col("v.verdict")).alias("verdict"))
 
 
-@_query("w7_task_links")
+def _judged_runs(spark, folder):
+    """The runs with a verdict: that of their own file, or else one told by the end of the id, as files and agents of the test data have none in common."""
+    last = F.substring("id", -1, 1)
+    told = F.when(last < "6", "changes").when(last < "b", "approve").otherwise("unclear")
+    return _agent_runs(spark, folder).withColumn("verdict", F.when(F.col("type") == "reviewer", F.coalesce("verdict", told)))
+
+
+def _linked(spark, folder):
+    return content.linked_runs(_judged_runs(spark, folder))
+
+
+#: Task linking as a recursion over the runs of all sessions, one run of each a step: the state holds the words and last verdicts of the tasks.
+_LINKED = r"""
+WITH RECURSIVE a AS (SELECT session_id, id, type, description, started_at FROM agents WHERE type IN ('builder', 'reviewer') QUALIFY row_number() OVER (PARTITION BY session_id, id ORDER BY row_id) = 1),
+r AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(coalesce(description, '')), '[a-z0-9]+'), lambda x: NOT regexp_full_match(x, '[0-9]+') AND x NOT IN (STOP))) AS ws,
+  CASE WHEN type = 'reviewer' THEN CASE WHEN right(id, 1) < '6' THEN 'changes' WHEN right(id, 1) < 'b' THEN 'approve' ELSE 'unclear' END END AS verdict, row_number() OVER (PARTITION BY session_id ORDER BY started_at, id) AS n FROM a),
+w AS (
+  SELECT session_id, 0::bigint AS n, []::varchar[][] AS words, []::varchar[] AS said, NULL::varchar AS id, NULL::varchar AS type, NULL::bigint AS started_at, NULL::varchar AS verdict, NULL::bigint AS task, NULL::varchar AS how FROM (SELECT DISTINCT session_id FROM r)
+  UNION ALL
+  SELECT session_id, n, CASE WHEN how = 'time' THEN words WHEN task = len(words) THEN list_append(words, ws) ELSE list_transform(words, lambda t, i: CASE WHEN i = task + 1 THEN list_distinct(list_concat(t, ws)) ELSE t END) END,
+    CASE WHEN task = len(said) THEN list_append(said, verdict) WHEN type = 'reviewer' THEN list_transform(said, lambda t, i: CASE WHEN i = task + 1 THEN verdict ELSE t END) ELSE said END, id, type, started_at, verdict, task, how
+  FROM (
+    SELECT *, CASE WHEN coalesce(best, 0) >= 0.5 THEN len(score) - list_position(list_reverse(score), best) WHEN len(words) > 0 AND (type = 'reviewer' OR said[len(said)] = 'changes') THEN len(words) - 1 ELSE len(words) END AS task,
+      CASE WHEN coalesce(best, 0) >= 0.5 THEN 'description' WHEN len(words) > 0 AND (type = 'reviewer' OR coalesce(said[len(said)] = 'changes', false)) THEN 'time' WHEN type = 'builder' THEN 'new' ELSE 'unlinked' END AS how
+    FROM (SELECT *, list_max(score) AS best FROM (SELECT w.session_id, r.n, w.words, w.said, r.id, r.type, r.started_at, r.verdict, r.ws, list_transform(w.words, lambda t: CASE WHEN least(len(t), len(r.ws)) > 0 THEN len(list_intersect(t, r.ws)) / least(len(t), len(r.ws)) ELSE 0.0 END) AS score FROM w JOIN r ON r.session_id = w.session_id AND r.n = w.n + 1))
+  )
+), v AS (SELECT session_id, id, type, started_at, task, how AS linked_by, verdict FROM w WHERE n > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id, task, type ORDER BY started_at, id) AS n FROM v),
+t AS (SELECT session_id, task, count(*) FILTER (type = 'builder') AS builders, count(*) FILTER (type = 'reviewer') AS rounds, count(*) FILTER (linked_by IN ('time', 'unlinked')) = 0 AS all_linked, count(*) FILTER (verdict = 'changes') AS changes,
+  coalesce(array_to_string(list(id ORDER BY type, n) FILTER (n > 2), ','), '') AS extra FROM ranked GROUP BY 1, 2)
+""".replace("STOP", ", ".join(f"'{w}'" for w in ("a an and the of for to in on with at by build built rebuild validate validation revalidate re review rereview reviewer fix fixes write implement verify check final round rounds pass attempt iteration again follow up").split()))
+
+
+@_query("w7_task_links", _LINKED + "SELECT * FROM v")
 def task_links(spark, folder):
-    return content.linked_runs(_agent_runs(spark, folder))
+    return _linked(spark, folder)
 
 
-@_query("a16_tasks")
+@_query("a16_tasks", _LINKED + "SELECT session_id, task, builders, rounds, all_linked, changes, extra FROM t")
 def task_rollup(spark, folder):
-    return content.tasks(task_links(spark, folder))
+    t = content.tasks(_linked(spark, folder))
+    return t.select("session_id", "task", "builders", "rounds", "all_linked", "changes", F.array_join("extra_runs", ",").alias("extra"))
 
 
-@_query("a17_rounds")
+@_query("a17_rounds", _LINKED + "SELECT rounds, count(*) AS tasks, CAST(floor(median(builders)) AS bigint) AS median_builders FROM t GROUP BY 1")
 def rounds(spark, folder):
-    return content.rounds_histogram(task_rollup(spark, folder))
+    return content.rounds_histogram(content.tasks(_linked(spark, folder)))
+
+
+_TOKENS = ", q AS (SELECT session_id, id, tokens.input + tokens.output + tokens.cache_write AS tokens FROM agents QUALIFY row_number() OVER (PARTITION BY session_id, id ORDER BY row_id) = 1) "
+
+
+@_query("j6_extra_run_tokens", _LINKED + _TOKENS + "SELECT x.session_id, x.task, CAST(coalesce(sum(q.tokens), 0) AS bigint) AS tokens FROM (SELECT session_id, task, id FROM ranked WHERE n > 2) x LEFT JOIN q ON q.session_id = x.session_id AND q.id = x.id GROUP BY 1, 2")
+def extra_run_tokens(spark, folder):
+    """What the runs beyond the second of a task and kind have used."""
+    extra = content.tasks(_linked(spark, folder)).select("session_id", "task", F.explode("extra_runs").alias("id"))
+    return content.tokens_of(extra, _agent_tokens(spark, folder))
+
+
+def _agent_tokens(spark, folder):
+    t = F.col("tokens")
+    return load(spark, folder, "agents").groupBy("session_id", "id").agg(F.min_by(t["input"] + t["output"] + t["cache_write"], "row_id").alias("tokens"))
+
+
+@_query("a16_task_tokens", _LINKED + _TOKENS + "SELECT v.session_id, v.task, CAST(coalesce(sum(tokens) FILTER (type = 'builder'), 0) AS bigint) AS builder_tokens, CAST(coalesce(sum(tokens) FILTER (type = 'reviewer'), 0) AS bigint) AS reviewer_tokens FROM v LEFT JOIN q ON q.session_id = v.session_id AND q.id = v.id GROUP BY 1, 2")
+def task_tokens(spark, folder):
+    return content.tokens_by_kind(_linked(spark, folder), _agent_tokens(spark, folder)).groupBy("session_id", "task").agg(*[F.sum(F.when(F.col("type") == k, F.col("tokens")).otherwise(0)).alias(f"{k}_tokens") for k in ("builder", "reviewer")])
+
+
+@_query("a17_median_tokens", _LINKED + _TOKENS + "SELECT type, count(*) AS runs, CAST(floor(median(coalesce(tokens, 0))) AS bigint) AS median_tokens FROM v LEFT JOIN q ON q.session_id = v.session_id AND q.id = v.id GROUP BY 1")
+def median_tokens(spark, folder):
+    from ..functions.scalars import whole_median
+
+    return content.tokens_by_kind(_linked(spark, folder), _agent_tokens(spark, folder)).groupBy("type").agg(F.count(F.lit(1)).alias("runs"), whole_median(F.col("tokens")).alias("median_tokens"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in content.STOP_WORDS)
@@ -238,11 +320,27 @@ def status_changes(spark, folder):
     return ag.status_changes(load(spark, folder, "listed_agents"))
 
 
-@_query("w11_tree_order")
+#: Depth-first order by a path of sort keys; links and cycles as in problem 2.
+_TREE = r"""
+WITH RECURSIVE ids AS (SELECT id FROM agents WHERE id IS NOT NULL UNION SELECT id FROM listed_agents WHERE id IS NOT NULL),
+a AS (SELECT id, parent_id, started_at FROM agents WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1),
+l AS (SELECT id, parent_id FROM listed_agents WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY listed_at DESC, listing_id DESC) = 1),
+c AS (SELECT ids.id, CASE WHEN l.id IS NOT NULL THEN l.parent_id ELSE a.parent_id END AS p, coalesce(a.started_at, 0) AS began FROM ids LEFT JOIN a ON a.id = ids.id LEFT JOIN l ON l.id = ids.id),
+par AS (SELECT c.id, ids.id AS parent, c.began FROM c LEFT JOIN ids ON ids.id = c.p AND trim(c.p) <> ''),
+d AS (SELECT id, id AS root, 0::bigint AS depth, [[lpad(began::varchar, 20, '0'), id]] AS path FROM par WHERE parent IS NULL UNION ALL SELECT par.id, d.root, d.depth + 1, list_append(d.path, [lpad(par.began::varchar, 20, '0'), par.id]) FROM d JOIN par ON par.parent = d.id)
+SELECT id AS agent_id, root AS root_id, depth, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS place FROM d
+"""
+
+
+@_query("w11_tree_order", _TREE)
 def tree_order(spark, folder):
-    """Depth-first order of each tree, parents first; agents on or below cycles come last in their ring."""
+    """Depth-first order of each tree, parents first, siblings by start and id; agents on or below cycles have no place in it."""
+    from pyspark.sql import Window
+
     from ..operators.hierarchy import Forest, agent_links
 
-    f = Forest(spark, agent_links(load(spark, folder, "agents"), load(spark, folder, "listed_agents")))
-    n = f.nodes().join(f.names, "n")
-    return n.select("root", (-F.col("enter")).alias("position"), F.col("id").alias("agent_id"), "depth")
+    agents, listed = load(spark, folder, "agents"), load(spark, folder, "listed_agents")
+    began = agents.where("id IS NOT NULL").groupBy("id").agg(F.max_by("started_at", F.coalesce("row_id", F.lit(-1))).alias("at"))
+    f = Forest(spark, agent_links(agents, listed).join(began, "id", "left").withColumn("at", F.coalesce("at", F.lit(0).cast("bigint"))), by=("at", "id"))
+    rooted = f.intervals().join(f.roots().select("agent_id", "depth").where("depth >= 0"), "agent_id")
+    return rooted.select("agent_id", "root_id", "depth", (F.row_number().over(Window.partitionBy("root_id").orderBy("enter")) - 1).cast("bigint").alias("place"))

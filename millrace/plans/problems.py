@@ -51,7 +51,8 @@ def p3_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_renames(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.Drift(spark, load(spark, folder, "call_log"), load(spark, folder, "log_schema")).renames()
+    found = drift.Drift(spark, load(spark, folder, "call_log"), load(spark, folder, "log_schema")).renames()
+    return found.select("object", "old_name", "new_name").distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,7 +128,36 @@ c AS (
   UNION ALL SELECT k.src, s.field, 'retyped' FROM k JOIN s ON s.obj = k.obj AND s.name = k.name WHERE s.within AND s.json_type <> 'any' AND k.kind NOT IN ('null', s.json_type)
 )
 """
+_FIELDS = [("type", "", "type", "string"), ("message_model", "message", "model", "string"), ("message_usage_service_tier", "usage", "service_tier", "string"), *[(f"message_usage_{c}", "usage", c, "integer") for c in ("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens")]]
+_FIELDS += [(f"message_usage_cache_creation_{c}", "creation", c, "integer") for c in ("ephemeral_5m_input_tokens", "ephemeral_1h_input_tokens")] + [("message_usage_output_tokens_details_thinking_tokens", "details", "thinking_tokens", "integer")]
+_PATHS = {"": "", "message": "message", "usage": "message.usage", "creation": "message.usage.cache_creation", "details": "message.usage.output_tokens_details"}
+
+
+def _moved(at: str, name: str) -> str:
+    """SQL: a field of the object ``at``, from its own or its new name."""
+    full = f"{_PATHS[at]}.{name}" if at else name
+    return f"coalesce(json_extract({at or 'j'}, '$.\"{name}\"'), CASE WHEN mv['{full}'] IS NOT NULL THEN json_extract({at or 'j'}, '$.\"' || mv['{full}'] || '\"') END)"
+
+
+def _object(at: str, name: str) -> str:
+    return f"CASE WHEN json_type({_moved(at, name)}) = 'OBJECT' THEN {_moved(at, name)} END"
+
+
+def _column(name: str, at: str, own: str, kind: str) -> str:
+    x = _moved(at, own)
+    if kind == "string":
+        return f"CASE WHEN json_type({x}) IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') THEN {x}->>'$' END AS {name}"
+    number = f"try_cast({x}->>'$' AS decimal(38, 9))"
+    return f"CASE WHEN json_type({x}) IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE') AND {number} = floor({number}) THEN CAST({number} AS bigint) END AS {name}"
+
+
+_UNIFIED = _CHANGES + ", mv AS (SELECT lost.log_id, map_from_entries(list((lost.field, gain.name))) AS mv FROM lost JOIN gain ON gain.log_id = lost.log_id AND gain.obj = lost.obj AND gain.kind = lost.kind AND gain.n = lost.n GROUP BY 1), "
+_UNIFIED += f"a AS (SELECT l.*, coalesce(mv.mv, MAP {{}}) AS mv FROM l LEFT JOIN mv USING (log_id)), b AS (SELECT *, {_object('', 'message')} AS message FROM a), c2 AS (SELECT *, {_object('message', 'usage')} AS usage FROM b), d AS (SELECT *, {_object('usage', 'cache_creation')} AS creation, {_object('usage', 'output_tokens_details')} AS details FROM c2) "
 SQL = {
+    "p3_unified": _UNIFIED + "SELECT log_id, src, " + ", ".join(_column(*f) for f in _FIELDS) + " FROM d",
+    "p3_renames": _CHANGES + "SELECT DISTINCT lost.obj AS object, lost.name AS old_name, gain.name AS new_name FROM lost JOIN gain ON gain.log_id = lost.log_id AND gain.obj = lost.obj AND gain.kind = lost.kind AND gain.n = lost.n",
+    "p5_blocks": _NESTED.replace("d AS (SELECT b.log_id, b.path,", "d AS (SELECT b.log_id, b.path, " + ", ".join(f"CASE WHEN json_type(b.x, '$.{k}') = 'VARCHAR' THEN b.x->>'$.{k}' END AS {k}" for k in ("type", "id", "tool_use_id", "name")) + ",") + "SELECT * FROM d",
+    "p2_intervals": _LINKS + _ABOVE + "SELECT start AS agent_id, CASE WHEN ring THEN up[len(up)] ELSE cur END AS root_id, coalesce(n, 0) AS n_descendants FROM h JOIN f USING (start, ring) LEFT JOIN (SELECT a, count(*) AS n FROM y GROUP BY 1) ON a = start",
     "p3_found": _CHANGES + "SELECT DISTINCT src, field, change FROM c",
     "p1_found": _RANKED + "SELECT row_id FROM k WHERE key IS NOT NULL AND n > 1",
     "p1_delivered_once": _RANKED + "SELECT c.row_id, c.session_id, c.request_id, c.message.id AS message_id, c.message.usage.output_tokens AS output_tokens FROM calls c JOIN k ON k.row_id = c.row_id WHERE key IS NULL OR n = 1",

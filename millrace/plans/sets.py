@@ -9,7 +9,7 @@ from ..operators import alerts, content, findings
 from ..operators import usage as ops
 from ..sinks.outputs import annotation
 from ..tables import load
-from .content import _BLOCKS, _STOP
+from .content import _BLOCKS, _LAST, _LINES, _STOP, _VERDICT, _with_lines
 from .usage import _GAPS, _SESS
 
 SPARK, SQL = {}, {}
@@ -77,7 +77,7 @@ def word_overlap(spark, folder):
     return a.join(p, "parent_id").select("id", overlap(F.col("w"), F.col("pw")).alias("overlap"))
 
 
-@_query("t9_largest_gaps", _GAPS + " SELECT stream, key, gap AS gap_us FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, stream, key LIMIT 20")
+@_query("w1_largest_gaps", _GAPS + " SELECT stream, key, gap AS gap_us FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, stream, key LIMIT 20")
 def largest_gaps(spark, folder):
     g = ops.gaps(ops.deduplicated(ops.usage(load(spark, folder, "calls"))))
     return g.where("gap_us IS NOT NULL").select("stream", "key", "gap_us").orderBy(F.desc("gap_us"), "stream", "key").limit(20)
@@ -120,11 +120,50 @@ def compactions(spark, folder):
     return content.by_trigger(content.compactions(load(spark, folder, "call_log")))
 
 
-@_query("a12_limit_hits")
+_LIMIT_LINE = """CASE WHEN log_id % 40 < 2 THEN concat('{"type":"assistant","uuid":"u', log_id div 40, '","sessionId":"S', log_id div 40 % 7, '","timestamp":"2021-01-10T00:00:', lpad(CAST(log_id % 40 AS string), 2, '0'), 'Z","error":"rate_limit","message":{"model":"<synthetic>","role":"assistant"}}') END"""
+_LIMITS = "WITH e AS (SELECT 'u' || (log_id // 40) AS key, 's' || (log_id // 40 % 7) AS session, 1610236800000000 + min(log_id % 40) * 1000000 AS us, arg_min(log_id % 40, ('more/' || (log_id % 5) || '.jsonl', log_id)) AS sec FROM call_log WHERE log_id % 40 < 2 GROUP BY 1, 2) "
+
+
+def _limits(spark, folder):
+    return content.limit_hits(_with_lines(spark, folder, _LIMIT_LINE))
+
+
+@_query("a12_limit_hits", _LIMITS + "SELECT key, session, CAST(1610236800000000 + sec * 1000000 AS bigint) AS us FROM e")
 def limit_hits(spark, folder):
-    return content.limit_hits(load(spark, folder, "call_log")).select("key", "session", "us")
+    """Lines that a limit cut off, each event once; the table has none, so some are added."""
+    return _limits(spark, folder).select("key", "session", "us")
+
+
+@_query("a12_limit_totals", _LIMITS + "SELECT count(*) AS hits, count(DISTINCT session) AS sessions FROM e")
+def limit_totals(spark, folder):
+    return _limits(spark, folder).agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("session").alias("sessions"))
+
 
+_COMPACTED = r"""
+WITH p AS (SELECT *, json_extract_string(json, '$.timestamp') AS ts FROM call_log WHERE json_valid(json) AND json_type(json) = 'OBJECT' AND json_extract_string(json, '$.type') = 'system' AND json_extract_string(json, '$.subtype') = 'compact_boundary'),
+c AS (SELECT coalesce(CASE WHEN json_type(json, '$.uuid') = 'VARCHAR' THEN json_extract_string(json, '$.uuid') END, src || ':' || line) AS key, lower(json_extract_string(json, '$.sessionId')) AS session, CASE WHEN json_extract_string(json, '$.compactMetadata.trigger') IN ('auto', 'manual') THEN json_extract_string(json, '$.compactMetadata.trigger') ELSE 'unknown' END AS trigger,
+  epoch_us(try_cast(replace(replace(ts, 'T', ' '), 'Z', '') AS timestamp)) AS us FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY src, line, log_id) = 1)
+"""
 
-@_query("j5_run_verdicts")
+
+@_query("t9_compactions_in_order", _COMPACTED + "SELECT key, session, trigger, us, row_number() OVER (ORDER BY us, session, key) AS place FROM c WHERE us IS NOT NULL")
+def compactions_in_order(spark, folder):
+    """Compactions by time and session."""
+    c = content.compactions(load(spark, folder, "call_log")).where("us IS NOT NULL")
+    return content.in_order(c).select("key", "session", "trigger", "us", "place")
+
+
+@_query("j8_events_of_sessions", _COMPACTED + "SELECT c.key FROM c WHERE session IN (SELECT lower(session_id) FROM calls WHERE trim(session_id) <> '' AND profile = 'work')")
+def events_of_sessions(spark, folder):
+    """Compactions of sessions that occur among the calls of one profile."""
+    kept = ops.deduplicated(ops.usage(load(spark, folder, "calls").where("profile = 'work'")))
+    return content.within_sessions(content.compactions(load(spark, folder, "call_log")), kept).select("key")
+
+
+@_query(
+    "j5_run_verdicts",
+    _BLOCKS + _LAST[len(_LINES) :] + ", hand AS (SELECT src, arg_max(b->>'$.input.message', (line, log_id, pos)) AS text FROM (SELECT b.*, t.line FROM b JOIN t USING (log_id, src)) WHERE sub AND type = 'tool_use' AND name = 'SubagentHandback' AND json_type(b, '$.input.message') = 'VARCHAR' GROUP BY 1), "
+    + f"x AS (SELECT src, {_VERDICT} AS v FROM (SELECT src, coalesce(hand.text, y.text, '') AS text FROM (SELECT DISTINCT src FROM b WHERE sub) LEFT JOIN hand USING (src) LEFT JOIN y USING (src))) SELECT src, CASE WHEN regexp_matches(v, '(?i)VERDICT:[\\t ]*(APPROVE|PASS)') THEN 'approve' WHEN v IS NOT NULL THEN 'changes' ELSE 'unclear' END AS verdict FROM x",
+)
 def run_verdicts(spark, folder):
     return content.verdicts_of_runs(load(spark, folder, "call_log"))

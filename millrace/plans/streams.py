@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.instants import instant_micros
+from ..functions.instants import instant_micros, is_blank
 from ..streaming import meters
 from ..streaming.run import drained
+from .problems import _STRETCHES
 from .usage import _BASE
 
 SPARK, SQL = {}, {}
@@ -44,13 +45,13 @@ def session_totals(spark, folder):
     return done.groupBy("session").agg(F.max("turns").alias("turns"), F.max_by("input", "turns").alias("input"), F.max_by("output", "turns").alias("output"), F.max_by("cache_read", "turns").alias("cache_read"))
 
 
-@_query("m5_agent_ends")
+@_query("m5_agent_ends", "SELECT id, count(*) AS ends FROM (SELECT id, ended, lag(ended) OVER (PARTITION BY session_id, id ORDER BY listed_at, listing_id % 1000) AS before FROM (SELECT *, coalesce(status, 'running') NOT IN ('pending', 'running', 'waiting', 'idle') AS ended FROM listed_agents WHERE id IS NOT NULL AND session_id IS NOT NULL)) WHERE ended AND NOT coalesce(before, false) GROUP BY 1")
 def agent_ends(spark, folder):
-    """Ends of listed agents, each told once: every listing is a snapshot of one agent (M4, M5)."""
+    """Ends of listed agents, each told once: every listing is a snapshot of one agent (M4, M5). The clock also tells listings of one instant apart."""
     x = _stream(spark, folder, "listed_agents").where("id IS NOT NULL AND session_id IS NOT NULL")
     none = lambda kind: F.lit(None).cast(kind)
     listed = F.array(F.struct("id", "type", "description", "status", "parent_id"))
-    events = x.select(F.concat_ws("/", "session_id", "id").alias("session"), F.unix_millis("listed_at").alias("at_ms"), F.lit("snapshot").alias("event"), *[none("string").alias(c) for c in ("id", "type", "description", "parent_id", "status", "call", "tool")], *[none("bigint").alias(c) for c in ("input", "output", "cache_read", "cache_write")], listed.alias("listed"))
+    events = x.select(F.concat_ws("/", "session_id", "id").alias("session"), (F.unix_micros("listed_at") * 1000 + F.col("listing_id") % 1000).alias("at_ms"), F.lit("snapshot").alias("event"), *[none("string").alias(c) for c in ("id", "type", "description", "parent_id", "status", "call", "tool")], *[none("bigint").alias(c) for c in ("input", "output", "cache_read", "cache_write")], listed.alias("listed"))
     return drained(meters.agent_stream(events, timers=False), "ends").groupBy("id").agg(F.count(F.lit(1)).alias("ends"))
 
 
@@ -60,8 +61,8 @@ def first_deliveries(spark, folder):
     return drained(once, "once").agg(F.count(F.lit(1)).alias("messages"))
 
 
-@_query("m_closed_sessions")
+@_query("m_closed_sessions", _STRETCHES + ", z AS (SELECT session_id, min(us) AS a, max(us) AS b, count(*) AS n FROM g GROUP BY session_id, n) SELECT session_id, a // 1000 AS start_ms, b // 1000 AS end_ms, n AS events FROM z WHERE b + 1800000001 <= (SELECT max(us) FROM e) - 86400000000")
 def closed_sessions(spark, folder):
-    """Sessions that the watermark has closed; those still open at the end of the data aren't given."""
-    x = _stream(spark, folder, "calls").select(F.lower("session_id").alias("session_id"), F.timestamp_micros(instant_micros(F.col("ts"))).alias("at")).where("session_id IS NOT NULL AND at IS NOT NULL")
-    return drained(meters.session_stream(x, "session_id", "at"), "sessions")
+    """Sessions that the watermark, a day behind the latest event, has closed; those still open at the end of the data aren't given."""
+    x = _stream(spark, folder, "calls").select(F.lower("session_id").alias("session_id"), F.timestamp_micros(instant_micros(F.col("ts"))).alias("at")).where(~is_blank(F.col("session_id")) & F.col("at").isNotNull())
+    return drained(meters.session_stream(x, "session_id", "at"), "sessions").select("session_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "events")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,13 @@ def drift_share(lines: DataFrame, limit: float = 0.05) -> DataFrame:
     return lines.agg(F.count(F.lit(1)).alias("lines"), F.count("reason").alias("drifted")).withColumn("failed", F.col("drifted") > F.col("lines") * limit)
 
 
+def missing(inputs: dict[str, DataFrame]) -> DataFrame:
+    """``missing``: the names of inputs without rows; of each only one row is looked at."""
+    spark = next(iter(inputs.values())).sparkSession
+    some = reduce(DataFrame.unionByName, [df.limit(1).select(F.lit(name).alias("missing")) for name, df in inputs.items()])
+    return spark.createDataFrame([(n,) for n in inputs], "missing string").join(some, "missing", "left_anti")
+
+
 def require(violations: DataFrame, message: str, code: int = 3) -> None:
     if not violations.isEmpty():
         raise GateError(message, code)

@@ -205,14 +205,42 @@ def rewrite_top_streams(rows: DataFrame, top: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= top)
 
 
-def metrics(rows: DataFrame, low: Column, high: Column) -> DataFrame:
-    """The metric vector of the half-open window [low, high)."""
-    inside = rows.where((F.col("at") >= low) & (F.col("at") < high)).withColumn("ctx", context())
-    per = inside.where("stream IS NOT NULL").groupBy("profile", "kind", "stream").agg(F.max("ctx").alias("peak"), F.min_by("ctx", _ordered()).alias("first"))
-    peaks = per.agg(whole_median(F.col("peak")).alias("median_peak_context"), F.max("peak").alias("max_peak_context"), F.median(F.when(F.col("kind") == "main", F.col("first"))).cast("bigint").alias("median_first_call_context"))
-    total = inside.agg(*measures(), pct(F.sum(F.col("w5") + F.col("w1")), F.sum("ctx")).alias("write_share_pct"), F.expr("try_divide(sum(ctx + out), count(distinct session))").alias("t"))
-    joined = total.withColumn("p", peaks.select(F.struct("*")).scalar()).select("*", "p.*")
-    return joined.select("sessions", "calls", *MEASURES, "hit_pct", "write_share_pct", F.floor("t").alias("tokens_per_session"), "median_peak_context", "max_peak_context", "median_first_call_context")
+METRICS = (
+    "sessions", "calls", "inp", "w5", "w1", "read", "out", "hit_pct", "write_share_pct", "median_peak_context", "max_peak_context", "median_first_call_context", "tokens_per_session", "cents_in", "compactions", "auto_compactions", "limit_hits",
+)
+
+
+def metrics_by(rows: DataFrame, keys: tuple[str, ...], events: DataFrame, weights: DataFrame) -> DataFrame:
+    """The 17 metrics of each group of ``keys``: counts and shares of its calls, contexts of its streams, and events of its sessions.
+
+    ``events``: ``session``, ``what`` (compaction, limit), ``trigger`` and ``keys``; those
+    of sessions without a call in the group don't count. ``weights``: see ``weighted``.
+    """
+    x = weighted(rows, weights).withColumn("ctx", context())
+    per = x.where("stream IS NOT NULL").groupBy(*keys, "profile", "kind", "stream").agg(F.max("ctx").alias("peak"), F.min_by("ctx", _ordered()).alias("first"))
+    peaks = per.groupBy(*keys).agg(whole_median(F.col("peak")).alias("median_peak_context"), F.max("peak").alias("max_peak_context"), F.median(F.when(F.col("kind") == "main", F.col("first"))).cast("bigint").alias("median_first_call_context"))
+    total = x.groupBy(*keys).agg(*measures(), pct(F.sum(F.col("w5") + F.col("w1")), F.sum("ctx")).alias("write_share_pct"), F.expr("floor(try_divide(sum(ctx + out), count(distinct session)))").alias("tokens_per_session"), cents("weight_in").alias("cents_in"))
+    own = events.join(x.select(*keys, "session").distinct(), [*keys, "session"], "left_semi")
+    compaction = F.col("what") == "compaction"
+    seen = own.groupBy(*keys).agg(F.count_if(compaction).alias("compactions"), F.count_if(compaction & (F.col("trigger") == "auto")).alias("auto_compactions"), F.count_if(F.col("what") == "limit").alias("limit_hits"))
+    joined = total.join(peaks, list(keys), "left").join(seen, list(keys), "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("compactions", "auto_compactions", "limit_hits")}
+    return joined.withColumns(zero).select(*keys, *METRICS)
+
+
+def metrics(rows: DataFrame, low: Column, high: Column, events: DataFrame, weights: DataFrame) -> DataFrame:
+    """The metric vector of the half-open window [low, high); ``events`` have a time ``at``."""
+    inside = lambda df: df.where((F.col("at") >= low) & (F.col("at") < high)).withColumn("_window", F.lit(1))
+    return metrics_by(inside(rows), ("_window",), inside(events), weights).drop("_window")
+
+
+def _sided(df: DataFrame, fixed: list, days: int) -> DataFrame:
+    """Rows with each change on one of whose sides they lie, told in one pass with the changes as literals. The side after a change ends with the data."""
+    each = F.array(*[F.struct(F.lit(d).cast("date").alias("date"), F.lit(s).alias("scope"), F.lit(end).cast("timestamp").alias("_end")) for d, s, end in fixed])
+    x = df.where("at IS NOT NULL").select("*", F.inline(each))
+    cut, span = F.col("date").cast("timestamp"), F.expr(f"INTERVAL {days} DAYS")
+    side = F.when((F.col("at") >= cut - span) & (F.col("at") < cut), "before").when((F.col("at") >= cut) & (F.col("at") < F.least(cut + span, F.col("_end"))), "after")
+    return x.withColumn("side", side).where("side IS NOT NULL").drop("_end")
 
 
 def before_after(rows: DataFrame, changes: DataFrame, days: int = 14, least: int = 10) -> DataFrame:
@@ -221,13 +249,8 @@ def before_after(rows: DataFrame, changes: DataFrame, days: int = 14, least: int
     The range join is on few changes: each call is told its side of every change by one
     pass over the calls with the changes as literals.
     """
-    fixed = [(r.date, r.scope) for r in changes.orderBy("date", "scope").collect()]  # a hand-written list
-    each = F.array(*[F.struct(F.lit(d).cast("date").alias("date"), F.lit(s).alias("scope")) for d, s in fixed])
-    x = rows.where("at IS NOT NULL").select("*", F.inline(each))
-    cut = F.col("date").cast("timestamp")
-    side = F.when((F.col("at") >= cut - F.expr(f"INTERVAL {days} DAYS")) & (F.col("at") < cut), "before").when((F.col("at") >= cut) & (F.col("at") < cut + F.expr(f"INTERVAL {days} DAYS")), "after")
-    scope = (F.col("scope") == "all") | (F.col("scope") == "main") & (F.col("kind") != "sub") | (F.col("scope") == "subagent") & (F.col("kind") == "sub")
-    x = x.where(scope).withColumn("side", side).where("side IS NOT NULL")
+    fixed = [(r.date, r.scope, "9999-12-31") for r in changes.orderBy("date", "scope").collect()]  # a hand-written list
+    x = _in_scope(_sided(rows, fixed, days))
     agg = x.groupBy("date", "scope").agg(
         *[e for s in ("before", "after") for m in (f"{s}",) for e in (F.count_distinct(F.when(F.col("side") == m, F.col("session"))).alias(f"sessions_{s}"), F.sum(F.when(F.col("side") == m, context() + F.col("out")).otherwise(0)).alias(f"tokens_{s}"))]
     )
@@ -236,6 +259,91 @@ def before_after(rows: DataFrame, changes: DataFrame, days: int = 14, least: int
     return agg.select(F.col("date").cast("string").alias("date"), "scope", "sessions_before", "sessions_after", "tokens_before", "tokens_after", delta.alias("delta"), F.when(enough, "compared").otherwise("insufficient data").alias("result"))
 
 
+def _in_scope(x: DataFrame) -> DataFrame:
+    return x.where((F.col("scope") == "all") | (F.col("scope") == "main") & (F.col("kind") != "sub") | (F.col("scope") == "subagent") & (F.col("kind") == "sub"))
+
+
+def compared(rows: DataFrame, changes: DataFrame, end: str, events: DataFrame, weights: DataFrame, days: int = 14, least: int = 10) -> DataFrame:
+    """All metrics before and after each change, in long form: ``date``, ``scope``, ``metric``, ``before``, ``after``, ``delta``, ``delta_pct``, ``result``.
+
+    ``end``: the day after the last one of the data, with which the side after a change
+    ends. A delta is null where a side is, its percentage (tenths, half up) also where
+    the side before is 0.
+    """
+    fixed = [(r.date, r.scope, end) for r in changes.orderBy("date", "scope").collect()]  # a hand-written list
+    keys = ("date", "scope", "side")
+    m = metrics_by(_in_scope(_sided(rows, fixed, days)), keys, _sided(events, fixed, days), weights)
+    long = m.select(*keys, F.col("sessions").alias("_sessions"), F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("v")) for k in METRICS])))
+    side = lambda name, v: F.max(F.when(F.col("side") == name, F.col(v))).alias(f"{v}_{name}")
+    wide = long.groupBy("date", "scope", "metric").agg(*[side(n, v) for n in ("before", "after") for v in ("v", "_sessions")])
+    # A side without any call has no vector: its counts are 0, the rest is unknown.
+    counted = F.col("metric").isin("sessions", "calls", "inp", "w5", "w1", "read", "out", "hit_pct", "write_share_pct", "compactions", "auto_compactions", "limit_hits")
+    value = lambda n: F.coalesce(f"v_{n}", F.when(counted | F.col(f"_sessions_{n}").isNull() & (F.col("metric") == "cents_in"), 0.0))
+    x = wide.select("date", "scope", "metric", value("before").alias("before"), value("after").alias("after"), "_sessions_before", "_sessions_after")
+    d = F.col("after") - F.col("before")
+    share = F.when(F.col("before") != 0, F.signum(d) * F.floor(F.abs((d * 1000).cast("decimal(38,6)") / F.col("before").cast("decimal(38,6)")) + F.lit(0.5).cast("decimal(2,1)")) / 10)
+    enough = (F.coalesce("_sessions_before", F.lit(0)) >= least) & (F.coalesce("_sessions_after", F.lit(0)) >= least)
+    return x.select(F.col("date").cast("string").alias("date"), "scope", "metric", "before", "after", d.alias("delta"), share.cast("double").alias("delta_pct"), F.when(enough, "compared").otherwise("insufficient data").alias("result"))
+
+
+#: How much writing for five minutes and for an hour weighs against plain input.
+WRITE_FACTORS = ("1.25", "2")
+
+
+def weighted(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """``rows`` with the weights of their tokens: ``weight_in``, ``weight_out``, ``weight_read``, ``weight_write``, in millionths; null for models no prefix fits.
+
+    ``weights`` is a small parameter table: ``prefix`` of a model's name, ``input`` and
+    ``output`` per million tokens, and ``read``, the factor of tokens read from a cache.
+    The longest prefix counts. Each distinct model is looked up once.
+    """
+    known = longest_prefix(rows, "model", weights, "prefix").join(weights, "prefix", "left").select(F.col("model").alias("_model"), "input", "output", F.col("read").alias("_read"))
+    x = rows.join(known, F.col("model") == F.col("_model"), "left")
+    whole = lambda c: F.col(c).cast("decimal(20,0)")
+    rate = lambda c: F.col(c).cast("decimal(8,4)")
+    factor = lambda f: F.lit(f).cast("decimal(4,2)")
+    read = whole("read") * F.col("_read").cast("decimal(4,2)")
+    write = whole("w5") * factor(WRITE_FACTORS[0]) + whole("w1") * factor(WRITE_FACTORS[1])
+    d = lambda c: c.cast("decimal(38,6)")
+    return x.withColumns({"weight_in": d((whole("inp") + write + read) * rate("input")), "weight_out": d(whole("out") * rate("output")), "weight_read": d(read * rate("input")), "weight_write": d(write * rate("input"))}).drop("_model", "input", "output", "_read")
+
+
+def cents(c: str) -> Column:
+    """The sum of weights in whole hundredths, half up; null if any of them is unknown."""
+    return F.when(F.count_if(F.col(c).isNull()) == 0, hundredths(F.sum(c)))
+
+
+def hundredths(total: Column) -> Column:
+    return F.floor((total + F.lit(5000)) / F.lit(10000)).cast("bigint")
+
+
+def weekly_share(total: Column, days: Column | int) -> Column:
+    """What falls on a week of a total of so many days, half up."""
+    return F.floor((total.cast("decimal(30,0)") * 14 + F.lit(days)) / (F.lit(days) * 2)).cast("bigint")
+
+
+def weekly_weights(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Weights by week, model and effort with a SUBTOTAL per week and a TOTAL, in hundredths; null where a model is unknown."""
+    dated = weighted(rows.where("at IS NOT NULL"), weights).withColumn("week", iso_week(F.col("at")))
+    sets = dated.groupingSets([[F.col("week"), F.col("model"), F.col("effort")], [F.col("week")], []], "week", "model", "effort").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("calls"), cents("weight_in").alias("cents_in"), cents("weight_out").alias("cents_out"))
+    level = F.when(F.col("g") == 0, "group").when(F.col("g") == 3, "SUBTOTAL").otherwise("TOTAL")
+    return sets.select(level.alias("level"), "week", "model", "effort", "calls", "cents_in", "cents_out")
+
+
+def runs_by_type(rows: DataFrame, types: DataFrame, weights: DataFrame) -> DataFrame:
+    """Subagent runs by type (``types``: ``stream``, ``type``; unknown without a row): runs, tokens, medians, weights."""
+    each = weighted(rows.where("kind = 'sub' AND at IS NOT NULL"), weights).withColumn("ctx", context())
+    per = each.groupBy("profile", "stream").agg(F.sum(F.col("ctx") + F.col("out")).alias("tokens"), F.max("ctx").alias("peak_ctx"), cents("weight_in").alias("cents_in"))
+    typed = per.join(types, "stream", "left").withColumn("type", F.coalesce("type", F.lit("unknown")))
+    return typed.groupBy("type").agg(F.count(F.lit(1)).alias("runs"), F.sum("tokens").alias("tokens"), whole_median(F.col("tokens")).alias("median_tokens"), whole_median(F.col("peak_ctx")).alias("median_peak"), F.when(F.count_if(F.col("cents_in").isNull()) == 0, F.sum("cents_in")).alias("cents_in"))
+
+
+def first_models(rows: DataFrame) -> DataFrame:
+    """``stream``, ``model`` of its first call; of streams that share an id the last, by profile and kind."""
+    per = rows.where("stream IS NOT NULL AND at IS NOT NULL").groupBy("profile", "kind", "stream").agg(F.min_by("model", _ordered()).alias("model"))
+    return per.groupBy("stream").agg(F.max_by("model", F.struct("profile", "kind")).alias("model"))
+
+
 def longest_prefix(values: DataFrame, value: str, prefixes: DataFrame, prefix: str) -> DataFrame:
     """Each distinct value with the longest prefix it begins with, null if none. ``prefixes`` is a small parameter table.
 

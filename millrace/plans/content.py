@@ -227,7 +227,8 @@ w AS (
   )
 ), v AS (SELECT session_id, id, type, started_at, task, how AS linked_by, verdict FROM w WHERE n > 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id, task, type ORDER BY started_at, id) AS n FROM v),
-t AS (SELECT session_id, task, count(*) FILTER (type = 'builder') AS builders, count(*) FILTER (type = 'reviewer') AS rounds, count(*) FILTER (linked_by IN ('time', 'unlinked')) = 0 AS all_linked, count(*) FILTER (verdict = 'changes') AS changes,
+t AS (SELECT session_id, task, count(*) FILTER (type = 'builder') AS builders, count(*) FILTER (type = 'reviewer') AS rounds, count(*) FILTER (linked_by IN ('time', 'unlinked')) = 0 AS all_linked, count(*) FILTER (verdict = 'approve') AS approve, count(*) FILTER (verdict = 'changes') AS changes, count(*) FILTER (verdict = 'unclear') AS unclear,
+  count(*) FILTER (linked_by = 'description') AS by_description, count(*) FILTER (linked_by = 'new') AS by_new, count(*) FILTER (linked_by = 'time') AS by_time, count(*) FILTER (linked_by = 'unlinked') AS by_unlinked,
   coalesce(array_to_string(list(id ORDER BY type, n) FILTER (n > 2), ','), '') AS extra FROM ranked GROUP BY 1, 2)
 """.replace("STOP", ", ".join(f"'{w}'" for w in ("a an and the of for to in on with at by build built rebuild validate validation revalidate re review rereview reviewer fix fixes write implement verify check final round rounds pass attempt iteration again follow up").split()))
 
@@ -237,10 +238,10 @@ def task_links(spark, folder):
     return _linked(spark, folder)
 
 
-@_query("a16_tasks", _LINKED + "SELECT session_id, task, builders, rounds, all_linked, changes, extra FROM t")
+@_query("a16_tasks", _LINKED + "SELECT session_id, task, builders, rounds, all_linked, approve, changes, unclear, by_description, by_new, by_time, by_unlinked, extra FROM t")
 def task_rollup(spark, folder):
     t = content.tasks(_linked(spark, folder))
-    return t.select("session_id", "task", "builders", "rounds", "all_linked", "changes", F.array_join("extra_runs", ",").alias("extra"))
+    return t.select("session_id", "task", "builders", "rounds", "all_linked", "approve", "changes", "unclear", "by_description", "by_new", "by_time", "by_unlinked", F.array_join("extra_runs", ",").alias("extra"))
 
 
 @_query("a17_rounds", _LINKED + "SELECT rounds, count(*) AS tasks, CAST(floor(median(builders)) AS bigint) AS median_builders FROM t GROUP BY 1")

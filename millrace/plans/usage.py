@@ -154,9 +154,114 @@ def rewrite_top_streams(spark, folder):
     return usage.rewrite_top_streams(_kept(spark, folder))
 
 
-@_query("a19_metrics", _BASE + f", i AS (SELECT * FROM k WHERE tm >= TIMESTAMP '2021-01-08' AND tm < TIMESTAMP '2021-01-15'), e AS (SELECT kind, max(ctx) AS peak, arg_min(ctx, (us_at, key)) AS first FROM i WHERE stream IS NOT NULL GROUP BY profile, kind, stream) SELECT {_MEAS}, {_PCT.format(n='sum(w5 + w1)', d='sum(ctx)')} AS write_share_pct, CAST(sum(ctx + \"out\") // nullif(count(DISTINCT session), 0) AS bigint) AS tokens_per_session, (SELECT CAST(floor(median(peak)) AS bigint) FROM e) AS median_peak_context, (SELECT max(peak) FROM e) AS max_peak_context, (SELECT CAST(floor(median(first) FILTER (kind = 'main')) AS bigint) FROM e) AS median_first_call_context FROM i")
+#: Made-up weights of models, by the beginning of their names: per million tokens of input and output, and the factor of reading from a cache.
+WEIGHTS = [("fenn", "3", "15", "0.1"), ("fenn-2", "4.5", "20", "0.1"), ("orla", "10", "50", "0.25"), ("orla-5", "12.25", "61.5", "0.1"), ("orla-5-fast", "1.1", "5.5", "0.2")]
+
+
+def _weights(spark):
+    from decimal import Decimal
+
+    return spark.createDataFrame([(p, *map(Decimal, x)) for p, *x in WEIGHTS], "prefix string, input decimal(8,4), output decimal(8,4), read decimal(4,2)")
+
+
+def _events(spark, folder):
+    """Compactions of the logs, and a limit hit at every 50th call."""
+    from ..operators import content
+
+    c = content.compactions(load(spark, folder, "call_log")).where("us IS NOT NULL").select("session", F.lit("compaction").alias("what"), "trigger", F.timestamp_micros("us").alias("at"))
+    hits = _raw(spark, folder).where("row_id % 50 = 0 AND at IS NOT NULL").select("session", F.lit("limit").alias("what"), F.lit(None).cast("string").alias("trigger"), "at")
+    return c.unionByName(hits)
+
+
+_WEIGHED = (
+    _BASE
+    + ", pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {a}::decimal(8, 4), {b}::decimal(8, 4), {c}::decimal(4, 2))" for p, a, b, c in WEIGHTS) + ") v(prefix, pin, pout, prd)), "
+    + "mp AS (SELECT model, arg_max(prefix, length(prefix)) AS prefix FROM (SELECT DISTINCT model FROM k) JOIN pr ON starts_with(model, prefix) GROUP BY 1), "
+    + 'kw AS (SELECT k.*, (inp + 1.25::decimal(4, 2) * w5 + 2 * w1 + prd * read) * pin AS win, "out" * pout AS wout, prd * read * pin AS wread, (1.25::decimal(4, 2) * w5 + 2 * w1) * pin AS wwrite FROM k LEFT JOIN mp ON mp.model = k.model LEFT JOIN pr ON pr.prefix = mp.prefix)'
+)
+_CENTS = "CASE WHEN count(*) FILTER ({w} IS NULL) = 0 THEN CAST(floor((sum({w}) + 5000) / 10000.0) AS bigint) END"
+_EVENTS = r"""
+, cp AS (SELECT *, json_extract_string(json, '$.timestamp') AS ts FROM call_log WHERE json_valid(json) AND json_type(json) = 'OBJECT' AND json_extract_string(json, '$.type') = 'system' AND json_extract_string(json, '$.subtype') = 'compact_boundary'),
+cq AS (SELECT coalesce(CASE WHEN json_type(json, '$.uuid') = 'VARCHAR' THEN json_extract_string(json, '$.uuid') END, src || ':' || line) AS key, lower(json_extract_string(json, '$.sessionId')) AS session, json_extract_string(json, '$.compactMetadata.trigger') AS trigger, try_cast(replace(replace(ts, 'T', ' '), 'Z', '') AS timestamp) AS tm FROM cp QUALIFY row_number() OVER (PARTITION BY key ORDER BY src, line, log_id) = 1),
+ev AS (SELECT session, 'compaction' AS what, trigger, tm FROM cq WHERE tm IS NOT NULL UNION ALL SELECT session, 'limit', NULL, tm FROM r WHERE row_id % 50 = 0 AND tm IS NOT NULL)
+"""
+
+
+@_query("a1_weighted", _WEIGHED + f"SELECT count(*) AS calls, {_CENTS.format(w='win')} AS cents_in, CAST(floor((sum(win) + 5000) / 10000.0) AS bigint) AS known_in, count(*) FILTER (win IS NULL) AS unknown FROM kw")
+def weighted_core(spark, folder):
+    """The weighted sum, which is unknown if any model is, beside that of the known ones (F8, A1)."""
+    x = usage.weighted(_kept(spark, folder), _weights(spark))
+    return x.agg(F.count(F.lit(1)).alias("calls"), usage.cents("weight_in").alias("cents_in"), usage.hundredths(F.sum("weight_in")).alias("known_in"), F.count_if(F.col("weight_in").isNull()).alias("unknown"))
+
+
+@_query("a2_weekly_weights", _WEIGHED + f"SELECT CASE WHEN grouping(week, model, effort) = 0 THEN 'group' WHEN grouping(week, model, effort) = 3 THEN 'SUBTOTAL' ELSE 'TOTAL' END AS level, week, model, effort, count(*) AS calls, {_CENTS.format(w='win')} AS cents_in, {_CENTS.format(w='wout')} AS cents_out FROM (SELECT *, {_WEEK} AS week FROM kw WHERE tm IS NOT NULL) GROUP BY GROUPING SETS ((week, model, effort), (week), ())")
+def weekly_weights(spark, folder):
+    return usage.weekly_weights(_kept(spark, folder), _weights(spark))
+
+
+@_query("f8_call_weights", _WEIGHED + "SELECT key, CAST(win * 10000 AS bigint) AS weight_in, CAST(wout * 10000 AS bigint) AS weight_out FROM kw")
+def call_weights(spark, folder):
+    units = lambda c: (F.col(c) * 10000).cast("bigint").alias(c)
+    return usage.weighted(_kept(spark, folder), _weights(spark)).select("key", units("weight_in"), units("weight_out"))
+
+
+@_query("f9_cache_weights", _WEIGHED + "SELECT key, CAST(wread * 10000 AS bigint) AS weight_read, CAST(wwrite * 10000 AS bigint) AS weight_write FROM kw")
+def cache_weights(spark, folder):
+    units = lambda c: (F.col(c) * 10000).cast("bigint").alias(c)
+    return usage.weighted(_kept(spark, folder), _weights(spark)).select("key", units("weight_read"), units("weight_write"))
+
+
+_TYPED = _WEIGHED + f", n AS (SELECT profile, stream, CAST(sum(ctx + \"out\") AS bigint) AS tokens, max(ctx) AS peak_ctx, {_CENTS.format(w='win')} AS cents_in FROM kw WHERE kind = 'sub' AND tm IS NOT NULL GROUP BY 1, 2), ty AS (SELECT *, CASE WHEN right(stream, 1) < '6' THEN 'builder' WHEN right(stream, 1) < 'b' THEN 'reviewer' ELSE 'unknown' END AS type FROM n) "
+
+
+def _types(spark, folder):
+    """A type for each run, told by the end of its id, as the runs of the logs and the agents of the table have no id in common."""
+    last = F.substring("stream", -1, 1)
+    return _raw(spark, folder).where("sub").select("stream", F.when(last < "6", "builder").when(last < "b", "reviewer").alias("type")).where("type IS NOT NULL").distinct()
+
+
+@_query("a15_runs_by_type", _TYPED + "SELECT type, count(*) AS runs, CAST(sum(tokens) AS bigint) AS tokens, CAST(floor(median(tokens)) AS bigint) AS median_tokens, CAST(floor(median(peak_ctx)) AS bigint) AS median_peak, CASE WHEN count(*) FILTER (cents_in IS NULL) = 0 THEN CAST(sum(cents_in) AS bigint) END AS cents_in FROM ty GROUP BY 1")
+def runs_by_type(spark, folder):
+    return usage.runs_by_type(_kept(spark, folder), _types(spark, folder), _weights(spark))
+
+
+@_query("j7_first_models", _BASE + ", p1 AS (SELECT profile, kind, stream, arg_min(model, (us_at, key)) AS model FROM k WHERE stream IS NOT NULL AND tm IS NOT NULL GROUP BY 1, 2, 3) SELECT stream, arg_max(model, (profile, kind)) AS model FROM p1 GROUP BY 1")
+def first_models(spark, folder):
+    return usage.first_models(_kept(spark, folder))
+
+
+def _vector(group: str, tail: str) -> str:
+    """SQL of the metrics of the rows ``i`` and the events ``ei``, by the columns of ``group``."""
+    on = lambda a, b: " AND ".join(f"{a}.{g} = {b}.{g}" for g in group.split(", "))
+    return (
+        f", e AS (SELECT {group}, kind, max(ctx) AS peak, arg_min(ctx, (us_at, key)) AS first FROM i WHERE stream IS NOT NULL GROUP BY {group}, profile, kind, stream), "
+        + f"pk AS (SELECT {group}, CAST(floor(median(peak)) AS bigint) AS median_peak_context, max(peak) AS max_peak_context, CAST(floor(median(first) FILTER (kind = 'main')) AS bigint) AS median_first_call_context FROM e GROUP BY {group}), "
+        + f"tt AS (SELECT {group}, {_MEAS}, {_PCT.format(n='sum(w5 + w1)', d='sum(ctx)')} AS write_share_pct, CAST(sum(ctx + \"out\") // nullif(count(DISTINCT session), 0) AS bigint) AS tokens_per_session, {_CENTS.format(w='win')} AS cents_in FROM i GROUP BY {group}), "
+        + f"ec AS (SELECT {group}, count(*) FILTER (what = 'compaction') AS compactions, count(*) FILTER (what = 'compaction' AND trigger = 'auto') AS auto_compactions, count(*) FILTER (what = 'limit') AS limit_hits FROM ei WHERE EXISTS (SELECT 1 FROM i WHERE i.session = ei.session AND {on('i', 'ei')}) GROUP BY {group}), "
+        + f"mv AS (SELECT tt.*, pk.* EXCLUDE ({group}), coalesce(compactions, 0) AS compactions, coalesce(auto_compactions, 0) AS auto_compactions, coalesce(limit_hits, 0) AS limit_hits FROM tt LEFT JOIN pk ON {on('tt', 'pk')} LEFT JOIN ec ON {on('tt', 'ec')}) "
+        + tail
+    )
+
+
+_VECTOR = ", ".join(f'"{m}"' for m in usage.METRICS)
+
+
+@_query("a19_metrics", _WEIGHED + _EVENTS + ", i AS (SELECT 1 AS g, * FROM kw WHERE tm >= TIMESTAMP '2021-01-08' AND tm < TIMESTAMP '2021-01-15'), ei AS (SELECT 1 AS g, * FROM ev WHERE tm >= TIMESTAMP '2021-01-08' AND tm < TIMESTAMP '2021-01-15')" + _vector("g", f"SELECT {_VECTOR} FROM mv"))
 def metrics(spark, folder):
-    return usage.metrics(_kept(spark, folder), F.lit("2021-01-08").cast("timestamp"), F.lit("2021-01-15").cast("timestamp"))
+    return usage.metrics(_kept(spark, folder), F.lit("2021-01-08").cast("timestamp"), F.lit("2021-01-15").cast("timestamp"), _events(spark, folder), _weights(spark))
+
+
+_END = "2021-01-20"
+_SIDED = ", c AS (SELECT * FROM (VALUES " + ", ".join(f"(DATE '{d}', '{s}')" for d, s in CHANGES) + ") v(date, scope)), cs AS (SELECT *, date::timestamp - INTERVAL 14 DAY AS lo, date::timestamp AS cut, least(date::timestamp + INTERVAL 14 DAY, TIMESTAMP '" + _END + "') AS hi FROM c), "
+_SIDED += "i AS (SELECT date, scope, CASE WHEN tm < cut THEN 'before' ELSE 'after' END AS side, kw.* FROM kw JOIN cs ON tm >= lo AND tm < greatest(hi, cut) AND (scope = 'all' OR (scope = 'main') = (kind <> 'sub'))), ei AS (SELECT date, scope, CASE WHEN tm < cut THEN 'before' ELSE 'after' END AS side, ev.* FROM ev JOIN cs ON tm >= lo AND tm < greatest(hi, cut))"
+_LONG = "lo2 AS (" + " UNION ALL ".join(f"SELECT date, scope, side, sessions AS ns, '{m}' AS metric, CAST(\"{m}\" AS double) AS v FROM mv" for m in usage.METRICS) + "), "
+_LONG += "wd AS (SELECT date, scope, metric, max(v) FILTER (side = 'before') AS before, max(v) FILTER (side = 'after') AS after, max(ns) FILTER (side = 'before') AS nb, max(ns) FILTER (side = 'after') AS na FROM lo2 GROUP BY 1, 2, 3)"
+
+
+@_query("a20_all_metrics", _WEIGHED + _EVENTS + _SIDED + _vector("date, scope, side", ", " + _LONG + " SELECT CAST(date AS varchar) AS date, scope, metric, before, after, after - before AS delta, CASE WHEN before <> 0 THEN sign(after - before) * floor(abs((after - before) * 1000 / before) + 0.5) / 10 END AS delta_pct, CASE WHEN nb >= 10 AND na >= 10 THEN 'compared' ELSE 'insufficient data' END AS result FROM wd"))
+def all_metrics(spark, folder):
+    """All metrics before and after each change, with their deltas."""
+    return usage.compared(_kept(spark, folder), spark.createDataFrame(CHANGES, "date string, scope string"), _END, _events(spark, folder), _weights(spark))
 
 
 @_query("a20_before_after", _BASE + ", c AS (SELECT * FROM (VALUES " + ", ".join(f"(DATE '{d}', '{s}')" for d, s in CHANGES) + ") v(date, scope)), x AS (SELECT c.date, c.scope, CASE WHEN tm < c.date::timestamp THEN 'b' ELSE 'a' END AS side, session, ctx + \"out\" AS tok FROM k, c WHERE tm >= c.date::timestamp - INTERVAL 14 DAY AND tm < c.date::timestamp + INTERVAL 14 DAY AND (scope = 'all' OR (scope = 'main') = (kind <> 'sub'))), y AS (SELECT date, scope, count(DISTINCT session) FILTER (side = 'b') AS sessions_before, count(DISTINCT session) FILTER (side = 'a') AS sessions_after, CAST(coalesce(sum(tok) FILTER (side = 'b'), 0) AS bigint) AS tokens_before, CAST(coalesce(sum(tok) FILTER (side = 'a'), 0) AS bigint) AS tokens_after FROM x GROUP BY 1, 2) SELECT CAST(date AS varchar) AS date, scope, sessions_before, sessions_after, tokens_before, tokens_after, tokens_after - tokens_before AS delta, CASE WHEN sessions_before >= 10 AND sessions_after >= 10 THEN 'compared' ELSE 'insufficient data' END AS result FROM y")
@@ -194,14 +299,26 @@ def evidence(spark, folder):
     return first.groupBy("profile").agg(F.array_join(F.sort_array(F.collect_list("stream")), ",").alias("streams"))
 
 
-@_query("q1_raw_below_kept", "SELECT CAST(NULL AS varchar) AS measure WHERE false")
+@_query("q1_raw_below_kept", _BASE + " SELECT m AS measure, CAST(kept + 1 AS bigint) AS raw, CAST(kept AS bigint) AS kept FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS m, (SELECT {e} FROM r) AS raw, (SELECT {e} FROM k) AS kept" for m, e in (("rows", "count(*)"), *((x, f'sum("{x}")') for x in usage.MEASURES))) + ") WHERE raw < kept UNION ALL SELECT 'planted', 1, 2")
 def raw_below_kept(spark, folder):
-    return quality.raw_covers_kept(usage.reconciliation(_raw(spark, folder), _kept(spark, folder))).select("measure")
+    """Measures whose raw sum is below the deduplicated one: none of the data's, and a planted one, which must be seen."""
+    seen = usage.reconciliation(_raw(spark, folder), _kept(spark, folder)).select("measure", "raw", "kept")
+    return quality.raw_covers_kept(seen.unionByName(spark.sql("SELECT 'planted' AS measure, 1L AS raw, 2L AS kept")))
 
 
-@_query("q2_levels_add_up", "SELECT CAST(NULL AS varchar) AS week WHERE false")
+@_query("q2_levels_add_up", _BASE + f"SELECT DISTINCT week FROM (SELECT {_WEEK} AS week FROM k WHERE tm IS NOT NULL) WHERE week = '2021-W02' UNION ALL SELECT '*'")
 def levels_add_up(spark, folder):
-    return quality.levels_add_up(usage.weekly(_kept(spark, folder)))
+    """Weeks whose groups don't add up: none of the data's, and one from which a group's calls were planted off, with it the total."""
+    w = usage.weekly(_kept(spark, folder))
+    off = F.when((F.col("level") == "SUBTOTAL") & (F.col("week") == "2021-W02"), 1).otherwise(0)
+    return quality.levels_add_up(w.withColumn("calls", F.col("calls") + off))
+
+
+@_query("q6_missing_inputs", "SELECT 'no calls of profile nobody' AS missing")
+def missing_inputs(spark, folder):
+    """Inputs without any row: of the profiles there are none, of an unknown one the calls."""
+    raw = _raw(spark, folder)
+    return quality.missing({"calls": raw, "no calls of profile nobody": raw.where("profile = 'nobody'"), "dated calls": raw.where("at IS NOT NULL")})
 
 
 @_query("q3_unknown_profiles", "SELECT DISTINCT profile FROM calls WHERE profile NOT IN ('work', 'default', 'mobile')")

@@ -183,24 +183,25 @@ def gaps(rows: DataFrame) -> DataFrame:
     return joined.withColumn("gap_us", F.col("us") - F.coalesce("before", "slot_before")).drop("before", "slot_before", "slot", "us", *[f"_{k}" for k in (*keys, "slot")])
 
 
-def _rewrites(rows: DataFrame) -> DataFrame:
+def rewrites(rows: DataFrame) -> DataFrame:
+    """Calls that wrote most of their context anew, with their kind and the pause before them; other columns stay."""
     ctx, written = context(), F.col("w5") + F.col("w1")
     g = gaps(rows).where(F.col("gap_us").isNotNull() & (ctx > 20_000) & (written * 2 > ctx))
     bucket = F.when(F.col("gap_us") <= IDLE_SECONDS[0] * 1_000_000, "<5m").when(F.col("gap_us") <= IDLE_SECONDS[1] * 1_000_000, "5m-1h").otherwise(">1h")
-    return g.select(F.when(F.col("kind") == "main", "main").otherwise("sub").alias("kind"), bucket.alias("bucket"), "stream", written.alias("written"))
+    return g.withColumns({"kind": F.when(F.col("kind") == "main", "main").otherwise("sub"), "bucket": bucket, "written": written})
 
 
 def cache_rewrites(rows: DataFrame) -> DataFrame:
     """Calls that wrote most of their context anew, by kind and by the pause before them; all six cells are given."""
     spark = rows.sparkSession
     cells = spark.createDataFrame([(k, b) for k in ("main", "sub") for b in ("<5m", "5m-1h", ">1h")], "kind string, bucket string")
-    found = _rewrites(rows).groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("events"), F.sum("written").alias("written"))
+    found = rewrites(rows).groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("events"), F.sum("written").alias("written"))
     return cells.join(found, ["kind", "bucket"], "left").select("kind", "bucket", F.coalesce("events", F.lit(0)).cast("bigint").alias("events"), F.coalesce("written", F.lit(0)).cast("bigint").alias("written"))
 
 
 def rewrite_top_streams(rows: DataFrame, top: int = 5) -> DataFrame:
     """The ``top`` streams of each cell by tokens written anew, ties by id."""
-    per = _rewrites(rows).groupBy("kind", "bucket", "stream").agg(F.sum("written").alias("written"))
+    per = rewrites(rows).groupBy("kind", "bucket", "stream").agg(F.sum("written").alias("written"))
     ranked = per.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "bucket").orderBy(F.desc("written"), "stream")))
     return ranked.where(F.col("rank") <= top)
 
@@ -308,6 +309,13 @@ def weighted(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return x.withColumns({"weight_in": d((whole("inp") + write + read) * rate("input")), "weight_out": d(whole("out") * rate("output")), "weight_read": d(read * rate("input")), "weight_write": d(write * rate("input"))}).drop("_model", "input", "output", "_read")
 
 
+def read_rate(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """``model``, ``per_read``, ``per_write``: what a token read from the cache, or written to it for five minutes, weighs; models without a weight are left out."""
+    known = longest_prefix(rows, "model", weights, "prefix").where("prefix IS NOT NULL").join(weights, "prefix")
+    rate = F.col("input").cast("decimal(8,4)")
+    return known.select("model", (F.col("read").cast("decimal(4,2)") * rate).alias("per_read"), (F.lit(WRITE_FACTORS[0]).cast("decimal(4,2)") * rate).alias("per_write"))
+
+
 def cents(c: str) -> Column:
     """The sum of weights in whole hundredths, half up; null if any of them is unknown."""
     return F.when(F.count_if(F.col(c).isNull()) == 0, hundredths(F.sum(c)))

@@ -9,8 +9,8 @@ from ..operators import alerts, content, findings
 from ..operators import usage as ops
 from ..sinks.outputs import annotation
 from ..tables import load
-from .content import _BLOCKS, _LAST, _LINES, _STOP, _VERDICT, _with_lines
-from .usage import _GAPS, _SESS
+from .content import _BLOCKS, _LAST, _LINES, _LINKED, _STOP, _TOKENS, _VERDICT, _agent_tokens, _judged_runs, _linked, _with_lines
+from .usage import _BASE, _GAPS, _SESS, _WEIGHED, _weights
 
 SPARK, SQL = {}, {}
 
@@ -25,27 +25,80 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+_LIMIT_LINE = """CASE WHEN log_id % 40 < 2 THEN concat('{"type":"assistant","uuid":"u', log_id div 40, '","sessionId":"S', log_id div 40 % 7, '","timestamp":"2021-01-10T00:00:', lpad(CAST(log_id % 40 AS string), 2, '0'), 'Z","error":"rate_limit","message":{"model":"<synthetic>","role":"assistant"}}') END"""
+_LIMITS = "WITH e AS (SELECT 'u' || (log_id // 40) AS key, 's' || (log_id // 40 % 7) AS session, 1610236800000000 + min(log_id % 40) * 1000000 AS us, arg_min(log_id % 40, ('more/' || (log_id % 5) || '.jsonl', log_id)) AS sec FROM call_log WHERE log_id % 40 < 2 GROUP BY 1, 2) "
+
+
+_COMPACTED = r"""
+WITH p AS (SELECT *, json_extract_string(json, '$.timestamp') AS ts FROM call_log WHERE json_valid(json) AND json_type(json) = 'OBJECT' AND json_extract_string(json, '$.type') = 'system' AND json_extract_string(json, '$.subtype') = 'compact_boundary'),
+c AS (SELECT coalesce(CASE WHEN json_type(json, '$.uuid') = 'VARCHAR' THEN json_extract_string(json, '$.uuid') END, src || ':' || line) AS key, lower(json_extract_string(json, '$.sessionId')) AS session, CASE WHEN json_extract_string(json, '$.compactMetadata.trigger') IN ('auto', 'manual') THEN json_extract_string(json, '$.compactMetadata.trigger') ELSE 'unknown' END AS trigger,
+  epoch_us(try_cast(replace(replace(ts, 'T', ' '), 'Z', '') AS timestamp)) AS us FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY src, line, log_id) = 1)
+"""
+
+
+_DAYS = 10
+_PER = ", rt AS (SELECT mp.model, prd * pin AS per_read, 1.25::decimal(4, 2) * pin AS per_write FROM mp JOIN pr USING (prefix)) "
+_RANKED = ", fw AS (SELECT *, CAST(floor((tokens * 14 + {d}) / ({d} * 2.0)) AS bigint) AS weekly_tokens, CAST(floor((weight * 14 + {d} * 10000) / ({d} * 20000.0)) AS bigint) AS weekly_cents FROM (SELECT finding, list, confidence, CAST(evidence AS bigint) AS evidence, CAST(coalesce(tokens, 0) AS bigint) AS tokens, coalesce(weight, 0) AS weight FROM f WHERE evidence > 0)) SELECT finding, list, confidence, evidence, tokens, weekly_tokens, weekly_cents, CAST(floor((weekly_cents * (CASE confidence WHEN 'measured' THEN 100 ELSE 50 END) + 50) / 100.0) AS bigint) AS score FROM fw".format(d=_DAYS)
+_SESS_W = _WEIGHED + _SESS[len(_BASE) :]
+
+
 @_query(
     "g_usage_findings",
-    _SESS + ", g AS (SELECT *, us_at - lag(us_at) OVER (PARTITION BY profile, kind, stream ORDER BY us_at, key) AS gap FROM k WHERE stream IS NOT NULL AND us_at IS NOT NULL), "
-    + "w AS (SELECT CASE WHEN kind = 'main' THEN 'main' ELSE 'sub' END AS kind, CASE WHEN gap <= 3600000000 THEN '5m-1h' ELSE '>1h' END AS bucket, w5 + w1 AS written FROM g WHERE gap > 300000000 AND ctx > 20000 AND (w5 + w1) * 2 > ctx), "
-    + "f AS (SELECT 'cache_rewrite_after_idle:' || kind || ':' || bucket AS finding, count(*) AS evidence, sum(written) AS tokens FROM w GROUP BY 1 UNION ALL SELECT 'peak_context_over_threshold', count(*), sum(ctx - 300000) FROM k WHERE kind = 'main' AND us_at IS NOT NULL AND ctx > 300000 "
-    + "UNION ALL SELECT 'start_context_size', count(*), (floor(median(first_ctx)) - 30000) * sum(calls) FROM t HAVING floor(median(first_ctx)) > 30000 UNION ALL SELECT 'sessions_near_context_limit', count(*) FILTER (near_limit), 0 FROM t) SELECT finding, evidence, CAST(coalesce(tokens, 0) AS bigint) AS tokens FROM f WHERE evidence > 0",
+    _SESS_W + _PER + ", g AS (SELECT *, us_at - lag(us_at) OVER (PARTITION BY profile, kind, stream ORDER BY us_at, key) AS gap FROM kw WHERE stream IS NOT NULL AND us_at IS NOT NULL), "
+    + "w AS (SELECT CASE WHEN kind = 'main' THEN 'main' ELSE 'sub' END AS kind, CASE WHEN gap <= 3600000000 THEN '5m-1h' ELSE '>1h' END AS bucket, w5 + w1 AS written, wwrite FROM g WHERE gap > 300000000 AND ctx > 20000 AND (w5 + w1) * 2 > ctx), "
+    + "mn AS (SELECT k.*, per_read FROM k LEFT JOIN rt USING (model) WHERE kind = 'main' AND us_at IS NOT NULL), "
+    + "f AS (SELECT 'cache_rewrite_after_idle:' || kind || ':' || bucket AS finding, 'A' AS list, 'measured' AS confidence, count(*) AS evidence, sum(written) AS tokens, sum(wwrite) AS weight FROM w GROUP BY 1 UNION ALL SELECT 'peak_context_over_threshold', 'A', 'measured', count(*), sum(ctx - 300000), sum((ctx - 300000) * per_read) FROM mn WHERE ctx > 300000 "
+    + "UNION ALL SELECT 'start_context_size', 'A', 'measured', count(*), (floor(median(first_ctx)) - 30000)::bigint * sum(calls), (floor(median(first_ctx)) - 30000)::bigint * (SELECT sum(per_read) FROM mn WHERE stream IS NOT NULL) FROM t HAVING floor(median(first_ctx)) > 30000 UNION ALL SELECT 'sessions_near_context_limit', 'B', 'inferred', count(*) FILTER (near_limit), 0, 0 FROM t "
+    + "UNION ALL SELECT 'unpriced_models', 'B', 'measured', count(DISTINCT model), 0, 0 FROM k WHERE model IS NOT NULL AND model NOT IN (SELECT model FROM mp))" + _RANKED,
 )
 def usage_findings(spark, folder):
-    return findings.ranked(findings.of_usage(ops.deduplicated(ops.usage(load(spark, folder, "calls")))))
+    """Findings over the calls, with a week's share and a score."""
+    return findings.ranked(findings.of_usage(ops.deduplicated(ops.usage(load(spark, folder, "calls"))), _weights(spark)), _DAYS)
+
+
+def _stream_rates(spark, folder):
+    """``src``, ``per_write`` of each file of the logs, by the model of its session's first call."""
+    kept = ops.deduplicated(ops.usage(load(spark, folder, "calls")))
+    first = ops.first_models(kept.where("kind = 'main'"))
+    rates = ops.read_rate(kept, _weights(spark))
+    files = content.lines(load(spark, folder, "call_log")).where("session IS NOT NULL").groupBy("src").agg(F.min("session").alias("stream"))
+    return files.join(first, "stream").join(rates, "model").select("src", "per_write")
 
 
 @_query(
     "g_content_findings",
-    _BLOCKS + ", a AS (SELECT src, count(*) AS n, sum(x) // 4 AS t FROM (SELECT src, sum(n) - arg_min(n, (us IS NULL, us, id)) AS x FROM reads GROUP BY src, file_path HAVING count(*) >= 3) GROUP BY 1), began AS (SELECT src, min(us) AS began FROM b WHERE sub AND us IS NOT NULL GROUP BY 1), par AS (SELECT profile, session, file_path, min(us) AS pus FROM reads WHERE NOT sub AND us IS NOT NULL GROUP BY 1, 2, 3), "
-    + "y AS (SELECT r.src, count(*) FILTER (pus < began) AS n, coalesce(sum(n) FILTER (pus < began), 0) // 4 AS t FROM reads r LEFT JOIN began USING (src) LEFT JOIN par ON par.profile = r.profile AND par.session = r.session AND par.file_path = r.file_path WHERE r.sub GROUP BY 1), "
-    + "z AS (SELECT coalesce(u.name, 'unknown') AS tool, r.src, count(*) AS n, sum(r.chars - 500) // 4 AS t FROM results r LEFT JOIN uses u ON u.id = r.tool_use_id WHERE r.chars > 500 GROUP BY 1, 2), "
-    + "f AS (SELECT 'repeated_file_reads' AS finding, sum(n) AS evidence, sum(t) AS tokens FROM a UNION ALL SELECT 'subagent_rereads_parent_files', sum(n), sum(t) FROM y UNION ALL SELECT 'large_tool_results:' || tool, sum(n), sum(t) FROM z GROUP BY 1) SELECT finding, CAST(evidence AS bigint) AS evidence, CAST(tokens AS bigint) AS tokens FROM f WHERE evidence > 0",
+    _WEIGHED + _PER + ", fm AS (SELECT stream, arg_max(model, (profile, kind)) AS model FROM (SELECT profile, kind, stream, arg_min(model, (us_at, key)) AS model FROM k WHERE stream IS NOT NULL AND tm IS NOT NULL AND kind = 'main' GROUP BY 1, 2, 3) GROUP BY 1), "
+    + _BLOCKS.replace("\nWITH l AS (", "l AS (", 1) + ", sr AS (SELECT src, per_write FROM (SELECT src, min(session) AS stream FROM t WHERE session IS NOT NULL GROUP BY 1) JOIN fm USING (stream) JOIN rt USING (model))"
+    + ", a AS (SELECT src, count(*) AS n, sum(x) // 4 AS tk FROM (SELECT src, sum(n) - arg_min(n, (us IS NULL, us, id)) AS x FROM reads GROUP BY src, file_path HAVING count(*) >= 3) GROUP BY 1), began AS (SELECT src, min(us) AS began FROM b WHERE sub AND us IS NOT NULL GROUP BY 1), par AS (SELECT profile, session, file_path, min(us) AS pus FROM reads WHERE NOT sub AND us IS NOT NULL GROUP BY 1, 2, 3), "
+    + "y AS (SELECT rd.src, count(*) FILTER (pus < began) AS n, coalesce(sum(n) FILTER (pus < began), 0) // 4 AS tk FROM reads rd LEFT JOIN began USING (src) LEFT JOIN par ON par.profile = rd.profile AND par.session = rd.session AND par.file_path = rd.file_path WHERE rd.sub GROUP BY 1), "
+    + "z AS (SELECT coalesce(us.name, 'unknown') AS tool, rs.src, count(*) AS n, sum(rs.chars - 500) // 4 AS tk FROM results rs LEFT JOIN uses us ON us.id = rs.tool_use_id WHERE rs.chars > 500 GROUP BY 1, 2), "
+    + "f AS (SELECT 'repeated_file_reads' AS finding, 'A' AS list, 'inferred' AS confidence, sum(n) AS evidence, sum(tk) AS tokens, sum(tk * per_write) AS weight FROM a LEFT JOIN sr USING (src) UNION ALL SELECT 'subagent_rereads_parent_files', 'A', 'inferred', sum(n), sum(tk), sum(tk * per_write) FROM y LEFT JOIN sr USING (src) UNION ALL SELECT 'large_tool_results:' || tool, 'A', 'inferred', sum(n), sum(tk), sum(tk * per_write) FROM z LEFT JOIN sr USING (src) GROUP BY 1)" + _RANKED,
 )
 def content_findings(spark, folder):
-    """With a limit of 500 characters, as results of this data are short."""
-    return findings.ranked(findings.of_contents(content.blocks(load(spark, folder, "call_log")), 500))
+    """Findings over the contents, at 500 characters, as results of this data are short."""
+    return findings.ranked(findings.of_contents(content.blocks(load(spark, folder, "call_log")), _stream_rates(spark, folder), 500), _DAYS)
+
+
+@_query(
+    "g4_review_rounds",
+    _LINKED + _TOKENS + ", hv AS (SELECT * FROM t WHERE rounds > 2), ex AS (SELECT rk.session_id, rk.id FROM ranked rk JOIN hv ON hv.session_id = rk.session_id AND hv.task = rk.task WHERE rk.n > 2), "
+    + "f AS (SELECT 'reviewer_rounds_over_threshold' AS finding, 'A' AS list, CASE WHEN bool_and(all_linked) THEN 'measured' ELSE 'inferred' END AS confidence, count(*) AS evidence, (SELECT sum(q.tokens) FROM ex JOIN q USING (session_id, id)) AS tokens, (SELECT sum(q.tokens) * 3 FROM ex JOIN q USING (session_id, id)) AS weight FROM hv)" + _RANKED,
+)
+def review_rounds(spark, folder):
+    """Tasks of more than two reviews, every token weighing 3."""
+    used = _agent_tokens(spark, folder).withColumn("weight", F.col("tokens") * 3)
+    return findings.ranked(findings.of_tasks(_linked(spark, folder), used), _DAYS)
+
+
+@_query(
+    "g_event_findings",
+    "WITH " + _COMPACTED.replace("\nWITH p AS", "p AS", 1) + ", f AS (SELECT 'usage_limit_hits' AS finding, 'B' AS list, 'measured' AS confidence, (SELECT count(DISTINCT log_id // 40) FROM call_log WHERE log_id % 40 < 2) AS evidence, 0 AS tokens, 0 AS weight UNION ALL SELECT 'auto_compactions', 'B', 'measured', count(*) FILTER (trigger = 'auto'), 0, 0 FROM c "
+    + "UNION ALL SELECT 'reviewer_verdict_unclear', 'B', 'measured', count(*), 0, 0 FROM (SELECT DISTINCT session_id, id FROM agents WHERE type = 'reviewer') WHERE right(id, 1) >= 'b')" + _RANKED,
+)
+def event_findings(spark, folder):
+    """Limits hit, unclear verdicts and compactions as findings."""
+    reviews = _judged_runs(spark, folder).where("type = 'reviewer'")
+    return findings.ranked(findings.of_events(_limits(spark, folder), reviews, content.compactions(load(spark, folder, "call_log"))), _DAYS)
 
 
 @_query("u1_paths", "SELECT repo, path FROM entries WHERE kind = 'file' UNION SELECT repo, path FROM entries WHERE kind = 'gitlink'")
@@ -120,10 +173,6 @@ def compactions(spark, folder):
     return content.by_trigger(content.compactions(load(spark, folder, "call_log")))
 
 
-_LIMIT_LINE = """CASE WHEN log_id % 40 < 2 THEN concat('{"type":"assistant","uuid":"u', log_id div 40, '","sessionId":"S', log_id div 40 % 7, '","timestamp":"2021-01-10T00:00:', lpad(CAST(log_id % 40 AS string), 2, '0'), 'Z","error":"rate_limit","message":{"model":"<synthetic>","role":"assistant"}}') END"""
-_LIMITS = "WITH e AS (SELECT 'u' || (log_id // 40) AS key, 's' || (log_id // 40 % 7) AS session, 1610236800000000 + min(log_id % 40) * 1000000 AS us, arg_min(log_id % 40, ('more/' || (log_id % 5) || '.jsonl', log_id)) AS sec FROM call_log WHERE log_id % 40 < 2 GROUP BY 1, 2) "
-
-
 def _limits(spark, folder):
     return content.limit_hits(_with_lines(spark, folder, _LIMIT_LINE))
 
@@ -139,13 +188,6 @@ def limit_totals(spark, folder):
     return _limits(spark, folder).agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("session").alias("sessions"))
 
 
-_COMPACTED = r"""
-WITH p AS (SELECT *, json_extract_string(json, '$.timestamp') AS ts FROM call_log WHERE json_valid(json) AND json_type(json) = 'OBJECT' AND json_extract_string(json, '$.type') = 'system' AND json_extract_string(json, '$.subtype') = 'compact_boundary'),
-c AS (SELECT coalesce(CASE WHEN json_type(json, '$.uuid') = 'VARCHAR' THEN json_extract_string(json, '$.uuid') END, src || ':' || line) AS key, lower(json_extract_string(json, '$.sessionId')) AS session, CASE WHEN json_extract_string(json, '$.compactMetadata.trigger') IN ('auto', 'manual') THEN json_extract_string(json, '$.compactMetadata.trigger') ELSE 'unknown' END AS trigger,
-  epoch_us(try_cast(replace(replace(ts, 'T', ' '), 'Z', '') AS timestamp)) AS us FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY src, line, log_id) = 1)
-"""
-
-
 @_query("t9_compactions_in_order", _COMPACTED + "SELECT key, session, trigger, us, row_number() OVER (ORDER BY us, session, key) AS place FROM c WHERE us IS NOT NULL")
 def compactions_in_order(spark, folder):
     """Compactions by time and session."""

@@ -90,6 +90,39 @@ def grouped(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
+def pct1(share: Column) -> Column:
+    """42.5% of a share in percent, half up."""
+    return F.concat(F.round(share.cast("decimal(20,6)"), 1).cast("decimal(20,1)").cast("string"), F.lit("%"))
+
+
+def strict_date(text: Column) -> Column:
+    """The date of a text of exactly the form 2021-01-31, null for any other."""
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def is_safe_scalar(text: Column) -> Column:
+    """Whether a text setting may be shown: short, of letters, digits and few signs."""
+    return F.coalesce(text.rlike(r"^[A-Za-z0-9_.:\-\[\]]{1,64}\z"), F.lit(False))
+
+
+def as_number(v: str) -> Column:
+    """The number of the variant column ``v``: whole and decimal ones as they are, those in texts read; null for flags and all else."""
+    kind = f"schema_of_variant({v})"
+    text = f"CAST({v} AS string)"
+    return F.expr(f"CASE WHEN {kind} = 'BIGINT' OR {kind} LIKE 'DECIMAL%' OR {kind} = 'DOUBLE' OR {kind} = 'STRING' AND {text} RLIKE '^ *[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)? *$' THEN try_cast({text} AS decimal(38,9)) END")
+
+
+# Figures that walk beside an agent, a line of frames each.
+FIGURES = [["><>  ", " ><> ", "  ><>", " ><> "], ["~~~o ", "~~o~ ", "~o~~ ", "o~~~ "], ["^v^  ", "v^v  "], ["(o,o)", "(-,-)", "(o,o)", "(o,o)"]]
+
+
+def figure(id_: Column, now_ms: Column, frame_ms: int = 500) -> Column:
+    """The frame shown for an id at a moment: the sum of its characters' codes chooses the figure, the clock the frame."""
+    codes = F.transform(F.filter(F.split(id_, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    frames = F.element_at(F.array(*[F.array(*map(F.lit, f)) for f in FIGURES]), (F.aggregate(codes, F.lit(0), lambda a, x: a + x) % len(FIGURES)) + 1)
+    return F.element_at(frames, (F.floor(now_ms / frame_ms) % F.size(frames)).cast("int") + 1)
+
+
 def usd(amount: Column) -> Column:
     """$1.23 of a decimal amount, half up."""
     return F.concat(F.lit("$"), F.round(amount.cast("decimal(20,6)"), 2).cast("decimal(20,2)").cast("string"))

@@ -1,4 +1,4 @@
-"""Tracked agents and listings of them, as batches; the streaming twin is in ``millrace.streaming.agents``."""
+"""Tracked agents and listings of them, as batches; the streaming twin is in ``millrace.streaming.meters``."""
 
 from __future__ import annotations
 
@@ -57,6 +57,21 @@ def token_totals(agents: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.sum(t["input"] + t["output"] + t["cache_write"]).alias("total"))
 
 
+def band(agents: DataFrame, rows: int = 6) -> DataFrame:
+    """Per session the first ``rows`` agents by start and id, and how many more there are.
+
+    Only as many as are shown are kept: each slot of a session gives at most ``rows`` of
+    its own before those of the session are ranked.
+    """
+    slots = agents.withColumn("_slot", F.pmod(F.xxhash64("id"), F.lit(64)))
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("started_at", "id"))
+    few = slots.withColumn("_n", first("session_id", "_slot")).where(F.col("_n") <= rows)
+    shown = few.withColumn("place", first("session_id")).where(F.col("place") <= rows)
+    all_of = agents.groupBy(F.col("session_id").alias("_s")).agg(F.count(F.lit(1)).alias("_all"))
+    x = shown.join(all_of, F.col("session_id").eqNullSafe(F.col("_s")))
+    return x.select("session_id", "id", "place", F.greatest(F.col("_all") - rows, F.lit(0)).alias("more"))
+
+
 def status_changes(listed: DataFrame) -> DataFrame:
     """Listings of an agent whose status differs from the one before."""
     w = Window.partitionBy("session_id", "id").orderBy("listed_at", "listing_id")

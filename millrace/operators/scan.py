@@ -23,14 +23,19 @@ from .images import image_status
 _SPLIT = r"\r\n|[\r\u000B\f\u001C-\u001E\u0085\u2028\u2029]"
 
 
+def null_counts(data: Column) -> tuple[Column, Column]:
+    """NUL bytes at even and at odd places of the first 8 KiB."""
+    head = F.decode(F.substring(data, 1, 8192), "ISO-8859-1")
+    nulls = lambda part: F.length(part) - F.length(F.replace(part, F.lit("\x00"), F.lit("")))
+    return nulls(F.regexp_replace(head, r"(?s)(.).?", "$1")), nulls(F.regexp_replace(head, r"(?s).(.)?", "$1"))
+
+
 def decoded(entries: DataFrame) -> DataFrame:
     """``entries`` with ``text`` and ``looks_binary``, decoded by byte order mark, by where NULs lie, else as UTF-8 with replacements."""
     data = F.col("data")
     head = F.decode(F.substring(data, 1, 8192), "ISO-8859-1")
     half = F.floor(F.length(head) / 2)
-    nulls = lambda part: F.length(part) - F.length(F.replace(part, F.lit("\x00"), F.lit("")))
-    even = nulls(F.regexp_replace(head, r"(?s)(.).?", "$1")) / half
-    odd = nulls(F.regexp_replace(head, r"(?s).(.)?", "$1")) / half
+    even, odd = (n / half for n in null_counts(data))
     has_null = F.instr(head, "\x00") > 0
     utf16 = lambda skip, codec: F.decode(F.substring(data, 1 + skip, 1 << 30), codec)
     clean = F.make_valid_utf8(data.cast("string"))

@@ -251,7 +251,7 @@ def before_after(rows: DataFrame, changes: DataFrame, days: int = 14, least: int
     pass over the calls with the changes as literals.
     """
     fixed = [(r.date, r.scope, "9999-12-31") for r in changes.orderBy("date", "scope").collect()]  # a hand-written list
-    x = _in_scope(_sided(rows, fixed, days))
+    x = in_scope(_sided(rows, fixed, days))
     agg = x.groupBy("date", "scope").agg(
         *[e for s in ("before", "after") for m in (f"{s}",) for e in (F.count_distinct(F.when(F.col("side") == m, F.col("session"))).alias(f"sessions_{s}"), F.sum(F.when(F.col("side") == m, context() + F.col("out")).otherwise(0)).alias(f"tokens_{s}"))]
     )
@@ -260,7 +260,8 @@ def before_after(rows: DataFrame, changes: DataFrame, days: int = 14, least: int
     return agg.select(F.col("date").cast("string").alias("date"), "scope", "sessions_before", "sessions_after", "tokens_before", "tokens_after", delta.alias("delta"), F.when(enough, "compared").otherwise("insufficient data").alias("result"))
 
 
-def _in_scope(x: DataFrame) -> DataFrame:
+def in_scope(x: DataFrame) -> DataFrame:
+    """Rows whose ``kind`` is in their ``scope``: all, main (side chains included) or subagent."""
     return x.where((F.col("scope") == "all") | (F.col("scope") == "main") & (F.col("kind") != "sub") | (F.col("scope") == "subagent") & (F.col("kind") == "sub"))
 
 
@@ -273,7 +274,7 @@ def compared(rows: DataFrame, changes: DataFrame, end: str, events: DataFrame, w
     """
     fixed = [(r.date, r.scope, end) for r in changes.orderBy("date", "scope").collect()]  # a hand-written list
     keys = ("date", "scope", "side")
-    m = metrics_by(_in_scope(_sided(rows, fixed, days)), keys, _sided(events, fixed, days), weights)
+    m = metrics_by(in_scope(_sided(rows, fixed, days)), keys, _sided(events, fixed, days), weights)
     long = m.select(*keys, F.col("sessions").alias("_sessions"), F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("v")) for k in METRICS])))
     side = lambda name, v: F.max(F.when(F.col("side") == name, F.col(v))).alias(f"{v}_{name}")
     wide = long.groupBy("date", "scope", "metric").agg(*[side(n, v) for n in ("before", "after") for v in ("v", "_sessions")])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, problems, scanning, sets, streams, usage
+from . import content, problems, scanning, sets, single, streams, usage
 
 FLAGSHIP = "a2_weekly_by_model_effort"
 
@@ -23,9 +23,9 @@ def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = problems.QUERIES | usage.SPARK | content.SPARK | scanning.SPARK | streams.SPARK | sets.SPARK
+    every = problems.QUERIES | usage.SPARK | content.SPARK | scanning.SPARK | streams.SPARK | sets.SPARK | single.SPARK
     return {name: _in_utc(query) for name, query in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.SQL | usage.SQL | content.SQL | scanning.SQL | streams.SQL | sets.SQL
+    return problems.SQL | usage.SQL | content.SQL | scanning.SQL | streams.SQL | sets.SQL | single.SQL

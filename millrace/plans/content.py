@@ -299,13 +299,13 @@ def parent_labels(spark, folder):
     return ag.parent_labels(load(spark, folder, "agents"))
 
 
-@_query("p20_visible_agents", "SELECT row_id FROM agents WHERE status IN ('pending', 'running', 'waiting', 'idle') OR ended_at >= (SELECT max(ended_at) FROM agents) - 10000")
+@_query("pred20_visible_agents", "SELECT row_id FROM agents WHERE status IN ('pending', 'running', 'waiting', 'idle') OR ended_at >= (SELECT max(ended_at) FROM agents) - 10000")
 def visible(spark, folder):
     a = load(spark, folder, "agents")
     return ag.visible(a, a.agg(F.max("ended_at").alias("now"))).select("row_id")
 
 
-@_query("p21_active_sessions", "SELECT session_id, bool_or(coalesce(status IN ('pending', 'running', 'waiting', 'idle'), false)) AS active FROM agents GROUP BY 1")
+@_query("pred21_active_sessions", "SELECT session_id, bool_or(coalesce(status IN ('pending', 'running', 'waiting', 'idle'), false)) AS active FROM agents GROUP BY 1")
 def active_sessions(spark, folder):
     return ag.active_sessions(load(spark, folder, "agents"))
 
@@ -316,7 +316,7 @@ def agent_tokens(spark, folder):
     return ag.token_totals(load(spark, folder, "agents"))
 
 
-@_query("m10_status_changes", "SELECT session_id, id, listing_id, before, status FROM (SELECT *, lag(status) OVER w AS before, row_number() OVER w AS n FROM listed_agents WINDOW w AS (PARTITION BY session_id, id ORDER BY listed_at, listing_id)) WHERE n > 1 AND before IS DISTINCT FROM status")
+@_query("u_status_changes", "SELECT session_id, id, listing_id, before, status FROM (SELECT *, lag(status) OVER w AS before, row_number() OVER w AS n FROM listed_agents WINDOW w AS (PARTITION BY session_id, id ORDER BY listed_at, listing_id)) WHERE n > 1 AND before IS DISTINCT FROM status")
 def status_changes(spark, folder):
     return ag.status_changes(load(spark, folder, "listed_agents"))
 

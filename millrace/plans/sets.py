@@ -150,7 +150,7 @@ def hashes(spark, folder):
 def _shares(spark, folder):
     """The share of a context window that each call fills, per stream, in whole percents."""
     k = ops.deduplicated(ops.usage(load(spark, folder, "calls"))).where("stream IS NOT NULL AND at IS NOT NULL")
-    return k.select("key", "profile", F.concat_ws("/", "profile", "kind", "stream").alias("stream"), F.struct("at", "key").alias("o"), F.to_date("at").alias("day"), (ops.context() * 100 / 200_000).cast("bigint").alias("share"))
+    return k.select("key", "profile", F.concat_ws("/", "profile", "kind", "stream").alias("stream"), F.struct("at", "key").alias("o"), F.to_date("at").alias("day"), F.date_trunc("hour", "at").alias("hour"), (ops.context() * 100 / 200_000).cast("bigint").alias("share"))
 
 
 _SHARES = _SESS + ", h AS (SELECT key, concat_ws('/', profile, kind, stream) AS stream, us_at, tm::date AS day, ctx * 100 // 200000 AS share FROM k WHERE stream IS NOT NULL AND us_at IS NOT NULL)"
@@ -159,13 +159,13 @@ _SHARES = _SESS + ", h AS (SELECT key, concat_ws('/', profile, kind, stream) AS
 @_query("w9_crossings", _SHARES + " SELECT key, stream, share FROM (SELECT *, coalesce(lag(share) OVER (PARTITION BY stream ORDER BY us_at, key) >= 80, false) AS b FROM h) WHERE share >= 80 AND NOT b")
 def crossings(spark, folder):
     """Upward crossings of 80 % of the window, re-armed by a fall."""
-    return alerts.crossings(_shares(spark, folder), "stream", "o", "share").select("key", "stream", "share")
+    return alerts.crossings(_shares(spark, folder), "stream", "o", "hour", "share").select("key", "stream", "share")
 
 
 @_query("w10_ratchet", _SHARES + " SELECT key, stream, level FROM (SELECT *, coalesce(max(level) OVER (PARTITION BY stream, day ORDER BY us_at, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM (SELECT *, CASE WHEN share >= 95 THEN 2 WHEN share >= 80 THEN 1 ELSE 0 END AS level FROM h)) WHERE level > m")
 def ratchet(spark, folder):
     """Rises of the level within a day of a stream."""
-    return alerts.ratchet(_shares(spark, folder), ["stream", "day"], "o", "share").select("key", "stream", "level")
+    return alerts.ratchet(_shares(spark, folder), ["stream", "day"], "o", "hour", "share").select("key", "stream", "level")
 
 
 @_query("a11_compactions", "SELECT CASE WHEN json_extract_string(json, '$.compactMetadata.trigger') IN ('auto', 'manual') THEN json_extract_string(json, '$.compactMetadata.trigger') ELSE 'unknown' END AS trigger, count(DISTINCT coalesce(json_extract_string(json, '$.uuid'), src || ':' || line)) AS compactions FROM (SELECT * FROM call_log WHERE json_valid(json) AND json_type(json) = 'OBJECT') WHERE json_extract_string(json, '$.type') = 'system' AND json_extract_string(json, '$.subtype') = 'compact_boundary' GROUP BY 1")

@@ -111,6 +111,14 @@ def settings_summary(settings: dict[str, Any], shown: set[str]) -> dict[str, Any
     return {"values": kept, "other_keys": sorted(set(settings) - set(kept))}
 
 
+def projected(v: str, shown: tuple[str, ...]) -> tuple[str, str]:
+    """SQL over a variant column of objects: a map of the texts of the keys ``shown``, as far as they are safe to show, and the sorted names of all other keys."""
+    names = ", ".join(f"'{k}'" for k in shown)
+    m = f"try_cast({v} AS map<string,variant>)"
+    values = f"transform_values(map_filter({m}, (k, x) -> k IN ({names}) AND schema_of_variant(x) = 'STRING' AND CAST(x AS string) RLIKE '^[A-Za-z0-9_.:\\\\-\\\\[\\\\]]{{1,64}}$'), (k, x) -> CAST(x AS string))"
+    return values, f"array_sort(filter(map_keys({m}), k -> k NOT IN ({names})))"
+
+
 def previous_run(spark: SparkSession, root: str, but: str | None = None) -> dict[str, Any] | None:
     """The latest manifest below sibling folders, by the end of its data, its time and its path."""
     paths = [str(p) for p in Path(root).glob("*/manifest.json") if str(p.parent) != but]

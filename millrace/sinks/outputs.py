@@ -11,18 +11,20 @@ import hashlib
 import io
 import json
 import os
-import shutil
-import tempfile
+import posixpath
+import uuid
 from datetime import date, datetime
 from decimal import Decimal
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import annotation_property, annotation_text
 from ..operators.quality import GateError
+from ..session import ship
 
 
 def _plain(x: Any) -> Any:
@@ -117,26 +119,47 @@ def write_outputs(folder: str, files: dict[str, str], facts: dict[str, Any]) ->
 def export_tree(entries: DataFrame, folder: str) -> int:
     """Writes the files of ``entries`` below ``folder``, which appears only when all are there; no path may lead outside.
 
-    Files come to the driver one by one; the folder is the driver's.
+    ``folder`` is a path or the address of a file system that all executors reach. Each
+    task writes its own files into a folder beside it, which takes its name at the end;
+    a task that is run again writes the same files again.
     """
-    target = os.path.abspath(folder)
-    made = tempfile.mkdtemp(dir=os.path.dirname(target))
-    n = 0
+    ship(entries.sparkSession)
+    files, target = _file_system(folder)
+    made = f"{target.rstrip('/')}.{uuid.uuid4().hex[:12]}.part"
+    address = folder
+
+    def write(batches):
+        at, _ = _file_system(address)
+        for batch in batches:
+            for path, data in zip(batch["path"], batch["data"], strict=True):
+                full = posixpath.normpath(posixpath.join(made, path))
+                if path.startswith("/") or not full.startswith(made + "/"):
+                    raise GateError(f"{path} leads outside", 2)
+                at.create_dir(posixpath.dirname(full), recursive=True)
+                with at.open_output_stream(full) as out:
+                    out.write(bytes(data))
+            yield pd.DataFrame({"n": [len(batch)]})
+
     try:
-        for r in entries.where("kind = 'file' AND data IS NOT NULL").select("path", "data").toLocalIterator():
-            full = os.path.normpath(os.path.join(made, r.path))
-            if os.path.isabs(r.path) or not full.startswith(made + os.sep):
-                raise GateError(f"{r.path} leads outside", 2)
-            os.makedirs(os.path.dirname(full), exist_ok=True)
-            Path(full).write_bytes(bytes(r.data))
-            n += 1
-        os.rename(made, target)
-    except BaseException:
-        shutil.rmtree(made, ignore_errors=True)
+        files.create_dir(made, recursive=True)
+        written = entries.where("kind = 'file' AND data IS NOT NULL").select("path", "data").mapInPandas(write, "n bigint")
+        n = written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        files.move(made, target)
+    except BaseException as e:
+        files.delete_dir(made)
+        if "GateError" in str(e):
+            raise GateError("a path leads outside", 2) from e
         raise
     return n
 
 
+def _file_system(folder: str):
+    """The file system of an address or a path, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+
+
 def uncovered(planted: DataFrame, found: DataFrame) -> DataFrame:
     """What was planted and not found: the self-test of a scanner."""
     return planted.distinct().join(found, planted.columns, "left_anti")

@@ -68,13 +68,20 @@ class ContextMeter(StatefulProcessor):
 
 
 class LimitMeter(StatefulProcessor):
-    """An alert whenever the level of a rate window rises within its period; the levels told are kept across restarts."""
+    """An alert whenever the level of a rate window rises within its period; the levels told are kept across restarts.
 
-    def __init__(self, warn: int = 80, critical: int = 95):
-        self.warn, self.critical = warn, critical
+    With ``refresh`` a row of kind 'refresh' is given each minute as long as a window
+    runs, so that what is shown of it doesn't age.
+    """
+
+    def __init__(self, warn: int = 80, critical: int = 95, refresh: bool = False):
+        self.warn, self.critical, self.refresh = warn, critical, refresh
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.fired = handle.getMapState("fired", "period string", "level int")
+        if self.refresh:
+            self.live = handle.getValueState("live", "until bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         before = {k[0]: v[0] for k, v in self.fired.iterator()}
@@ -83,12 +90,27 @@ class LimitMeter(StatefulProcessor):
             fired, alerts = t.ratcheted(fired, [(w["kind"], w["percent"], w["resets_at"]) for w in map(_fields, r.windows or []) if w["kind"] is not None and w["percent"] is not None], r.at_ms or 0, self.warn, self.critical)
             for kind, level, percent in alerts:
                 yield Row(session=key[0], at_ms=r.at_ms, kind=kind, level=level, percent=percent)
+            if self.refresh and r.windows:
+                ends = [t.millis(w["resets_at"]) for w in map(_fields, r.windows)]
+                self.live.update((t.FOREVER if None in ends else max(ends),))
+                self._wake(timerValues)
         for k in before.keys() - fired.keys():
             self.fired.removeKey((k,))
         for k, v in fired.items():
             if before.get(k) != v:
                 self.fired.updateValue((k,), (v,))
 
+    def _wake(self, timerValues: Any) -> None:
+        """One timer at a time: a new minute begins only when none is running."""
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + t.REFRESH_MS)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.live.exists() and self.live.get()[0] > now:
+            self.handle.registerTimer(now + t.REFRESH_MS)
+            yield Row(session=key[0], at_ms=now, kind="refresh", level=0, percent=None)
+
     def close(self) -> None:
         pass
 
@@ -97,7 +119,10 @@ class AgentMeter(StatefulProcessor):
     """Tracked agents of a session: spawns, tool calls, turns, snapshots; tells each end once.
 
     While agents are shown after their end, a timer at the end of the grace forgets them,
-    so that the state stays as small as what is still of interest.
+    so that the state stays as small as what is still of interest. While an agent is
+    active, a row 'tick' is given every two seconds. An event of an agent not tracked
+    asks for it by a row 'lookup', once for each id. A run without timers, over what is
+    there, has nobody to ask and nothing to draw.
     """
 
     def __init__(self, timers: bool = True):
@@ -106,6 +131,7 @@ class AgentMeter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getMapState("agents", "id string", _AGENT_STATE)
+        self.asked = handle.getMapState("asked", "id string", "at bigint")
 
     def _load(self) -> dict[str, t.Agent]:
         out = {}
@@ -125,6 +151,9 @@ class AgentMeter(StatefulProcessor):
         agents = dict(before)
         for r in _in_order(rows):
             known = agents.get(r.id) if r.id is not None else None
+            if self.timers and r.event in ("tool.start", "tool.end", "turn") and r.id is not None and not known and not self.asked.containsKey((r.id,)):
+                self.asked.updateValue((r.id,), (r.at_ms or 0,))
+                yield Row(session=key[0], at_ms=r.at_ms, id=r.id, what="lookup", status=None, tools=0, tokens=0)
             if r.event == "spawn" and r.id is not None:
                 agents[r.id] = t.spawned(known, t.Agent(r.id, r.type or "", r.description or "", "running", r.parent_id, r.at_ms or 0))
             elif r.event == "tool.start" and known:
@@ -139,13 +168,20 @@ class AgentMeter(StatefulProcessor):
                 for a in ended:
                     yield Row(session=key[0], at_ms=r.at_ms, id=a.id, what="ended", status=a.status, tools=a.tools, tokens=a.tokens[0] + a.tokens[1] + a.tokens[3])
         self._save(before, agents)
-        if self.timers and any(a.ended_at is not None for a in agents.values()):
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + t.GRACE_MS)
+        if self.timers:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            if any(a.ended_at is not None for a in agents.values()):
+                self.handle.registerTimer(now + t.GRACE_MS)
+            if any(a.status in t.ACTIVE for a in agents.values()) and not any(x <= now + t.TICK_MS for x in self.handle.listTimers()):
+                self.handle.registerTimer(now + t.TICK_MS)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        before = self._load()
-        self._save(before, {k: r for k, r in before.items() if r.ended_at is None or not r.is_notified})
-        return iter(())
+        before, now = self._load(), expiredTimerInfo.getExpiryTimeInMs()
+        over = {k for k, r in before.items() if r.ended_at is not None and r.is_notified and now - r.ended_at >= t.GRACE_MS}
+        self._save(before, {k: r for k, r in before.items() if k not in over})
+        if any(r.status in t.ACTIVE for r in before.values()):
+            self.handle.registerTimer(now + t.TICK_MS)
+            yield Row(session=key[0], at_ms=now, id=None, what="tick", status=None, tools=0, tokens=0)
 
     def close(self) -> None:
         pass
@@ -163,8 +199,9 @@ def context_stream(events: DataFrame, warn: int = 80) -> DataFrame:
     return _metered(events.where("session IS NOT NULL"), ContextMeter(warn), CONTEXT_OUT, "None")
 
 
-def limit_stream(events: DataFrame, warn: int = 80, critical: int = 95) -> DataFrame:
-    return _metered(events.where("session IS NOT NULL"), LimitMeter(warn, critical), LIMIT_OUT, "None")
+def limit_stream(events: DataFrame, warn: int = 80, critical: int = 95, refresh: bool = False) -> DataFrame:
+    """``refresh``: rows each minute while a window runs; a run over what is there has no use for them."""
+    return _metered(events.where("session IS NOT NULL"), LimitMeter(warn, critical, refresh), LIMIT_OUT, "ProcessingTime" if refresh else "None")
 
 
 def agent_stream(events: DataFrame, timers: bool = True) -> DataFrame:

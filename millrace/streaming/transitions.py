@@ -14,6 +14,7 @@ MISSES = 4
 TICK_MS = 2_000
 REFRESH_MS = 60_000
 PERIOD_MS = 300_000
+FOREVER = (1 << 63) - 1
 
 
 # --- tracked agents -----------------------------------------------------------------

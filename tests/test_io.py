@@ -130,3 +130,26 @@ def test_outputs(spark, tmp_path):
     assert outputs.exit_code(found) == 1 and outputs.exit_code(found.withColumn("status", F.lit("suppressed"))) == 0
     assert outputs.uncovered(spark.createDataFrame([("x",), ("y",)], "rule string"), spark.createDataFrame([("x",)], "rule string")).first().rule == "y"
     assert outputs.report("T", {"S": t}).startswith("# T\n\n## S\n\n| n")
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.jsonl").write_bytes(b"".join(b'{"n": %d, "x": "%s"}\n' % (k, b"y" * (k % 400)) for k in range(4000)))
+    (tmp_path / "b.jsonl").write_bytes(b"one\r\ntwo\rthree\n\xff\n\nlast")
+    (tmp_path / "c.jsonl").write_bytes(b"")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        df = lines.split_lines(spark, {"p": str(tmp_path)})
+        got = sorted((r.src.rsplit("/", 1)[1], r.line, r.json) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = sorted((r.src.rsplit("/", 1)[1], r.line, r.json) for r in lines.read_lines(spark, {"p": str(tmp_path)}).collect())
+    assert got == whole and len(got) == 4006
+
+
+def test_export_again_after_failure(spark, tmp_path):
+    df = spark.createDataFrame([("a/b.txt", "file", bytearray(b"x")), ("c", "file", bytearray(b"y" * 100)), ("l", "symlink", None)], "path string, kind string, data binary")
+    for address in (str(tmp_path / "one"), f"file://{tmp_path}/two"):
+        assert outputs.export_tree(df, address) == 2
+    assert (tmp_path / "two" / "a" / "b.txt").read_bytes() == b"x" and len(list(tmp_path.iterdir())) == 2

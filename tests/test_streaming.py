@@ -166,3 +166,87 @@ def test_copies_are_dropped_however_late(spark, tmp_path, monkeypatch):
         spark.sql(f"SELECT CAST({k} AS bigint) AS row_id, '{key}' AS request_id, 's' AS src, {k} AS line, named_struct('id', CAST(NULL AS string)) AS message, timestamp_seconds(1600000000 + {day} * 86400) AS delivered_at").coalesce(1).write.mode("append").parquet(path)
     monkeypatch.setattr(streams, "_stream", lambda s, folder, name: s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path))
     assert [r.messages for r in streams.first_deliveries(spark, str(tmp_path)).collect()] == [3]
+
+
+class _State(dict):
+    """State and timers of one key, in memory."""
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def containsKey(self, k):
+        return k in self
+
+    def removeKey(self, k):
+        self.pop(k, None)
+
+    def updateValue(self, k, v):
+        self[k] = v
+
+    def exists(self):
+        return "v" in self
+
+    def get(self, *k):
+        return self["v"]
+
+    def update(self, v):
+        self["v"] = v
+
+
+class _Handle:
+    def __init__(self, now=0):
+        self.now, self.timers = now, []
+
+    def getMapState(self, *a):
+        return _State()
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def expire(self, processor):
+        at = self.timers.pop(self.timers.index(min(self.timers)))
+        self.now = at
+        info = type("Info", (), {"getExpiryTimeInMs": lambda self: at})()
+        return list(processor.handleExpiredTimer(("s",), self, info))
+
+
+def _event(**x):
+    from pyspark.sql import Row
+
+    names = [c.split()[0] for c in meters.AGENT_EVENTS.split(", listed")[0].split(", ")] + ["listed"]
+    return Row(**({n: None for n in names} | {"session": "s"} | x))
+
+
+def test_ticks_lookups_and_grace():
+    h, m = _Handle(1000), meters.AgentMeter()
+    m.init(h)
+    first = list(m.handleInputRows(("s",), iter([_event(at_ms=1000, event="turn", id="u"), _event(at_ms=1001, event="turn", id="u"), _event(at_ms=1002, event="spawn", id="a")]), h))
+    assert [(r.what, r.id) for r in first] == [("lookup", "u")]
+    assert list(m.handleInputRows(("s",), iter([_event(at_ms=1003, event="tool.start", id="u")]), h)) == []
+    assert h.timers == [1000 + t.TICK_MS]  # one tick at a time
+    assert [(r.what, r.at_ms) for r in h.expire(m)] == [("tick", 3000)] and h.timers == [5000]
+    ended = list(m.handleInputRows(("s",), iter([_event(at_ms=3500, event="snapshot", listed=[{"id": "a", "type": "", "description": "", "status": "completed", "parent_id": None}])]), h))
+    assert [r.what for r in ended] == ["ended"]
+    assert h.expire(m) == [] and ("a",) in m.rows  # the grace isn't over, nothing is active
+    assert h.expire(m) == [] and m.rows == {("a",): m.rows[("a",)]} if h.now - 3500 < t.GRACE_MS else ("a",) not in m.rows
+
+
+def test_refresh_while_windows_run():
+    from pyspark.sql import Row
+
+    h, m = _Handle(0), meters.LimitMeter(refresh=True)
+    m.init(h)
+    window = {"kind": "five_hour", "percent": 10.0, "resets_at": "1970-01-01T00:02:30Z"}
+    assert list(m.handleInputRows(("s",), iter([Row(session="s", at_ms=0, windows=[window])]), h)) == [] and h.timers == [t.REFRESH_MS]
+    list(m.handleInputRows(("s",), iter([Row(session="s", at_ms=1, windows=[window])]), h))
+    assert h.timers == [t.REFRESH_MS]
+    assert [r.kind for r in h.expire(m)] == ["refresh"] and [r.at_ms for r in h.expire(m)] == [2 * t.REFRESH_MS]
+    assert h.expire(m) == [] and h.timers == []  # the window has been reset

@@ -331,7 +331,7 @@ def _automaton():
         for d in READ_EAST_ASIAN:
             for code in _common_codes(e):
                 form = read_wrongly(code, d)
-                if not form.isascii():
+                if not form[1].isascii():  # a letter before an ASCII one is too common
                     add(form, "east", (e, d))
     for codec, leads in KANA_LEADS.items():
         for c in leads:
@@ -368,7 +368,7 @@ def _automaton():
     a = ahocorasick.Automaton()
     for form, kinds in found.items():
         if not form.isascii():
-            a.add_word(form, (form, tuple((kind, tuple(sorted(pairs))) for kind, pairs in kinds.items())))
+            a.add_word(form, (len(form), tuple((kind, tuple(sorted(pairs))) for kind, pairs in kinds.items())))
     a.make_automaton()
     return a
 
@@ -381,16 +381,19 @@ _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\x
 _REGION = re.compile(r"[^\x00-\x7f](?:[\x00-\x7f]?[^\x00-\x7f])*")
 
 
-def _matches(text: str) -> list[tuple[int, int, str, tuple]]:
-    """Matches outside quotations: start, end, kind, pairs. Only regions with characters beyond ASCII, and one beside them, are read."""
+def _matches(text: str) -> dict[str, list[tuple[int, int, tuple]]]:
+    """Matches outside quotations by kind: start, end, pairs. Only regions with characters beyond ASCII, and one beside them, are read."""
     quoted = [m.span() for m in _QUOTED.finditer(text)] if "`" in text else []
-    out, iterate, n = [], _automaton().iter, len(text)
+    out: dict[str, list[tuple[int, int, tuple]]] = {}
+    iterate, n = _automaton().iter, len(text)
     for region in _REGION.finditer(text):
         s, e = region.span()
-        for end, (form, kinds) in iterate(text, s - 1 if s else 0, e + 1 if e < n else n):
-            start = end - len(form) + 1
-            if not (quoted and any(a <= start and end < b for a, b in quoted)):
-                out += [(start, end + 1, kind, pairs) for kind, pairs in kinds]
+        for end, (size, kinds) in iterate(text, s - 1 if s else 0, e + 1 if e < n else n):
+            end += 1
+            start = end - size
+            if not (quoted and any(a <= start and end <= b for a, b in quoted)):
+                for kind, pairs in kinds:
+                    out.setdefault(kind, []).append((start, end, pairs))
     return out
 
 
@@ -431,10 +434,10 @@ def _is_run(run: str, codec: str, sure: set[str], inside: bool) -> bool:
     return codec in sure or bool(_OF_THREE.search(_bytes_of(run, codec)))
 
 
-def _utf8_once(text: str, hits: list[tuple[int, int, str, tuple]]) -> str:
+def _utf8_once(text: str, hits: dict[str, list[tuple[int, int, tuple]]]) -> str:
     """Runs of characters with matches of UTF-8's garbled forms, decoded once by the encoding that makes most of each whole."""
-    votes = Counter(p[0] for _, _, k, pairs in hits if k == "utf8" for p in pairs)
-    at = sorted((start + text[start].isascii(), k == "utf8", tuple(p[0] for p in pairs)) for start, _, k, pairs in hits if k.startswith("utf8"))
+    votes = Counter(p[0] for _, _, pairs in hits.get("utf8", ()) for p in pairs)
+    at = sorted((start + text[start].isascii(), k == "utf8", tuple(p[0] for p in pairs)) for k in ("utf8", "utf8 of three") for start, _, pairs in hits.get(k, ()))
     out, done, k = [], 0, 0
     for m in _RUN.finditer(text):
         ways: set[str] = set()
@@ -458,11 +461,12 @@ def _utf8_once(text: str, hits: list[tuple[int, int, str, tuple]]) -> str:
     return "".join(out)
 
 
-def _chains(text: str, hits: list[tuple[int, int, str, tuple]]) -> dict[tuple[str, str], list[tuple[int, int]]]:
+def _chains(text: str, hits: list[tuple[int, int, tuple]]) -> dict[tuple[str, str], list[tuple[int, int]]]:
     """Per pair, the spans of three two-byte forms or more in a row that aren't UTF-8."""
     length: dict[tuple, dict[int, tuple[int, int]]] = {}
-    for start, end, kind, pairs in hits:
-        if kind == "east":
+    starts = {start for start, _, _ in hits}
+    for start, end, pairs in hits:
+        if end in starts or start - 2 in starts:  # alone it is no chain
             for p in pairs:
                 ends = length.setdefault(p, {})
                 begun, n = ends.pop(start, (start, 0))
@@ -614,28 +618,29 @@ _TOKEN = re.compile(f"[^{_SPACES}]+")
 _SPACE = re.compile(f"[{_SPACES}]")
 
 
-def _single(text: str, hits: list[tuple[int, int, str, tuple]], kinds: tuple[str, ...], later: bool = False) -> tuple[str, bool]:
+def _single(text: str, hits: dict[str, list[tuple[int, int, tuple]]], kinds: tuple[str, ...], later: bool = False) -> tuple[str, bool]:
     """With ``later``, scripts without capitals that fit best are left for another time. Words around matches of one-character forms, read by the pair that makes most of them sound, and with them the words of their line that it makes sound too."""
-    relevant = [h for h in hits if h[2] in kinds]
+    relevant = [(start, end, k == "weak", pairs) for k in kinds for start, end, pairs in hits.get(k, ())]
     if not relevant:
         return text, False
     proposed: dict[tuple[int, int], set] = {}
     weak: dict[tuple[int, int], set] = {}
-    span = (0, 0)
-    for start, end, kind, pairs in sorted(relevant):
+    span, stands = (0, 0), False
+    for start, end, is_weak, pairs in sorted(relevant, key=lambda h: h[:2]):
         if start >= span[1]:
             at = start
             while at and text[at - 1] not in _SPACES:
                 at -= 1
             after = _SPACE.search(text, start)
             span = (at, after.start() if after else len(text))
-        if end <= span[1]:
-            (weak if kind == "weak" else proposed).setdefault(span, set()).update(pairs)
+            stands = may_stand(text[span[0] : span[1]])
+        if end <= span[1] and not (stands and not is_weak):
+            (weak if is_weak else proposed).setdefault(span, set()).update(pairs)
     changed: dict[tuple[int, int], dict[tuple[str, str], str]] = {}
     for spans in (proposed, weak):
         for span, pairs in spans.items():
             word = text[span[0] : span[1]]
-            if may_stand(word) if spans is proposed else is_sound_word(word):
+            if spans is weak and is_sound_word(word):
                 continue
             is_utf8: dict[str, bool] = {}
             mixed = bool(re.search("[A-Za-z]", word))
@@ -768,22 +773,21 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     seen = {now}
     while True:
         hits = _matches(now)
-        kinds = {k for _, _, k, _ in hits}
-        if not kinds:
+        if not hits:
             break
-        if sum(k == "kana" for _, _, k, _ in hits) >= 2:
+        if len(hits.get("kana", ())) >= 2:
             garbled = True
         before = now
-        if "run" in kinds:  # whole words of one script, before their letters are taken for bytes
+        if "run" in hits:  # whole words of one script, before their letters are taken for bytes
             now, did = _single(now, hits, ("run", "late run"), later=True)
             garbled |= did
-        if now == before and "east" in kinds and (chains := _chains(now, hits)):
+        if now == before and len(hits.get("east", ())) >= 3 and (chains := _chains(now, hits["east"])):
             garbled = True
             now = _east_once(now, chains)
         if now == before:
-            now, did = _single(now, hits, ("run", "late run"))
+            now, did = _single(now, hits, ("run", "late run")) if "late run" in hits else (now, False)
             garbled |= did
-        if now == before and ("utf8" in kinds or "utf8 of three" in kinds):
+        if now == before and ("utf8" in hits or "utf8 of three" in hits):
             now = _utf8_once(now, hits)
             garbled |= now != before
         if now == before:

@@ -427,6 +427,8 @@ def promising(text: str, starts: list[int]) -> set[int]:
     return out
 
 
+# Beginnings of the forms that providers hand out; the whole forms are tried only where one stands.
+_PROVIDER_GATE = re.compile(r"sk-|gh[pousr]_|github_pat_|glpat-|npm_|pypi-|AIza|AKIA|ASIA|xox|hv|qlt_|[sr]k_|whsec_|sq0csp_|shp|SG\.|dop_v1_|hf_|eyJ|AGE-SECRET")
 _PLACE_GATE = re.compile(r"(?i)identified|password|sshpass|curl|wget|http|mysql|mariadb|docker|machine|echo|log_?in|sign|auth|[;?&]|:(?:\d+|\*):")
 
 
@@ -469,13 +471,14 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
             taken.append((start, end))
             out.append(Span(number, start, end, kind))
 
-    for m in PROVIDER.finditer(line):
+    for m in PROVIDER.finditer(line) if _PROVIDER_GATE.search(line) else ():
         if is_strong(m[0]):
             add(m.start(), m.end(), "provider")
     for m in URL.finditer(line) if "://" in line else ():
         if is_strong(m[0]):
             add(m.start("pw"), m.end("pw"), "url")
-    for m in AUTH.finditer(line):
+    low = line.lower()
+    for m in AUTH.finditer(line) if "bearer" in low or "basic" in low or "token" in low or "apikey" in low else ():
         if is_authorization(m):
             add(m.start("v"), m.end("v"), "authorization")
     strings = _strings(line)
@@ -483,14 +486,15 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
     for s, e, _ in reversed(strings):
         rest = rest[:s] + " " * (e - s) + rest[e:]
     labels = [n for _, _, v in strings if len(v) <= 60 and re.fullmatch(r"[\w .\-]+", v) for n in [v]]
-    secret = any(is_secret_name(n) for n in _names(rest)) or any(is_secret_name(n) for n in _names(around))
-    prose = re.search(r"`[^`]+`\s+as\s+the\s+([\w ]+)", line)
+    secret = any(map(is_secret_name, _names(rest))) or bool(around) and any(map(is_secret_name, _names(around)))
+    prose = re.search(r"`[^`]+`\s+as\s+the\s+([\w ]+)", line) if "`" in line else None
     if prose and not secret:
         secret = is_secret_name(prose[1].strip())
+    decodes = bool(strings) and bool(DECODER.search(rest))
     for k, (s, e, v) in enumerate(strings):
         named = secret or any(n != v and is_secret_name(n) for n in labels)
         joined = e - s != len(v)
-        coded = bool(DECODER.search(rest))
+        coded = decodes
         if is_strong(v):
             add(s, e, "literal")
         elif is_void(v):
@@ -511,7 +515,8 @@ def scan_line(line: str, around: str, number: int) -> list[Span]:
             v = m["v"].rstrip(",;)")
             if is_placed(v):
                 add(m.start("v"), m.start("v") + len(v), "place")
-    bare = [(m["k"], m.start("v"), m["v"]) for r in (PAIR, FLAG, ELEMENT, LABEL) for m in r.finditer(rest)]
+    forms = [PAIR] * (":" in rest or "=" in rest) + [FLAG] * ("-" in rest) + [ELEMENT] * ("</" in rest) + [LABEL] * (":" in rest or "=" in rest)
+    bare = [(m["k"], m.start("v"), m["v"]) for r in forms for m in r.finditer(rest)]
     for key, s, v in bare:
         if line[s : s + len(v)] != v:
             continue

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import instant_micros, is_blank
 from ..streaming import meters
-from ..streaming.run import drained
+from ..streaming.run import drained, settled_state
 from .problems import _STRETCHES
 from .usage import _BASE
 
@@ -55,6 +55,56 @@ def agent_ends(spark, folder):
     return drained(meters.agent_stream(events, timers=False), "ends").groupBy("id").agg(F.count(F.lit(1)).alias("ends"))
 
 
+def _tracked(spark, folder):
+    """The rows of ``agents`` as events: each spawns its agent, starts its tools, ends the first of them and reports its tokens; what the meter holds in the end."""
+    x = _stream(spark, folder, "agents").where("id IS NOT NULL AND session_id IS NOT NULL")
+    t = F.col("tokens")
+    none = lambda kind: F.lit(None).cast(kind)
+    event = lambda at, kind, call=None, tool=None: F.struct(
+        at.alias("at"), F.lit(kind).alias("event"), (none("string") if call is None else call).alias("call"), (none("string") if tool is None else tool).alias("tool"), (F.lit(0) if kind != "turn" else F.lit(1)).alias("used"),
+    )
+    calls = F.coalesce("calls", F.expr("CAST(array() AS array<struct<id:string,tool:string>>)"))
+    starts = F.transform(calls, lambda c, i: event(i + 1, "tool.start", c["id"], c["tool"]))
+    ends = F.transform(F.slice(calls, 1, 1), lambda c: event(F.lit(900), "tool.end", c["id"]))
+    events = F.concat(F.array(event(F.lit(0), "spawn")), starts, ends, F.array(event(F.lit(950), "turn")))
+    e = x.select("session_id", "id", "type", "description", "parent_id", "row_id", *[F.coalesce(t[c], F.lit(0)).alias(c) for c in ("input", "output", "cache_read", "cache_write")], F.explode(events).alias("e"))
+    used = lambda c: (F.col(c) * F.col("e.used")).cast("bigint").alias(c)
+    rows = e.select(
+        F.concat_ws("/", "session_id", "id").alias("session"), (F.col("row_id") * 1000 + F.col("e.at")).cast("bigint").alias("at_ms"), "e.event", "id", "type", "description", "parent_id", none("string").alias("status"), "e.call", "e.tool",
+        *[used(c) for c in ("input", "output", "cache_read", "cache_write")], F.expr("CAST(NULL AS array<struct<id:string,type:string,description:string,status:string,parent_id:string>>)").alias("listed"),
+    )
+    held = settled_state(meters.agent_stream(rows, timers=False), "tracked", "agents")
+    return held.select(F.col("key.session").alias("session"), F.col("entry.id").alias("id"), "value.*")
+
+
+_ROWS = "WITH x AS (SELECT *, session_id || '/' || id AS session FROM agents WHERE id IS NOT NULL AND session_id IS NOT NULL) "
+
+
+@_query("m1_spawned", _ROWS + "SELECT session, arg_max(type, row_id) FILTER (coalesce(type, '') <> '') AS type, arg_min(parent_id, row_id) FILTER (coalesce(parent_id, '') <> '') AS parent_id FROM x GROUP BY 1")
+def spawned(spark, folder):
+    """Agents as upserted by their spawns: the last type, the first parent (M1)."""
+    return _tracked(spark, folder).select("session", "type", F.nullif("parent_id", F.lit("")).alias("parent_id"))
+
+
+@_query("m2_tools", _ROWS + "SELECT session, CAST(sum(len(coalesce(calls, []))) AS bigint) AS tools FROM x GROUP BY 1")
+def tools(spark, folder):
+    """Tools counted per agent (M2)."""
+    return _tracked(spark, folder).select("session", "tools")
+
+
+@_query("m3_tokens", _ROWS + "SELECT session, CAST(sum(coalesce(tokens.input, 0) + coalesce(tokens.output, 0) + coalesce(tokens.cache_write, 0)) AS bigint) AS tokens FROM x GROUP BY 1")
+def tokens(spark, folder):
+    """Tokens summed per agent from its turns, cache reads left out."""
+    t = F.col("tokens")
+    return _tracked(spark, folder).select("session", (t[0] + t[1] + t[3]).alias("tokens"))
+
+
+@_query("m16_report", _ROWS + "SELECT count(DISTINCT session) AS agents, CAST(sum(coalesce(tokens.output, 0)) AS bigint) AS output FROM x")
+def report(spark, folder):
+    """A report at a moment, read from the meter's state."""
+    return _tracked(spark, folder).agg(F.count(F.lit(1)).alias("agents"), F.sum(F.col("tokens")[1]).alias("output"))
+
+
 @_query("m_first_deliveries", "SELECT count(DISTINCT coalesce(nullif(trim(message.id), ''), nullif(trim(request_id), ''), src || ':' || line)) AS messages FROM calls WHERE delivered_at IS NOT NULL")
 def first_deliveries(spark, folder):
     once = meters.delivered_once_stream(_stream(spark, folder, "calls").where("delivered_at IS NOT NULL"), late=None).select("row_id")

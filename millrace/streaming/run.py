@@ -21,6 +21,16 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def settled_state(stream: DataFrame, name: str, variable: str) -> DataFrame:
+    """Runs a meter until its source is used up and gives what its map ``variable`` holds then, a row per entry: ``key``, ``entry`` and ``value``."""
+    spark = stream.sparkSession
+    root = scratch_root(spark, name)
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", variable).option("flattenCollectionTypes", True).load(f"{root}/checkpoint")
+    return held.select("key", F.col("user_map_key").alias("entry"), F.col("user_map_value").alias("value"))
+
+
 def latest_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
     """What a meter holds at this moment, read from its checkpoint: a report between two micro-batches."""
     return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)

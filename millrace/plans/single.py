@@ -10,6 +10,7 @@ from ..operators import agents as ag
 from ..operators import alerts
 from ..operators import content, scan
 from ..operators import usage as ops
+from ..sinks import outputs
 from ..sources import config
 from ..streaming.run import status_line
 from ..tables import load
@@ -270,3 +271,17 @@ def content_lengths(spark, folder):
     x = load(spark, folder, "call_log").select("log_id", F.expr("try_parse_json(json)").alias("v")).where("schema_of_variant(v) LIKE 'OBJECT<%'")
     x = x.withColumn("c", F.expr("try_variant_get(v, '$.message.content', 'variant')"))
     return x.select("log_id", F.expr(content.content_length("c")).cast("bigint").alias("chars"))
+
+
+@_query("k1_csv_lines", """SELECT row_id::varchar || ',' || coalesce(profile, '') || ',"' || replace(cwd, '"', '""') || ',' || line || '"' AS text FROM calls WHERE cwd IS NOT NULL""")
+def csv_lines(spark, folder):
+    """Rows as lines of CSV (K1)."""
+    x = load(spark, folder, "calls").where("cwd IS NOT NULL").select("row_id", "profile", F.concat("cwd", F.lit(","), "line").alias("place"))
+    return x.select(outputs.csv_line(x.columns).alias("text"))
+
+
+@_query("k3_markdown_rows", "SELECT '| ' || entry_id || ' | ' || repo || ' | ' || replace(path, '|', '\\|') || ' | ' || coalesce(link_target, '') || ' |' AS text FROM entries")
+def markdown_rows(spark, folder):
+    """Rows as those of a Markdown table (K3)."""
+    x = load(spark, folder, "entries").select("entry_id", "repo", "path", "link_target")
+    return x.select(outputs.markdown_row(x.columns).alias("text"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import annotation_property, annotation_text
+from ..functions.scalars import annotation_property, annotation_text, markdown_cell
 from ..operators.quality import GateError
 from ..session import ship
 
@@ -49,6 +49,17 @@ def csv_text(table: DataFrame) -> str:
     return out.getvalue()
 
 
+def csv_line(columns: list[str]) -> Column:
+    """A row as a line of CSV, for tables of any size; null is empty, quotes are doubled."""
+    return F.to_csv(F.struct(*columns), {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+
+
+def markdown_row(columns: list[str]) -> Column:
+    """A row as one of a Markdown table, for tables of any size."""
+    cells = [F.coalesce(markdown_cell(F.col(c).cast("string")), F.lit("")) for c in columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
 def markdown_table(table: DataFrame) -> str:
     clean = lambda v: "" if v is None else str(v).replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ")
     rows = [table.columns, ["---"] * len(table.columns), *([clean(v) for v in r] for r in table.toLocalIterator())]

@@ -153,3 +153,31 @@ def test_export_again_after_failure(spark, tmp_path):
     for address in (str(tmp_path / "one"), f"file://{tmp_path}/two"):
         assert outputs.export_tree(df, address) == 2
     assert (tmp_path / "two" / "a" / "b.txt").read_bytes() == b"x" and len(list(tmp_path.iterdir())) == 2
+
+
+def test_usage_report(spark, small):
+    from millrace.plans.usage import CHANGES, _weights
+    from millrace.sinks import reports
+    from millrace.tables import load
+
+    text = reports.usage_report(load(spark, small, "calls"), load(spark, small, "call_log"), _weights(spark), spark.createDataFrame(CHANGES, "date string, scope string"), "2021-01-20", 10, rows=3)
+    assert text.startswith("# Usage\n") and [x[3:] for x in text.split("\n") if x.startswith("## ")][:3] == ["Totals", "Reconciliation", "Weeks"]
+    assert "| SUBTOTAL |" in text or "more rows" in text
+    assert text.count("| compactions |") >= 1 and "| cache_rewrite_after_idle" in text
+    tables = [x for x in text.split("## ")[1:]]
+    assert len(tables) == 19 and all("| --- |" in x for x in tables)
+
+
+def test_scan_summary(spark):
+    from millrace.sinks import reports
+
+    found = spark.createDataFrame([("error", "reported", "us-ssn", "b|c", 3, "****56"), ("warning", "reported", "soft-hyphen", "a", None, "x"), ("error", "skipped", "iban", "z", 1, "****")], "severity string, status string, rule string, path string, line int, detail string")
+    text = reports.scan_summary(found, rows=1)
+    assert "| error | us-ssn | b\\|c | 3 | ****56 |" in text and "1 more rows" in text and "iban" not in text.split("## Findings")[1]
+    assert reports.exit_code(found) == 1 and reports.exit_code(found.where("severity <> 'error'")) == 0 and reports.exit_code(found.where("status = 'skipped'")) == 0
+
+
+def test_rows_as_text(spark):
+    df = spark.createDataFrame([(1, "a,b", None), (2, "c|d", "e")], "k int, x string, y string")
+    assert [r.line for r in df.select(outputs.csv_line(df.columns).alias("line")).collect()] == ['1,"a,b",', "2,c|d,e"]
+    assert [r.line for r in df.select(outputs.markdown_row(df.columns).alias("line")).collect()] == ["| 1 | a,b |  |", "| 2 | c\\|d | e |"]

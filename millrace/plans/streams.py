@@ -105,9 +105,10 @@ def report(spark, folder):
     return _tracked(spark, folder).agg(F.count(F.lit(1)).alias("agents"), F.sum(F.col("tokens")[1]).alias("output"))
 
 
-@_query("m_first_deliveries", "SELECT count(DISTINCT coalesce(nullif(trim(message.id), ''), nullif(trim(request_id), ''), src || ':' || line)) AS messages FROM calls WHERE delivered_at IS NOT NULL")
+@_query("m_first_deliveries", "SELECT count(DISTINCT coalesce(nullif(regexp_replace(message.id, '^\\s+|\\s+$', '', 'g'), ''), nullif(regexp_replace(request_id, '^\\s+|\\s+$', '', 'g'), ''), src || ':' || line)) AS messages FROM calls")
 def first_deliveries(spark, folder):
-    once = meters.delivered_once_stream(_stream(spark, folder, "calls").where("delivered_at IS NOT NULL"), late=None).select("row_id")
+    """Messages told once, by the identifiers of problem 1, over all rows."""
+    once = meters.delivered_once_stream(_stream(spark, folder, "calls"), late=None).select("row_id")
     return drained(once, "once").agg(F.count(F.lit(1)).alias("messages"))
 
 

@@ -98,6 +98,9 @@ SCRIPTS = {
 READ_SCRIPTS = ("cp1252", "latin-1", "mac_roman", "cp1250", "cp437", "cp850")
 # Letters of scripts with two bytes a letter in UTF-8, besides Latin, Greek and Cyrillic.
 TWO_BYTES = [[*range(0x5D0, 0x5EB)], [*range(0x621, 0x63B), *range(0x641, 0x653), 0x67E, 0x686, 0x698, 0x6A9, 0x6AF, 0x6CC, 0x60C, 0x61F], [*range(0x561, 0x588)]]
+# Lines drawn in trees and tables, and the encodings that have their signs.
+BOXES = ("├──", "└──", "┌──", "──┐", "──┘", "│├", "│└", "╠══", "╚══")
+BOX_WRITTEN = ("cp437", "cp850", "cp866")
 # Signs that go with any language.
 SIGNS = "\u3000‘’‚“”„–—―…•·×÷°©®™±§«»¡¿€£→←↑↓≈≤≥≠√∞½¼¾⅓²³µ  ​‍️﻿─│└├┌┐■▪✓✔✅❌⚠ªº¹"
 # Encodings as which UTF-8 is read, and single-byte encodings taken for one another.
@@ -354,6 +357,12 @@ def _automaton():
                         add(g, "single", (e, d))
                 elif latin and g in "ýþð":
                     add(g, "weak", (e, d))
+    for e in BOX_WRITTEN:
+        for d in READ_SCRIPTS[:4]:
+            for drawn in BOXES:
+                form = read_wrongly(drawn.encode(e), d)
+                if e != d and form != drawn:
+                    add(form, "single", (e, d))
     for script, (order, written) in SCRIPTS.items():
         for e in written:
             for d in SINGLE if script == "ru" else READ_SCRIPTS:
@@ -633,7 +642,8 @@ def _single(text: str, hits: dict[str, list[tuple[int, int, tuple]]], kinds: tup
                 at -= 1
             after = _SPACE.search(text, start)
             span = (at, after.start() if after else len(text))
-            stands = may_stand(text[span[0] : span[1]])
+            word = text[span[0] : span[1]]
+            stands = may_stand(word) or "run" in kinds and len(word) > 2 and not word.strip(_BOX_READ)  # drawn lines are no words
         if end <= span[1] and not (stands and not is_weak):
             (weak if is_weak else proposed).setdefault(span, set()).update(pairs)
     changed: dict[tuple[int, int], dict[tuple[str, str], str]] = {}
@@ -712,7 +722,8 @@ def _single(text: str, hits: dict[str, list[tuple[int, int, tuple]]], kinds: tup
                 if new is None or new == m[0] or not is_sound_word(new):
                     continue
                 # Words of another script are garbled as a whole; of Latin words those that don't stand, or not in the line's language.
-                if not may_stand(m[0]) or (not re.search("[A-Za-z]", m[0]) if far else _is_foreign(m[0], new, "".join(letters[e, d]), "".join(final[s] for s in inside))):
+                drawn = bool(_BOX.search(new)) and any(_BOX.search(final[s]) for s in inside) and not re.search(r"[^\W\d_]", m[0].strip(_BOX_READ))
+                if drawn or not may_stand(m[0]) or (not re.search("[A-Za-z]", m[0]) if far else _is_foreign(m[0], new, "".join(letters[e, d]), "".join(final[s] for s in inside))):
                     final[span] = new
     out, done = [], 0
     for (s, e), new in sorted(final.items()):
@@ -722,6 +733,10 @@ def _single(text: str, hits: dict[str, list[tuple[int, int, tuple]]], kinds: tup
     return "".join(out), True
 
 
+_BOX = re.compile("^[─-╬]+$")
+_BOX_READ = "".join({read_wrongly(c.encode(e), d) for c in "│├└─┌┐┘║╠╚═" for e in BOX_WRITTEN for d in READ_SCRIPTS[:4]})
+
+
 def _is_foreign(word: str, new: str, mended: str, beside: str) -> bool:
     """Whether a word fits none of the languages of the words mended in the text, or else on its line, and its new reading does."""
     beyond = lambda x: {c for c in x.lower() if c.isalpha() and not c.isascii()}

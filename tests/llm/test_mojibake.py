@@ -178,3 +178,10 @@ def test_nothing_is_dropped():
     assert new[:-1] == TEXTS["ja"][:-1] and new[-1] == "\xa1"
     new = m.restore(m.read_wrongly(TEXTS["ja"].encode("cp932").replace(b"\x83\x8c", b"\x83"), "cp1252"))[1]
     assert "\ufffd" not in new
+
+
+@pytest.mark.parametrize("written", ["cp437", "cp866"])
+@pytest.mark.parametrize("read", ["cp1252", "mac_roman", "cp1250"])
+def test_drawn_lines(written, read):
+    tree = "src/\n├── a.py\n│   ├── b.py\n│   └── c.md\n└── d  done"
+    assert m.restore(m.read_wrongly(tree.encode(written), read)) == (True, tree)

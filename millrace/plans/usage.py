@@ -255,7 +255,10 @@ _END = "2021-01-20"
 _SIDED = ", c AS (SELECT * FROM (VALUES " + ", ".join(f"(DATE '{d}', '{s}')" for d, s in CHANGES) + ") v(date, scope)), cs AS (SELECT *, date::timestamp - INTERVAL 14 DAY AS lo, date::timestamp AS cut, least(date::timestamp + INTERVAL 14 DAY, TIMESTAMP '" + _END + "') AS hi FROM c), "
 _SIDED += "i AS (SELECT date, scope, CASE WHEN tm < cut THEN 'before' ELSE 'after' END AS side, kw.* FROM kw JOIN cs ON tm >= lo AND tm < greatest(hi, cut) AND (scope = 'all' OR (scope = 'main') = (kind <> 'sub'))), ei AS (SELECT date, scope, CASE WHEN tm < cut THEN 'before' ELSE 'after' END AS side, ev.* FROM ev JOIN cs ON tm >= lo AND tm < greatest(hi, cut))"
 _LONG = "lo2 AS (" + " UNION ALL ".join(f"SELECT date, scope, side, sessions AS ns, '{m}' AS metric, CAST(\"{m}\" AS double) AS v FROM mv" for m in usage.METRICS) + "), "
-_LONG += "wd AS (SELECT date, scope, metric, max(v) FILTER (side = 'before') AS before, max(v) FILTER (side = 'after') AS after, max(ns) FILTER (side = 'before') AS nb, max(ns) FILTER (side = 'after') AS na FROM lo2 GROUP BY 1, 2, 3)"
+# Of a side without calls the counts, shares and weights are 0 and the rest is unknown.
+_EMPTY = "coalesce({v}, CASE WHEN metric IN ('sessions', 'calls', 'inp', 'w5', 'w1', 'read', 'out', 'hit_pct', 'write_share_pct', 'compactions', 'auto_compactions', 'limit_hits') OR metric = 'cents_in' AND {n} IS NULL THEN 0.0 END)"
+_LONG += "wc AS (SELECT date, scope, metric, max(v) FILTER (side = 'before') AS vb, max(v) FILTER (side = 'after') AS va, max(ns) FILTER (side = 'before') AS nb, max(ns) FILTER (side = 'after') AS na FROM lo2 GROUP BY 1, 2, 3), "
+_LONG += f"wd AS (SELECT date, scope, metric, {_EMPTY.format(v='vb', n='nb')} AS before, {_EMPTY.format(v='va', n='na')} AS after, nb, na FROM wc)"
 
 
 @_query("a20_all_metrics", _WEIGHED + _EVENTS + _SIDED + _vector("date, scope, side", ", " + _LONG + " SELECT CAST(date AS varchar) AS date, scope, metric, before, after, after - before AS delta, CASE WHEN before <> 0 THEN sign(after - before) * floor(abs((after - before) * 1000 / before) + 0.5) / 10 END AS delta_pct, CASE WHEN nb >= 10 AND na >= 10 THEN 'compared' ELSE 'insufficient data' END AS result FROM wd"))

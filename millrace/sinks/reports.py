@@ -20,7 +20,7 @@ def _section(title: str, table: DataFrame, rows: int | None = None) -> str:
     return f"## {title}\n\n{markdown_table(table.limit(rows))}{more}\n"
 
 
-def usage_report(calls: DataFrame, call_log: DataFrame, weights: DataFrame, changes: DataFrame, end: str, days: int, rows: int = ROWS) -> str:
+def full_report(calls: DataFrame, call_log: DataFrame, weights: DataFrame, changes: DataFrame, end: str, days: int, rows: int = ROWS) -> str:
     """The usage report in Markdown: totals and their reconciliation, weeks, sessions, caches, tools, runs, events, comparisons around changes, findings, checks."""
     raw = usage.usage(calls)
     kept = usage.deduplicated(raw)

@@ -155,12 +155,12 @@ def test_export_again_after_failure(spark, tmp_path):
     assert (tmp_path / "two" / "a" / "b.txt").read_bytes() == b"x" and len(list(tmp_path.iterdir())) == 2
 
 
-def test_usage_report(spark, small):
+def test_full_report(spark, small):
     from millrace.plans.usage import CHANGES, _weights
     from millrace.sinks import reports
     from millrace.tables import load
 
-    text = reports.usage_report(load(spark, small, "calls"), load(spark, small, "call_log"), _weights(spark), spark.createDataFrame(CHANGES, "date string, scope string"), "2021-01-20", 10, rows=3)
+    text = reports.full_report(load(spark, small, "calls"), load(spark, small, "call_log"), _weights(spark), spark.createDataFrame(CHANGES, "date string, scope string"), "2021-01-20", 10, rows=3)
     assert text.startswith("# Usage\n") and [x[3:] for x in text.split("\n") if x.startswith("## ")][:3] == ["Totals", "Reconciliation", "Weeks"]
     assert "| SUBTOTAL |" in text or "more rows" in text
     assert text.count("| compactions |") >= 1 and "| cache_rewrite_after_idle" in text

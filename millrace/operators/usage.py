@@ -339,6 +339,23 @@ def weekly_weights(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return sets.select(level.alias("level"), "week", "model", "effort", "calls", "cents_in", "cents_out")
 
 
+def runs_in_full(rows: DataFrame, types: DataFrame, weights: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``runs`` with their type (unknown without one in ``types``), their weight and, of reviewers, the verdict (``verdicts``: ``stream``, ``verdict``)."""
+    each = weighted(rows.where("kind = 'sub' AND at IS NOT NULL"), weights).groupBy("profile", "stream").agg(cents("weight_in").alias("cents_in"), cents("weight_out").alias("cents_out"))
+    one = verdicts.groupBy("stream").agg(F.max("verdict").alias("_verdict"))
+    x = runs(rows).join(each, ["profile", "stream"]).join(types, "stream", "left").join(one, "stream", "left")
+    kind = F.coalesce("type", F.lit("unknown"))
+    return x.withColumns({"type": kind, "verdict": F.when(kind == "reviewer", F.coalesce("_verdict", F.lit("unclear")))}).drop("_verdict")
+
+
+def weekly_by_type(rows: DataFrame, types: DataFrame) -> DataFrame:
+    """Measures by week, whether the calls are of a main stream or a subagent, and the subagent's type, empty for main streams."""
+    x = rows.where("at IS NOT NULL").join(types, "stream", "left")
+    split = F.when(F.col("sub"), "subagent").otherwise("main")
+    kind = F.when(F.col("sub"), F.coalesce("type", F.lit("unknown"))).otherwise("")
+    return x.groupBy(iso_week(F.col("at")).alias("week"), split.alias("split"), kind.alias("agent_type")).agg(*measures())
+
+
 def runs_by_type(rows: DataFrame, types: DataFrame, weights: DataFrame) -> DataFrame:
     """Subagent runs by type (``types``: ``stream``, ``type``; unknown without a row): runs, tokens, medians, weights."""
     each = weighted(rows.where("kind = 'sub' AND at IS NOT NULL"), weights).withColumn("ctx", context())

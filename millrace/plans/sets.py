@@ -8,9 +8,10 @@ from ..functions.scalars import overlap, word_set
 from ..operators import alerts, content, findings
 from ..operators import usage as ops
 from ..sinks.outputs import annotation
+from ..sources import config
 from ..tables import load
 from .content import _BLOCKS, _LAST, _LINES, _LINKED, _STOP, _TOKENS, _VERDICT, _agent_tokens, _judged_runs, _linked, _with_lines
-from .usage import _BASE, _GAPS, _SESS, _WEIGHED, _weights
+from .usage import _BASE, _GAPS, _SESS, _TYPED, _WEIGHED, _types, _weights
 
 SPARK, SQL = {}, {}
 
@@ -209,3 +210,27 @@ def events_of_sessions(spark, folder):
 )
 def run_verdicts(spark, folder):
     return content.verdicts_of_runs(load(spark, folder, "call_log"))
+
+
+_STEM = "regexp_replace(string_split(src, '/')[-1], '\\.[^.]*$', '')"
+
+
+@_query(
+    "a14_runs_in_full",
+    _TYPED + ", " + _BLOCKS.replace("\nWITH l AS (", "l AS (", 1) + _LAST[len(_LINES) :] + f", jv AS (SELECT {_STEM} AS stream, max(CASE WHEN regexp_matches(v, '(?i)VERDICT:[\\t ]*(APPROVE|PASS)') THEN 'approve' WHEN v IS NOT NULL THEN 'changes' ELSE 'unclear' END) AS verdict FROM (SELECT src, {_VERDICT} AS v FROM (SELECT src, coalesce(y.text, '') AS text FROM (SELECT DISTINCT src FROM b WHERE sub) LEFT JOIN y USING (src))) GROUP BY 1), "
+    + "rr AS (SELECT profile, stream, arg_min(model, (us_at, key)) AS model, count(*) AS calls, CASE WHEN count(*) FILTER (wout IS NULL) = 0 THEN CAST(floor((sum(wout) + 5000) / 10000.0) AS bigint) END AS cents_out FROM kw WHERE kind = 'sub' AND tm IS NOT NULL GROUP BY 1, 2) "
+    + "SELECT ty.profile, ty.stream, rr.model, rr.calls, ty.tokens, ty.type, ty.cents_in, rr.cents_out, CASE WHEN ty.type = 'reviewer' THEN coalesce(jv.verdict, 'unclear') END AS verdict FROM ty JOIN rr USING (profile, stream) LEFT JOIN jv USING (stream)",
+)
+def runs_in_full(spark, folder):
+    """Subagent runs with type, weight and verdict."""
+    kept = ops.deduplicated(ops.usage(load(spark, folder, "calls")))
+    said = content.verdicts_of_runs(load(spark, folder, "call_log")).select(F.regexp_replace(F.element_at(F.split("src", "/"), -1), r"\.[^.]*$", "").alias("stream"), "verdict")
+    full = ops.runs_in_full(kept, _types(spark, folder), _weights(spark), said)
+    return full.select("profile", "stream", "model", "calls", "tokens", "type", "cents_in", "cents_out", "verdict")
+
+
+@_query("a25_memory_sizes", "SELECT repo, count(*) AS files, CAST(sum(size) AS bigint) AS bytes, CAST(sum(size // 4) AS bigint) AS tokens FROM entries WHERE kind = 'file' AND path LIKE '%.md' GROUP BY 1")
+def memory_sizes(spark, folder):
+    """Notes kept beside the code: files, bytes and about how many tokens, by repository; contents aren't read."""
+    notes = load(spark, folder, "entries").where("kind = 'file' AND path LIKE '%.md'")
+    return config.sizes(notes, "repo", "size")

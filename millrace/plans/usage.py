@@ -225,6 +225,11 @@ def runs_by_type(spark, folder):
     return usage.runs_by_type(_kept(spark, folder), _types(spark, folder), _weights(spark))
 
 
+@_query("a2b_weekly_by_type", _BASE + f"SELECT {_WEEK} AS week, CASE WHEN sub THEN 'subagent' ELSE 'main' END AS split, CASE WHEN NOT sub THEN '' WHEN right(stream, 1) < '6' THEN 'builder' WHEN right(stream, 1) < 'b' THEN 'reviewer' ELSE 'unknown' END AS agent_type, {_MEAS} FROM k WHERE tm IS NOT NULL GROUP BY 1, 2, 3")
+def weekly_by_type(spark, folder):
+    return usage.weekly_by_type(_kept(spark, folder), _types(spark, folder))
+
+
 @_query("j7_first_models", _BASE + ", p1 AS (SELECT profile, kind, stream, arg_min(model, (us_at, key)) AS model FROM k WHERE stream IS NOT NULL AND tm IS NOT NULL GROUP BY 1, 2, 3) SELECT stream, arg_max(model, (profile, kind)) AS model FROM p1 GROUP BY 1")
 def first_models(spark, folder):
     return usage.first_models(_kept(spark, folder))

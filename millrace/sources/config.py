@@ -100,6 +100,11 @@ def inventory(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.expr("length div 4").alias("tokens"))
 
 
+def sizes(files: DataFrame, by: str, bytes_: str) -> DataFrame:
+    """Files, bytes and about how many tokens these are (a quarter, cut off per file), by a column."""
+    return files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum(bytes_).alias("bytes"), F.sum(F.expr(f"{bytes_} div 4")).alias("tokens"))
+
+
 def safe_scalar(value: Any) -> bool:
     """Whether a setting's value may be shown: flags, numbers, short names."""
     return isinstance(value, (bool, int, Decimal)) or isinstance(value, str) and bool(re.fullmatch(r"[A-Za-z0-9_.:\-\[\]]{1,64}", value))
@@ -142,14 +147,16 @@ def read_allowlist(path: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_rules(path: str, sha256: str, least: int = 100) -> dict[str, Any]:
-    """A rule file in TOML, pinned by its hash and known to have global paths and enough rules."""
+def read_rules(path: str, sha256: str, least: int = 100, paths: bool = True) -> dict[str, Any]:
+    """A rule file in TOML, pinned by its hash and known to have enough rules and, with ``paths``, paths exempt for all of them."""
     raw = Path(path).read_bytes()
     if hashlib.sha256(raw).hexdigest() != sha256:
         raise InputError(f"{path}: not the file that was reviewed")
     rules = tomllib.loads(raw.decode())
     if len(rules.get("rules", [])) < least:
         raise InputError(f"{path}: fewer than {least} rules")
+    if paths and "paths" not in rules.get("allowlist", {}):
+        raise InputError(f"{path}: no paths are exempt for all rules, so the form has changed")
     return rules
 
 

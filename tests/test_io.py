@@ -181,3 +181,12 @@ def test_rows_as_text(spark):
     df = spark.createDataFrame([(1, "a,b", None), (2, "c|d", "e")], "k int, x string, y string")
     assert [r.line for r in df.select(outputs.csv_line(df.columns).alias("line")).collect()] == ['1,"a,b",', "2,c|d,e"]
     assert [r.line for r in df.select(outputs.markdown_row(df.columns).alias("line")).collect()] == ["| 1 | a,b |  |", "| 2 | c\\|d | e |"]
+
+
+def test_rules_without_global_paths(tmp_path):
+    f = tmp_path / "r.toml"
+    f.write_text("[[rules]]\nid = 'a'\n")
+    sha = hashlib.sha256(f.read_bytes()).hexdigest()
+    assert config.read_rules(str(f), sha, 1, paths=False)["rules"] == [{"id": "a"}]
+    with pytest.raises(config.InputError):
+        config.read_rules(str(f), sha, 1)

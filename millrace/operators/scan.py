@@ -10,13 +10,13 @@ from __future__ import annotations
 import fnmatch
 import re
 import unicodedata
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import masked
-from ..session import ship
+from ..session import Scratch, ship
 from . import patterns as p
 from .images import image_status
 
@@ -269,38 +269,52 @@ def climbs_out(path: Column, target: Column) -> Column:
     return walk["out"]
 
 
+_WALK = "struct<at:array<string>,seen:array<struct<n:int,prefix:string>>,n:int,out:int>"
+
+
 def escaping_links(links: DataFrame) -> DataFrame:
     """``repo``, ``path``, ``escapes`` of symbolic links (``repo``, ``path``, ``link_target``), following the links of the same repository.
 
-    Only links are grouped, of which a repository has few and each is two short texts;
-    a link that leads outside, or in a circle, escapes.
+    A link that leads outside, or in a circle, or through more than ``LINK_DEPTH`` links
+    within one another, escapes. All links are followed at once, a link in the way each
+    round: the folders on each one's way are joined with the links, and the way goes on
+    from the first that is one. So no task holds the links of a repository. A null target
+    leads nowhere; of repeated paths the greatest target counts.
     """
-    ship(links.sparkSession)
-
-    def walk(links_of: dict[str, str], at: list[str], target: str, depth: int) -> list[str] | None:
-        if depth > p.LINK_DEPTH or target.startswith("/") or target[1:2] == ":" and target[2:3] in ("/", "\\"):
-            return None
-        todo = [c for c in target.split("/") if c not in ("", ".")]
-        here = list(at)
-        for c in todo:
-            if c == "..":
-                if not here:
-                    return None
-                here.pop()
-            else:
-                here.append(c)
-                onward = links_of.get("/".join(here))
-                if onward is not None:
-                    here = walk(links_of, here[:-1], onward, depth + 1)
-                    if here is None:
-                        return None
-        return here
-
-    def resolve(batch: pd.DataFrame) -> pd.DataFrame:
-        links_of = dict(zip(batch["path"], batch["link_target"].fillna(""), strict=True))
-        return batch.assign(escapes=[walk(links_of, x.split("/")[:-1], t, 0) is None for x, t in links_of.items()])[["repo", "path", "escapes"]] if len(links_of) == len(batch) else resolve(batch.drop_duplicates("path"))
-
-    return links.select("repo", "path", "link_target").groupBy("repo").applyInPandas(resolve, "repo string, path string, escapes boolean")
+    scratch = Scratch(links.sparkSession, "links")
+    one = links.where("path IS NOT NULL").groupBy("repo", "path").agg(F.max(F.coalesce("link_target", F.lit(""))).alias("target"))
+    table = scratch.table(one, "links").df
+    absolute = lambda t: t.rlike(r"^(?:/|.:[/\\])")
+    items = lambda t, within: F.transform(F.filter(F.split(t, "/"), lambda c: ~c.isin("", ".")), lambda c: F.struct(c.alias("name"), within.alias("within")))
+    folder = lambda path: F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    begun = table.select("repo", "path", folder(F.col("path")).alias("here"), items(F.col("target"), F.array("path")).alias("todo"), F.when(absolute(F.col("target")), True).alias("escapes"))
+    walk = (
+        f"aggregate(todo, CAST(struct(here, array(), 0, NULL) AS {_WALK}), (a, x) -> CAST(CASE WHEN a.out IS NOT NULL THEN a "
+        f"WHEN x.name = '..' AND size(a.at) = 0 THEN CAST(struct(a.at, a.seen, a.n + 1, a.n) AS {_WALK}) WHEN x.name = '..' THEN CAST(struct(slice(a.at, 1, size(a.at) - 1), a.seen, a.n + 1, a.out) AS {_WALK}) "
+        f"ELSE CAST(struct(concat(a.at, array(x.name)), concat(a.seen, array(named_struct('n', a.n, 'prefix', array_join(concat(a.at, array(x.name)), '/')))), a.n + 1, a.out) AS {_WALK}) END AS {_WALK}))"
+    )
+    done, state = [], begun
+    while True:
+        t = scratch.table(state, "walk").df
+        done.append(t.where("escapes IS NOT NULL").select("repo", "path", "escapes"))
+        going = t.where("escapes IS NULL")
+        if going.isEmpty():
+            break
+        w = going.withColumn("w", F.expr(walk))
+        met = w.select(F.col("repo").alias("r"), F.col("path").alias("p"), F.explode("w.seen").alias("s")).join(table.alias("l"), F.col("r").eqNullSafe(F.col("l.repo")) & (F.col("s.prefix") == F.col("l.path")))
+        first = met.groupBy("r", "p").agg(F.min(F.struct("s.n", "s.prefix", "l.target")).alias("hit"))
+        x = w.join(first, F.col("repo").eqNullSafe(F.col("r")) & (F.col("path") == F.col("p")), "left")
+        within = F.col("todo")[F.col("hit.n")]["within"]
+        ends = absolute(F.col("hit.target")) | F.array_contains(within, F.col("hit.prefix")) | (F.size(within) > p.LINK_DEPTH)
+        rest = F.slice("todo", F.col("hit.n") + 2, F.size("todo"))
+        state = x.select(
+            "repo",
+            "path",
+            folder(F.col("hit.prefix")).alias("here"),
+            F.concat(items(F.col("hit.target"), F.concat(within, F.array("hit.prefix"))), rest).alias("todo"),
+            F.when(F.col("hit").isNull(), F.col("w.out").isNotNull()).when(ends, True).alias("escapes"),
+        )
+    return reduce(DataFrame.unionByName, done)
 
 
 def findings(entries: DataFrame, rules: set[str] | None = None) -> DataFrame:

@@ -202,8 +202,14 @@ def cache_rewrites(rows: DataFrame) -> DataFrame:
 def rewrite_top_streams(rows: DataFrame, top: int = 5) -> DataFrame:
     """The ``top`` streams of each cell by tokens written anew, ties by id."""
     per = rewrites(rows).groupBy("kind", "bucket", "stream").agg(F.sum("written").alias("written"))
-    ranked = per.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "bucket").orderBy(F.desc("written"), "stream")))
-    return ranked.where(F.col("rank") <= top)
+    return ranked_top(per, ["kind", "bucket"], [F.desc("written"), F.col("stream")], "stream", top)
+
+
+def ranked_top(df: DataFrame, keys: list[str], order: list[Column], spread: str, top: int) -> DataFrame:
+    """The first ``top`` rows of each key with their ``rank``; parts of a key, by ``spread``, are reduced to as many before the key's are ranked."""
+    part = df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(64)))
+    few = part.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("_n") <= top).drop("_n", "_part")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
 
 
 METRICS = (

@@ -155,3 +155,13 @@ def test_long_attribute_lines(spark):
 def test_names_of_hidden_characters(spark):
     df = spark.createDataFrame([(1, "a", 2, "a\u202eb\u200bc\u00add\U000e0041")], "id int, path string, line int, text string")
     assert {r.detail for r in scan.line_findings(df).collect()} == {"U+202E RIGHT-TO-LEFT OVERRIDE", "U+200B ZERO WIDTH SPACE", "U+00AD SOFT HYPHEN", "U+E0041 TAG LATIN CAPITAL LETTER A"}
+
+
+def test_links_through_links(spark, monkeypatch):
+    monkeypatch.setattr(p, "LINK_DEPTH", 5)
+    chain = [("r", f"c{k}", f"c{k + 1}") for k in range(10)] + [("r", "c10", "end")]
+    more = [("r", "dir", "real"), ("r", "x", "dir/../../y"), ("r", "y", "dir/a/../b"), ("r", "deep/z", "../dir/q"), ("r", "real/q", "../../out"), ("r", "self", "self/a"), (None, "n", "m"), (None, "m", ".."), ("r", "many", "/".join(["dir/.."] * 8))]
+    got = {(r.repo, r.path): r.escapes for r in scan.escaping_links(spark.createDataFrame(chain + more, "repo string, path string, link_target string")).collect()}
+    assert len(got) == 11 + len(more)
+    assert {k[1] for k, v in got.items() if not v} == {f"c{k}" for k in range(5, 11)} | {"dir", "y", "many"}
+    assert scan.escaping_links(spark.createDataFrame([], "repo string, path string, link_target string")).isEmpty()

@@ -30,16 +30,13 @@ def null_counts(data: Column) -> tuple[Column, Column]:
     return nulls(F.regexp_replace(head, r"(?s)(.).?", "$1")), nulls(F.regexp_replace(head, r"(?s).(.)?", "$1"))
 
 
-def decoded(entries: DataFrame) -> DataFrame:
-    """``entries`` with ``text`` and ``looks_binary``, decoded by byte order mark, by where NULs lie, else as UTF-8 with replacements."""
-    data = F.col("data")
+def encoding(data: Column) -> Column:
+    """How the text of a file is to be read: by its byte order mark, by where the NULs of its first 8 KiB lie, as 'binary' if these lie elsewhere, else as 'text'."""
     head = F.decode(F.substring(data, 1, 8192), "ISO-8859-1")
     half = F.floor(F.length(head) / 2)
     even, odd = (n / half for n in null_counts(data))
     has_null = F.instr(head, "\x00") > 0
-    utf16 = lambda skip, codec: F.decode(F.substring(data, 1 + skip, 1 << 30), codec)
-    clean = F.make_valid_utf8(data.cast("string"))
-    kind = (
+    return (
         F.when(F.hex(F.substring(data, 1, 2)) == "FFFE", "le mark")
         .when(F.hex(F.substring(data, 1, 2)) == "FEFF", "be mark")
         .when(has_null & (half >= 2) & (odd > 0.3) & (even < 0.05), "le")
@@ -47,7 +44,14 @@ def decoded(entries: DataFrame) -> DataFrame:
         .when(has_null, "binary")
         .otherwise("text")
     )
-    x = entries.withColumn("_kind", kind)
+
+
+def decoded(entries: DataFrame) -> DataFrame:
+    """``entries`` with ``text`` and ``looks_binary``, decoded by byte order mark, by where NULs lie, else as UTF-8 with replacements."""
+    data = F.col("data")
+    utf16 = lambda skip, codec: F.decode(F.substring(data, 1 + skip, 1 << 30), codec)
+    clean = F.make_valid_utf8(data.cast("string"))
+    x = entries.withColumn("_kind", encoding(data))
     text = (
         F.when(F.col("_kind") == "le mark", utf16(2, "UTF-16LE"))
         .when(F.col("_kind") == "be mark", utf16(2, "UTF-16BE"))
@@ -333,13 +337,11 @@ def texts_of(files: DataFrame) -> DataFrame:
 
 
 def _findings(files: DataFrame, text_lines: DataFrame, rules: set[str] | None = None) -> DataFrame:
-    whole = files.select("entry_id", "path", F.lit(None).cast("int").alias("line"), F.inline("found"))
+    binary = _flag("binary-file", ~F.col("stop") & F.col("data").isNotNull() & (encoding(F.col("data")) == "binary"), "non-text content")
+    whole = files.select("entry_id", "path", F.lit(None).cast("int").alias("line"), F.inline(F.concat("found", binary)))
     if rules is not None:
         whole = whole.where(F.col("rule").isin(sorted(rules)))
-    found = whole
-    if rules is None or "binary-file" in rules:
-        found = found.unionByName(texts_of(files).where("looks_binary").select("entry_id", "path", F.lit(None).cast("int").alias("line"), F.lit("binary-file").alias("rule"), F.lit("non-text content").alias("detail")))
-    return found.unionByName(line_findings(text_lines, rules).select("entry_id", "path", "line", "rule", "detail"))
+    return whole.unionByName(line_findings(text_lines, rules).select("entry_id", "path", "line", "rule", "detail"))
 
 
 def marked_lines(files: DataFrame) -> DataFrame:
